@@ -6,13 +6,14 @@ moment, and then the transition u -> v is cut. A token sequence is the BPE encod
 automaton accepts it. A gadget is recorded by its two parents, its rank and its cut, so compiling takes one step a merge;
 a transition is read by walking up the gadgets once and is then kept in a table.
 
-A prefix of an encoded word is itself encoded, so one left-to-right pass finds, for each prefix, the only last token that
-a live transition joins to what was found before it: the run needs no backtracking.
+The accepting run is unique, and each of its prefixes is the encoding of the bytes so far: a place where a run got stuck
+lies on no accepting run, so a search that marks such places takes a number of steps in proportion to the word.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 WHITE = regex.compile(r"\p{White_Space}")
 
-KEPT_WORDS = 200_000  # encoded words that a worker keeps in each of two generations
+KEPT_WORDS = 300_000  # encoded words that a worker keeps in each of two generations
+KEPT_TRANSITIONS = 500_000
+LONGEST_ARC = 1024  # bytes; no vocabulary in use has a longer token, and compiling refuses one
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,18 +65,15 @@ class MergeAutomaton:
         self.cut[u << 20 | v] = rank
 
     def _index(self, ids: list[int]) -> None:
-        """Trie of the tokens' bytes from the last to the first: all tokens that end at a place, shortest first."""
-        self.step: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        """Arcs by their bytes: nested tables, a token's id under the key -1."""
+        self.arcs: dict = {}
         for i in ids:
-            node = 0
-            for b in reversed(self.spell[i]):
-                nxt = self.step.get(node << 8 | b)
-                if nxt is None:
-                    nxt = self.step[node << 8 | b] = len(self.ends)
-                    self.ends.append(-1)
-                node = nxt
-            self.ends[node] = i
+            node = self.arcs
+            for b in self.spell[i]:
+                node = node.setdefault(b, {})
+            node[-1] = i
+            if len(self.spell[i]) > LONGEST_ARC:
+                raise ValueError("token too long")
 
     def live(self, a: int, b: int) -> bool:
         """Whether the state after token a has a transition on token b."""
@@ -81,7 +81,7 @@ class MergeAutomaton:
         known = self._live.get(key)
         if known is None:
             known = self._live[key] = self._walk(a, b)
-            if len(self._live) > 4_000_000:
+            if len(self._live) > KEPT_TRANSITIONS:
                 self._live.clear()
         return known
 
@@ -104,24 +104,41 @@ class MergeAutomaton:
                 before, a, b = new_a, self.out[a], self.into[b]
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, step, ends = len(word), self.step, self.ends
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            node, j = 0, i
-            while j:
-                node = step.get(node << 8 | word[j - 1])
+        """Ids on the accepting run over ``word``: the longest live arc first, a shorter one after a dead end.
+
+        What leads to a place is that prefix's only encoding, so a place that proved dead is never tried again.
+        """
+        n, arcs, table = len(word), self.arcs, self._live
+        out: list[int] = []
+        places, dead, at, state = [0], None, 0, -1
+        while at < n:
+            node, found = arcs, []
+            for b in word[at : at + LONGEST_ARC]:
+                node = node.get(b)
                 if node is None:
                     break
-                j -= 1
-                t = ends[node]
-                if t >= 0 and (not j or (last[j] >= 0 and self.live(last[j], t))):
-                    last[i], start[i] = t, j
-                    break
-        out: list[int] = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        return out[::-1]
+                found.append(node)
+            end = at + len(found)
+            for node in reversed(found):
+                t = node.get(-1)
+                if t is not None and not (dead and dead[end]):
+                    if state < 0:
+                        break
+                    ok = table.get(state << 20 | t)
+                    if self.live(state, t) if ok is None else ok:
+                        break
+                end -= 1
+            else:
+                dead = dead or bytearray(n + 1)
+                dead[at] = 1
+                out.pop()
+                places.pop()
+                at, state = places[-1], out[-1] if out else -1
+                continue
+            out.append(t)
+            places.append(end)
+            at, state = end, t
+        return out
 
     def encode_pieces(self, text: str) -> list[int]:
         """Of any text: strings of special tokens first, then the words of what lies between them."""
@@ -158,7 +175,7 @@ class Chunks(dict):
         elif not chunk or WHITE.match(chunk) or any(map(chunk.startswith, self.automaton.special)):
             packed = None
         else:
-            packed = np.array(self.automaton.encode_pieces(" " + chunk), np.int32).tobytes()
+            packed = array("i", self.automaton.encode_pieces(" " + chunk)).tobytes()
         if len(self) >= KEPT_WORDS:
             self.old = dict(self)
             self.clear()
@@ -168,7 +185,7 @@ class Chunks(dict):
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if rest and (packed := [self[c] for c in rest]) and None not in packed:
+        if rest and (packed := list(map(self.__getitem__, rest))) and None not in packed:
             return np.array(self.automaton.encode_pieces(first), np.int32).tobytes() + b"".join(packed)
         return np.array(self.automaton.encode_pieces(text), np.int32).tobytes()
 
@@ -184,7 +201,7 @@ def compiled(tokenizer_json: str) -> Chunks:
 
 
 def token_lists(chunks: Chunks, texts: pa.Array) -> pa.Array:
-    packed = [chunks.encode(t or "") for t in texts.to_pylist()]
+    packed = [chunks.encode(t.as_py() or "") for t in texts]
     ends = np.cumsum([0, *map(len, packed)]) // 4
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
@@ -215,7 +232,7 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = compiled(model.value).automaton
         for lists in batches:
-            flat, ends = lists.flatten().to_pylist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-            yield pa.array([automaton.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+            yield pa.array((automaton.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
 
     return df.withColumn(text, texts(F.col(f"`{ids}`")))
