@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import bpe, rans, simhash, syncmers, warc
+from tagwright.llm import bpe, quality, rans, simhash, syncmers, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,18 @@ def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": op2_syncmers,
     "op4_simhash": op4_simhash,
     "op6_rans": op6_rans,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
