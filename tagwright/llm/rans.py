@@ -34,14 +34,20 @@ CHECK_STEPS = 128
 BLOCK_IDS = 1 << 18
 MAGIC = b"TWR1"
 HEAD = struct.Struct("<4sIQIIIII")  # magic, lanes, ids, documents, checkpoints, words, CRC of ids, CRC of what follows
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 400_000
+KEPT_HEADS = 600_000
+TOGETHER = 2000  # heads that the library sees at a time
+MARK = "\x01"
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
 PIECE_CHARS = 2_000_000
 
 
 class LibraryChunks:
     """Chunk between blanks -> packed ids, by the tokenizers library.
 
-    The vocabulary drops white space and never joins words across it, so a text's ids are its chunks' in turn.
+    The vocabulary drops white space and never joins words across it, or a word and ASCII punctuation other than an
+    apostrophe: a text's ids are its chunks' in turn, a chunk's those of its head and of the punctuation at its end. So the
+    library sees each new head once, in lower case (as its normaliser has it), many at a time between marks of one token.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,20 +57,47 @@ class LibraryChunks:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.heads: dict[str, bytes] = {"": b""}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, heads: list[str]) -> None:
+        plain = [h for h in heads if self.mark is not None and MARK not in h and "<|" not in h]
+        for h in set(heads).difference(plain):
+            self.heads[h] = np.array(self._ids(h), "<u4").tobytes()
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            ids = np.array(self._ids(f" {MARK} ".join([*part, ""])), "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            packed, at = ids.tobytes(), 0
+            for h, end in zip(part, ends, strict=True):
+                self.heads[h] = packed[4 * at : 4 * end]
+                at = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         needed = set().union(*cut)
-        new = [c for c in needed if c not in self.kept]
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.kept[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.kept.__getitem__
+        new = {}
+        for c in needed.difference(self.chunks):
+            head = c.rstrip(PUNCTUATION)
+            tail = c[len(head) :]
+            new[c] = head.lower() if head.isascii() and "<|" not in c else head, tail
+            if "<|" in c:
+                new[c] = c, ""
+        self._learn(list({x for pair in new.values() for x in pair}.difference(self.heads)))
+        heads = self.heads
+        for c, (head, tail) in new.items():
+            self.chunks[c] = heads[head] + heads[tail]
+        get = self.chunks.__getitem__
         out = [b"".join(map(get, c)) for c in cut]
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept = {c: self.kept[c] for c in needed if len(c) < 100} | {"": b""} if len(needed) < KEPT_CHUNKS else {"": b""}
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks = {"": b""}
+        if len(heads) > KEPT_HEADS:
+            self.heads = {h: heads[h] for pair in new.values() for h in pair} | {"": b""} if len(new) < KEPT_HEADS // 4 else {"": b""}
         return out
 
 
