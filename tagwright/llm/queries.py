@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagwright.llm import bpe, quality, rans, simhash, syncmers, toxicity, warc
+from tagwright.llm import bpe, decontaminate, quality, rans, simhash, syncmers, token_counts, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +39,38 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+URL_RULES = [
+    url_rules.Rule("block", "com", "/en/"),
+    url_rules.Rule("allow", "example.com", "/en/7"),
+    url_rules.Rule("allow", "net", "/de/"),
+    url_rules.Rule("block", "example.net", "/de/8"),
+    url_rules.Rule("block", "org", "/es/"),
+]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, bits=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.edits", "hit.start_word", "hit.n_words")
+
+
 def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rans.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), end_id=1)
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["text"], ["doc_id"])
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "lang", "perplexity", "threshold", "keep")
@@ -80,8 +102,11 @@ FROM f
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_syncmers": op2_syncmers,
+    "op3_url_rules": op3_url_rules,
     "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_rans": op6_rans,
+    "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
