@@ -84,10 +84,10 @@ class LibraryChunks:
         new = {}
         for c in needed.difference(self.chunks):
             head = c.rstrip(PUNCTUATION)
-            tail = c[len(head) :]
-            new[c] = head.lower() if head.isascii() and "<|" not in c else head, tail
-            if "<|" in c:
+            if "<|" in c or not head[-1:].isalpha():  # other marks would join the punctuation
                 new[c] = c, ""
+            else:
+                new[c] = head.lower() if head.isascii() else head, c[len(head) :]
         self._learn(list({x for pair in new.values() for x in pair}.difference(self.heads)))
         heads = self.heads
         for c, (head, tail) in new.items():
