@@ -12,6 +12,7 @@ the distance has at least ``n - 1 - 2 * edits`` of them. That drops no window th
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,12 @@ SIMILARITY = 0.8  # 1 - edits / words of the item
 SAMPLED = 2
 AGREEMENT = 0.3  # share of a walk's steps that still agree at the largest distance, measured on random rows
 RECALL = 0.99
-STEPS = 3  # steps of a walk for each word
+STEPS = 2  # steps of a walk for each word: on average it moves on at every other step
+KEPT_CHUNKS = 300_000
+PACKED = struct.Struct("=i")
+ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+TEXTS_AT_ONCE = 1500
+NO_WORD = -2  # stands between texts
 BLOCK_CHARS = 32 << 20  # of benchmark text held at a time
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 HITS = "array<struct<item_id:bigint,edits:int,start_word:int,n_words:int>>"
@@ -52,12 +58,17 @@ def walk(rows: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
     return out
 
 
-def table_keys(walked: np.ndarray, n: int, seed: int = 12) -> np.ndarray:
-    """A key for each row and table."""
+def table_keys(walked: np.ndarray, n: int, used_up: int, seed: int = 12) -> np.ndarray:
+    """A key for each row and table; ``used_up`` (negative) where a sampled step lies behind the row's end."""
     picks = np.random.default_rng((seed, n)).integers(0, STEPS * n, (repetitions(), SAMPLED))
     keys = np.zeros((len(walked), len(picks)), np.int64)
+    ended = np.zeros(keys.shape, bool)
     for k in range(SAMPLED):
-        keys = keys * 1_000_003 + walked[:, picks[:, k]]
+        picked = walked[:, picks[:, k]]
+        keys = keys << 24 | np.maximum(picked, 0)
+        ended |= picked < 0
+    keys = keys << 10 | np.arange(len(picks))
+    keys[ended] = used_up
     return keys
 
 
@@ -90,7 +101,8 @@ class Benchmark:
     items: list[np.ndarray]
     number: dict[str, int]
     pairs: np.ndarray = field(init=False)  # sorted
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(init=False)  # length -> sorted keys, their table, their item
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # length -> sorted keys, their items
+    chunks: dict[str, bytes] = field(init=False)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Benchmark:
@@ -101,97 +113,113 @@ class Benchmark:
 
     def __post_init__(self):
         self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] << 32 | x[1:] for x in self.items)]))
-        self.tables = {}
+        self.tables, self.chunks = {}, {}
         for n in {len(x) for x in self.items}:
             rows = [k for k, x in enumerate(self.items) if len(x) == n]
-            keys = table_keys(walk(np.stack([self.items[k] for k in rows]), n), n)
-            table = np.tile(np.arange(keys.shape[1]), len(rows))
-            order = np.lexsort((table, keys.ravel()))
-            self.tables[n] = keys.ravel()[order], table[order], np.repeat(rows, keys.shape[1])[order]
+            keys = table_keys(walk(np.stack([self.items[k] for k in rows]), n), n, -1)
+            order = np.argsort(keys.ravel(), kind="stable")
+            self.tables[n] = keys.ravel()[order], np.repeat(rows, keys.shape[1])[order]
 
     def number_words(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        get = self.number.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-
-    def starts(self, x: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
-        """Starts of the windows of n words that hold enough of the benchmark's pairs (at ``places``)."""
+        """The text's words as numbers, 0 for words that no item has."""
+        chunks, cut = self.chunks, (text or "").lower().split()
+        if len(chunks) > KEPT_CHUNKS:
+            chunks.clear()
+        for c in set(cut).difference(chunks):
+            w = c.strip(ASCII_MARKS)
+            chunks[c] = PACKED.pack(self.number.get(w, 0)) if w.isalnum() else b"".join([PACKED.pack(self.number.get(w, 0)) for w in WORD.findall(c)])
+        return np.frombuffer(b"".join(map(chunks.__getitem__, cut)), np.int32)
+
+    def windows(self, places: np.ndarray, first: np.ndarray, size: np.ndarray, n: int, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Starts of the windows of n words with enough of the benchmark's pairs, which stand at ``places`` of ``row``.
+
+        ``first`` and ``size`` are of the text of each place; a text shorter than n words has one window. ``words`` counts
+        the benchmark's words before each place of ``row``.
+        """
         need = n - 1 - 2 * allowed(n)
-        last = len(x) - n
-        if last < 0:  # a shorter text may still hold an item with words missing
-            return np.zeros(1, np.int64) if len(places) >= max(0, need) and len(x) >= n - allowed(n) else np.zeros(0, np.int64)
-        if need <= 0:
-            return np.flatnonzero(np.convolve(x > 0, np.ones(n, int), "valid") >= n - allowed(n))
+        if need <= 0:  # items of a few words: every window that starts at one of their words, or up to its edits before it
+            at = np.flatnonzero(row > 0)
+            return np.unique(np.concatenate([np.maximum(at - k, 0) for k in range(allowed(n) + 1)])) if len(at) else at
         if len(places) < need:
             return np.zeros(0, np.int64)
         dense = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] <= n - 2)
-        if not len(dense):
-            return dense
-        low, high = np.clip(places[dense + need - 1] - (n - 2), 0, last), np.clip(places[dense], 0, last)
-        marks = np.zeros(last + 2, np.int64)
-        np.add.at(marks, low, 1)
-        np.add.at(marks, high + 1, -1)
-        return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        last = np.maximum(first[dense], first[dense] + size[dense] - n)
+        low = np.clip(places[dense + need - 1] - (n - 2), first[dense], last)
+        high = np.clip(places[dense], first[dense], last)
+        count = high - low + 1
+        starts = np.unique(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum()))
+        # the window that begins where the passage does also has all the item's words but for the edits
+        return starts[words[np.minimum(starts + n, len(row))] - words[starts] >= n - allowed(n)]
 
     def hits(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the items that it holds, each with its fewest edits, by item."""
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        numbered = []
-        for k, text in enumerate(texts):
-            x = self.number_words(text)
-            numbered.append(x)
-            pair = x[:-1] << 32 | x[1:]
-            known = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-            if len(self.pairs) and len(known):
-                at = np.minimum(np.searchsorted(self.pairs, pair[known]), len(self.pairs) - 1)
-                known = known[self.pairs[at] == pair[known]]
-            for n in self.tables:
-                found = self.starts(x, known, n)
-                if len(found):
-                    held.setdefault(n, []).append((k, found))
-        candidates: dict[tuple[int, int], list[int]] = {}
-        for n, found in held.items():
-            owner, start = np.concatenate([np.full(len(s), k) for k, s in found]), np.concatenate([s for _, s in found])
-            for k in range(0, len(owner), 20_000):
-                self._lookup(n, numbered, owner[k : k + 20_000], start[k : k + 20_000], candidates)
         out: list[list[dict]] = [[] for _ in texts]
-        for (k, item), where in sorted(candidates.items()):
-            if hit := self._verified(self.items[item], numbered[k], where):
-                out[k].append({"item_id": self.ids[item], "edits": hit[0], "start_word": hit[1], "n_words": hit[2] - hit[1]})
+        if not self.tables:
+            return out
+        longest = max(self.tables)
+        numbered = [self.number_words(t) for t in texts]
+        size = np.array([len(x) for x in numbered])
+        first = np.cumsum(size + longest) - size - longest  # texts stand apart, so no window has words of two
+        row = np.full(int((size + longest).sum()), NO_WORD, np.int64)
+        for x, at in zip(numbered, first):
+            row[at : at + len(x)] = x
+        known = np.flatnonzero((row[:-1] > 0) & (row[1:] > 0))
+        pair = row[known] << 32 | row[known + 1]
+        if len(self.pairs):
+            known = known[self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair]
+        else:
+            known = known[:0]
+        owner = np.searchsorted(first, known, "right") - 1
+        words = np.concatenate([[0], np.cumsum(row > 0)])
+        for n in self.tables:
+            starts = self.windows(known, first[owner], size[owner], n, row, words)
+            for k in range(0, len(starts), 20_000):
+                for item, at in self._candidates(n, row, starts[k : k + 20_000]):
+                    text = int(np.searchsorted(first, at[0], "right")) - 1
+                    self._add(out[text], item, numbered[text], np.unique(at - first[text]))
+        for found in out:
+            found.sort(key=lambda h: (h["item_id"], h["edits"], h["start_word"]))
         return out
 
-    def _lookup(self, n: int, numbered: list[np.ndarray], owner: np.ndarray, start: np.ndarray, candidates: dict) -> None:
-        rows = np.full((len(owner), n), -2, np.int64)
-        for r, (k, s) in enumerate(zip(owner, start)):
-            part = numbered[k][s : s + n]
-            rows[r, : len(part)] = part
-        keys = table_keys(walk(rows, n), n)
-        known, table, item = self.tables[n]
-        flat = keys.ravel()
-        low, high = np.searchsorted(known, flat, "left"), np.searchsorted(known, flat, "right")
-        for at in np.flatnonzero(high > low):
-            row, t = divmod(int(at), keys.shape[1])
-            for j in range(low[at], high[at]):
-                if table[j] == t:
-                    candidates.setdefault((int(owner[row]), int(item[j])), []).append(int(start[row]))
-
-    @staticmethod
-    def _verified(item: np.ndarray, x: np.ndarray, where: list[int]) -> tuple[int, int, int] | None:
-        n, slack, best = len(item), allowed(len(item)), None
-        runs: list[list[int]] = []
-        for s in sorted(set(where)):
-            if (x[s : s + n] == item).all() if len(x) >= s + n else False:
-                return 0, s, s + n
-            if runs and s - slack <= runs[-1][1] + n + slack:
-                runs[-1][1] = s
-            else:
-                runs.append([s, s])
-        for low, high in runs:
-            a = max(0, low - slack)
-            edits, start, end = best_match(item, x[a : high + n + slack])
-            if edits <= slack and (best is None or edits < best[0]):
-                best = edits, a + start, a + end
-        return best
+    def _candidates(self, n: int, row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items and the window starts, of one text each time, at which a table has both."""
+        rows = row[np.minimum(starts[:, None] + np.arange(n), len(row) - 1)]
+        keys = table_keys(walk(rows, n), n, -2).ravel()
+        known, item = self.tables[n]
+        low = np.searchsorted(known, keys, "left")
+        full = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
+        low, high = low[full], np.searchsorted(known, keys[full], "right")
+        count = high - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        window, found = np.repeat(full // (len(keys) // max(1, len(rows))), count), item[at]
+        # enough of the item's words in and next to the window, whatever their order
+        pairs = np.unique(np.stack([found, starts[window]], axis=1), axis=0) if len(found) else np.zeros((0, 2), np.int64)
+        slack = allowed(n)
+        near = row[np.clip(pairs[:, 1, None] + np.arange(-slack, n + slack), 0, len(row) - 1)]
+        for k in np.unique(pairs[:, 0]):
+            mine = pairs[:, 0] == k
+            ok = np.isin(near[mine], self.items[k]).sum(axis=1) >= n - slack
+            at = pairs[mine][ok, 1]
+            for part in np.split(at, np.flatnonzero(np.diff(at) > n + 2 * slack) + 1) if len(at) else []:
+                yield int(k), part
+
+    def _add(self, found: list[dict], k: int, x: np.ndarray, at: np.ndarray) -> None:
+        """Verify item k around the window starts ``at`` of text x; keep the better of two hits of one item."""
+        item = self.items[k]
+        n, slack = len(item), allowed(len(item))
+        exact = next((s for s in at.tolist() if s >= 0 and len(x) >= s + n and (x[s : s + n] == item).all()), None)
+        if exact is not None:
+            hit = 0, exact, exact + n
+        else:
+            low = max(0, int(at[0]) - slack)
+            edits, start, end = best_match(item, x[low : int(at[-1]) + n + slack])
+            hit = edits, low + start, low + end
+        if hit[0] <= slack:
+            old = next((h for h in found if h["place"] == k), None)
+            if old is None:
+                found.append({"place": k, "item_id": self.ids[k], "edits": hit[0], "start_word": hit[1], "n_words": hit[2] - hit[1]})
+            elif hit[0] < old["edits"]:
+                old.update(edits=hit[0], start_word=hit[1], n_words=hit[2] - hit[1])
 
 
 def benchmark_blocks(items: DataFrame) -> Iterator[Benchmark]:
@@ -216,8 +244,8 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", out: str = "hits")
         def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
                 rows, n = [], len(texts)
-                for k in range(0, n, 500):
-                    rows += shared.value.hits(texts.slice(k, 500).to_pylist())
+                for k in range(0, n, TEXTS_AT_ONCE):
+                    rows += [[{f: h[f] for f in HIT.names} for h in found] for found in shared.value.hits(texts.slice(k, TEXTS_AT_ONCE).to_pylist())]
                 yield pa.array(rows, pa.list_(HIT))
 
         return of(F.col(f"`{text}`"))

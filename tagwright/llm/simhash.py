@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwright.llm.shared import connected_components, staged
@@ -17,20 +18,35 @@ BITS = 64
 AT_ONCE = 1 << 16  # shingles whose bits are unpacked at a time
 
 
-def simhash(text: str | None, words: int) -> int:
-    """Majority of the shingles' XXH64 bits (seed 42). Fewer words than a shingle: one shingle of all; none: zero."""
-    tokens = (text or "").encode().lower().split()  # ASCII case and ASCII white space only
-    if not tokens:
-        return 0
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of so many words, repeats included; fewer words make one run, none make none. ASCII case and white space only."""
+    tokens = (text or "").encode().lower().split()
     line = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(line, 42)
+        return [line] if tokens else []
     starts = [0, *accumulate(len(t) + 1 for t in tokens)]
-    n, votes, digest = len(tokens) - words + 1, np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, n, AT_ONCE):
-        h = np.array([digest(line[a : b - 1], 42) for a, b in zip(starts[k : min(n, k + AT_ONCE)], starts[k + words :])], "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+    return [line[a : b - 1] for a, b in zip(starts, starts[words:])]
+
+
+def majority(digests: list[bytes], size: int) -> bytes:
+    """Bit by bit what over half of the digests (of ``size`` bytes) have; without any, zero."""
+    votes = np.zeros(8 * size, np.int64)
+    for k in range(0, len(digests), AT_ONCE):
+        part = np.frombuffer(b"".join(digests[k : k + AT_ONCE]), np.uint8).reshape(-1, size)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(digests), bitorder="little").tobytes()
+
+
+def simhash(text: str | None, words: int) -> int:
+    """64 bits by the shingles' XXH64 with seed 42."""
+    digest = xxhash.xxh64_digest
+    return int.from_bytes(majority([digest(s, 42) for s in shingles(text, words)], 8), "big")
+
+
+def wide_simhash(text: str | None, words: int) -> bytes:
+    """256 bits by two 128-bit hashes of each shingle."""
+    digest = xxhash.xxh3_128_digest
+    return majority([digest(s, 1) + digest(s, 2) for s in shingles(text, words)], 32)
 
 
 def fingerprints(df: DataFrame, words: int, text: str = "text", fingerprint: str = "fp") -> DataFrame:
@@ -89,3 +105,82 @@ def groups(df: DataFrame, words: int, bits: int = 2) -> DataFrame:
     named = members.join(least, "component").select(F.col("fp").alias("linked_fp"), "of_component")
     classes = distinct.join(named, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("of_component", "least").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+WIDE_BYTES = 32
+RECALL = 0.97  # of a pair at exactly the similarity, by the index
+PARTS = ("f0", "f1", "f2", "f3")
+
+
+def index_shape(texts: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """Positions in a posting, postings, fewest shared bytes and most differing bits for pairs of that Jaccard index.
+
+    Two such sets have a cosine of 2 s / (1 + s); a SimHash bit then differs with chance angle / pi and a byte agrees with
+    the eighth power of the rest. Positions are as many as keep a posting's chance meetings below one for so many texts.
+    """
+    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    agree = (1 - flip) ** 8
+    positions = max(3, math.ceil(math.log(max(2, texts), 256)))
+    postings = math.ceil(math.log(1 - recall) / math.log(1 - agree**positions))
+    chance = [math.comb(WIDE_BYTES, k) * agree**k * (1 - agree) ** (WIDE_BYTES - k) for k in range(WIDE_BYTES + 1)]
+    fewest = max(k for k in range(positions, WIDE_BYTES) if k == positions or sum(chance[:k]) < 0.01)
+    bits = 8 * WIDE_BYTES
+    return positions, postings, fewest, int(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
+
+
+def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id of every row of ``df`` (doc_id, text): classes of texts whose shingle sets are about that alike.
+
+    Bits are 256 here: at a similarity of 0.8 a SimHash bit differs with chance 0.15, so some bytes of 32 agree, and the
+    inverted index posts each distinct fingerprint under the bytes at fixed choices of positions (``index_shape``). Within
+    a posting each fingerprint meets the smallest and the one before it, so a posting gives rows in proportion to its size
+    and none is capped; a class of many is held together by its many postings. Pairs with too few shared bytes go, the
+    number of differing bits decides. ``class_id`` is the smallest doc_id of a class, null if all ids in it are null.
+    Texts without a word are one class. An empty table gives no rows.
+    """
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.frombuffer(b"".join(wide_simhash(t.as_py(), words) for t in batch.column(1)), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], ["doc_id", *PARTS])
+
+    rows = staged(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(wide, "doc_id long, f0 long, f1 long, f2 long, f3 long"), "wide")
+    # the first 64 bits name a text from here on: texts that agree in all of these are alike
+    distinct = staged(rows.groupBy("f0").agg(F.min("doc_id").alias("least"), *[F.min_by(f, F.struct(*PARTS)).alias(f) for f in PARTS[1:]]), "distinct")
+    positions, postings, fewest, most = index_shape(distinct.count(), similarity)
+    choices = np.stack([np.random.default_rng((5, k)).choice(WIDE_BYTES, positions, replace=False) for k in range(postings)])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                names = part.column(0).to_numpy()
+                fp = np.stack([c.to_numpy() for c in part.columns], axis=1).astype("<i8").view(np.uint8)
+                keys = np.tile(np.arange(postings, dtype=np.int64), (len(fp), 1))
+                for p in range(positions):
+                    keys = keys << 8 | fp[:, choices[:, p]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(names, postings))], ["key", "f0"])
+
+    posts = distinct.select(*PARTS).mapInArrow(post, "key long, f0 long")
+    inside = Window.partitionBy("key").orderBy("f0")
+    met = posts.select("f0", F.first("f0").over(inside).alias("low"), F.lag("f0").over(inside).alias("prior"))
+    half = int(most / 4 + 2 * math.sqrt(most / 4))
+    pairs = met.select(F.col("f0").alias("b"), F.explode(F.array("low", "prior")).alias("a")).where(F.col("a") != F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= half).distinct()
+    named = lambda x: distinct.select(*[F.col(f).alias(f"{x}{k}") for k, f in enumerate(PARTS)])
+    both = pairs.join(named("a"), F.col("a") == F.col("a0")).join(named("b"), F.col("b") == F.col("b0"))
+    ab = [(F.col(f"a{k}"), F.col(f"b{k}")) for k in range(4)]
+    close = both.where(sum((shared_bytes(*x) for x in ab), F.lit(0)) >= fewest).where(sum((F.bit_count(x.bitwiseXOR(y)) for x, y in ab), F.lit(0)) <= most)
+    linked = connected_components(close.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    members = linked.join(distinct, linked.node == distinct.f0).select("f0", "component", "least")
+    named_by = members.groupBy("component").agg(F.min("least").alias("of_component"))
+    moved = members.join(named_by, "component").select(F.col("f0").alias("linked"), "of_component")
+    classes = distinct.join(moved, F.col("f0") == F.col("linked"), "left").select("f0", F.coalesce("of_component", "least").alias("class_id"))
+    return rows.select("doc_id", "f0").join(classes, "f0").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the row of the smallest doc_id of each class only; a repeated id stays once, rows without an id stay."""
+    classes = near_duplicate_classes(docs, words, similarity)
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
