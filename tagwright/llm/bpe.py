@@ -22,12 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagwright.llm.shared import pieces
+
 # The word pattern of byte-level vocabularies, white space as Unicode has it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 WHITE = regex.compile(r"\p{White_Space}")
 
-KEPT_WORDS = 300_000  # encoded words that a worker keeps in each of two generations
-KEPT_TRANSITIONS = 500_000
+KEPT_WORDS = 150_000  # encoded words that a worker keeps in each of two generations
+KEPT_TRANSITIONS = 250_000
 LONGEST_ARC = 1024  # bytes; no vocabulary in use has a longer token, and compiling refuses one
 
 
@@ -38,20 +40,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def arc_labels(model: dict) -> list[bytes]:
+    """The bytes on each token's arc, by id."""
+    letters, vocab = byte_letters(), model["model"]["vocab"]
+    spell = [b""] * (max([*vocab.values(), *(x["id"] for x in model["added_tokens"])]) + 1)
+    for text, i in vocab.items():
+        spell[i] = bytes(letters[c] for c in text)
+    for x in model["added_tokens"]:
+        spell[x["id"]] = x["content"].encode()
+    return spell
+
+
 class MergeAutomaton:
     """Compiled merges. ``spell[id]``: the bytes on a token's arc."""
 
     def __init__(self, tokenizer_json: str):
         model = json.loads(tokenizer_json)
-        letters, vocab = byte_letters(), model["model"]["vocab"]
-        size = max([*vocab.values(), *(x["id"] for x in model["added_tokens"])]) + 1
-        self.spell: list[bytes] = [b""] * size
-        for text, i in vocab.items():
-            self.spell[i] = bytes(letters[c] for c in text)
+        self.spell, vocab = arc_labels(model), model["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.between = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        for text, i in self.special.items():
-            self.spell[i] = text.encode()
+        size = len(self.spell)
         self.rank, self.into, self.out = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}
         for r, pair in enumerate(model["model"]["merges"]):
@@ -154,8 +162,11 @@ class MergeAutomaton:
         return out
 
     def decode(self, ids) -> str:
-        spell = self.spell
-        return b"".join([spell[i] for i in ids]).decode("utf-8", "replace")
+        return emit(self.spell, ids)
+
+
+def emit(spell: list[bytes], ids) -> str:
+    return b"".join([spell[i] for i in ids]).decode("utf-8", "replace")
 
 
 class Chunks(dict):
@@ -191,6 +202,7 @@ class Chunks(dict):
 
 
 _compiled: dict[str, Chunks] = {}
+_labels: dict[str, list[bytes]] = {}
 
 
 def compiled(tokenizer_json: str) -> Chunks:
@@ -219,7 +231,8 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "t
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         chunks = compiled(model.value)
         for texts in batches:
-            yield token_lists(chunks, texts)
+            for piece in pieces(texts):
+                yield token_lists(chunks, piece)
 
     return df.withColumn(ids, tokens(F.col(f"`{text}`")))
 
@@ -230,9 +243,12 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = compiled(model.value).automaton
-        for lists in batches:
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-            yield pa.array((automaton.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
+        if model.value not in _labels:
+            _labels[model.value] = arc_labels(json.loads(model.value))
+        spell = _labels[model.value]
+        for batch in batches:
+            for lists in pieces(batch):
+                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+                yield pa.array((emit(spell, flat[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
 
     return df.withColumn(text, texts(F.col(f"`{ids}`")))

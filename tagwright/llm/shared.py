@@ -4,11 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def pieces(values: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
+    """The rows of a column of texts or lists in turn, in slices of about so many bytes, so that a worker holds the results of one slice."""
+    size = pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.multiply(pc.list_value_length(values), 4)
+    piece = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(values)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield values.slice(a, b - a)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
