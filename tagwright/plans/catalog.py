@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tagwright.plans import assets, series, stored
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "ts_quality_score"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for part in (series, assets, stored) for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in (series, assets, stored) for name, (_, sql) in part.QUERIES.items() if sql}
