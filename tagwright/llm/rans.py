@@ -3,7 +3,8 @@
 A store is a folder with two Parquet tables that Spark commits as a whole:
 
 * ``frequencies`` (id int, frequency int): quantised to a sum of 2**20 over every id that occurs, counted over all documents;
-* ``blocks`` (part int, block int, n_docs long, n_ids long, payload binary): whole documents in ascending id order.
+* ``blocks`` (part int, block int, part_offset long, n_docs long, n_ids long, payload binary): whole documents in ascending
+  id order; ``part_offset`` counts the ids of the part's blocks before this one.
 
 A payload is independent of all others: header, document table, checkpoints, lane states, 32-bit words. Identifiers are
 dealt to interleaved lanes (identifier k to lane k mod lanes), so a numpy step codes one identifier of every lane. At
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagwright.llm.shared import shared_dir, staged
+from tagwright.llm.shared import pieces, shared_dir, staged
 
 PRECISION = 20
 LOWEST = np.uint64(1 << 31)
@@ -38,8 +40,11 @@ KEPT_CHUNKS = 400_000
 KEPT_HEADS = 600_000
 TOGETHER = 2000  # heads that the library sees at a time
 MARK = "\x01"
+BLOCKS = "part int, block int, part_offset long, n_docs long, n_ids long, payload binary"
+BLOCK_NAMES = ["part", "block", "part_offset", "n_docs", "n_ids", "payload"]
+BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
-PIECE_CHARS = 2_000_000
+PIECE_BYTES = 8 << 20  # of text whose words are looked up together
 
 
 class LibraryChunks:
@@ -78,11 +83,9 @@ class LibraryChunks:
                 self.heads[h] = packed[4 * at : 4 * end]
                 at = end + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*cut)
+    def _packed(self, words: list[str]) -> list[bytes]:
         new = {}
-        for c in needed.difference(self.chunks):
+        for c in set(words).difference(self.chunks):
             head = c.rstrip(PUNCTUATION)
             if "<|" in c or not head[-1:].isalpha():  # other marks would join the punctuation
                 new[c] = c, ""
@@ -92,14 +95,25 @@ class LibraryChunks:
         heads = self.heads
         for c, (head, tail) in new.items():
             self.chunks[c] = heads[head] + heads[tail]
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
+        out = list(map(self.chunks.__getitem__, words))
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks = {"": b""}
         if len(heads) > KEPT_HEADS:
             self.heads = {h: heads[h] for pair in new.values() for h in pair} | {"": b""} if len(new) < KEPT_HEADS // 4 else {"": b""}
         return out
 
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """Packed ids of each text, then ``end``. Each different word is looked up once; numpy puts the words' ids in a row."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        packed, at = self._packed(words.dictionary.to_pylist()), words.indices.to_numpy()
+        size = np.array([len(p) // 4 for p in packed], np.int64)
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(first - ends + n, n) + np.arange(n.sum())]
+        raw, cuts = ids.tobytes(), 4 * np.concatenate([[0], ends])[np.cumsum([0, *lists.value_lengths().to_pylist()])]
+        return [raw[a:b] + end for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
 
 _library: dict[str, LibraryChunks] = {}
 
@@ -114,15 +128,8 @@ def tokenize(df: DataFrame, tokenizer_json: str, end_id: int, text: str = "text"
             _library[model.value] = LibraryChunks(model.value)
         chunks, end = _library[model.value], struct.pack("<I", end_id)
         for texts in batches:
-            out, part, n = [], [], 0
-            for t in texts:
-                part.append(t.as_py() or "")
-                n += len(part[-1])
-                if n > PIECE_CHARS:
-                    out += chunks.encode(part)
-                    part, n = [], 0
-            out += chunks.encode(part)
-            yield pa.array([x + end for x in out], pa.binary())
+            for piece in pieces(texts, PIECE_BYTES):
+                yield pa.array(chunks.encode(piece, end), pa.binary())
 
     return df.withColumn(ids, packed(F.col(f"`{text}`")))
 
@@ -276,13 +283,11 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     shared = spark.sparkContext.broadcast(table)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, k = Coder(shared.value), TaskContext.get().partitionId(), 0
+        coder, part, k, before = Coder(shared.value), TaskContext.get().partitionId(), 0, 0
 
-        def row(docs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([sum(len(d) for _, d in docs) // 4], pa.int64()), pa.array([pack_block(coder, docs)], pa.binary())],
-                ["part", "block", "n_docs", "n_ids", "payload"],
-            )
+        def row(docs, n):
+            values = [[part], [k], [before], [len(docs)], [n], [pack_block(coder, docs)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, BLOCK_TYPES)], BLOCK_NAMES)
 
         docs, n = [], 0
         for batch in batches:
@@ -290,13 +295,13 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
                 docs.append((d.as_py(), x.as_py() or b""))
                 n += len(docs[-1][1]) // 4
                 if n >= BLOCK_IDS:
-                    yield row(docs)
-                    docs, n, k = [], 0, k + 1
+                    yield row(docs, n)
+                    docs, n, k, before = [], 0, k + 1, before + n
         if docs:
-            yield row(docs)
+            yield row(docs, n)
 
     ordered = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(blocks, "part int, block int, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -306,8 +311,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    starts = blocks.select("part", "block", "n_ids").withColumn("in_part", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids"))
-    starts = starts.join(before, "part").select("part", "block", (F.col("part_start") + F.col("in_part")).alias("block_start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
@@ -325,7 +328,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return blocks.select("part", "block", "payload").join(starts, ["part", "block"]).select("block_start", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    placed = blocks.join(F.broadcast(before), "part").select((F.col("part_start") + F.col("part_offset")).alias("block_start"), "payload")
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(df: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
