@@ -3,7 +3,8 @@
 Texts are rows of words. The CGK walk copies a row's word and then, by a random bit that depends on the step and the word,
 moves on or copies it again; rows at a small edit distance so become rows at a small Hamming distance. Each of the LSH
 tables samples ``SAMPLED`` of the walk's steps; a window of an item's length and an item that agree in all of one table's
-steps are a candidate, and the edit distance of the item to the text around the window decides.
+steps are a candidate, and the edit distance of the item to the text around the window decides. A walk that an early edit
+throws off may never meet the other one again, so there are ``WALKS`` walks by bits of their own, each with all its tables.
 
 Only windows with enough of the benchmark's word pairs are walked: an edit breaks two pairs at most, so a window within
 the distance has at least ``n - 1 - 2 * edits`` of them. That drops no window that the last step would accept.
@@ -26,6 +27,7 @@ SIMILARITY = 0.8  # 1 - edits / words of the item
 SAMPLED = 2
 AGREEMENT = 0.3  # share of a walk's steps that still agree at the largest distance, measured on random rows
 RECALL = 0.99
+WALKS = 4
 STEPS = 2  # steps of a walk for each word: on average it moves on at every other step
 KEPT_CHUNKS = 300_000
 PACKED = struct.Struct("=i")
@@ -58,20 +60,24 @@ def walk(rows: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
     return out
 
 
-def table_keys(walked: np.ndarray, n: int, used_up: int, seed: int = 12) -> np.ndarray:
-    """A key for each row and table; ``used_up`` (negative) where a sampled step lies behind the row's end."""
-    picks = np.random.default_rng((seed, n)).integers(0, STEPS * n, (repetitions(), SAMPLED))
+def table_keys(walked: np.ndarray, n: int, used_up: int, number: int = 0) -> np.ndarray:
+    """A key for each row and table of walk ``number``; ``used_up`` (negative) where a sampled step lies behind the row's end."""
+    picks = np.random.default_rng((12, n, number)).integers(0, STEPS * n, (repetitions(), SAMPLED))
     keys = np.zeros((len(walked), len(picks)), np.int64)
     ended = np.zeros(keys.shape, bool)
     for k in range(SAMPLED):
         picked = walked[:, picks[:, k]]
         keys = keys << 24 | np.maximum(picked, 0)
         ended |= picked < 0
-    keys = keys << 10 | np.arange(len(picks))
+    keys = keys << 10 | np.arange(len(picks)) + number * len(picks)
     keys[ended] = used_up
     return keys
 
 
+def all_keys(rows: np.ndarray, n: int, used_up: int) -> np.ndarray:
+    return np.concatenate([table_keys(walk(rows, n, 11 + k), n, used_up, k) for k in range(WALKS)], axis=1)
+
+
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Fewest edits of ``item`` to any run of ``text``, with that run's start and end (the first such end)."""
     m = len(text)
@@ -116,7 +122,7 @@ class Benchmark:
         self.tables, self.chunks = {}, {}
         for n in {len(x) for x in self.items}:
             rows = [k for k, x in enumerate(self.items) if len(x) == n]
-            keys = table_keys(walk(np.stack([self.items[k] for k in rows]), n), n, -1)
+            keys = all_keys(np.stack([self.items[k] for k in rows]), n, -1)
             order = np.argsort(keys.ravel(), kind="stable")
             self.tables[n] = keys.ravel()[order], np.repeat(rows, keys.shape[1])[order]
 
@@ -184,7 +190,7 @@ class Benchmark:
     def _candidates(self, n: int, row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Items and the window starts, of one text each time, at which a table has both."""
         rows = row[np.minimum(starts[:, None] + np.arange(n), len(row) - 1)]
-        keys = table_keys(walk(rows, n), n, -2).ravel()
+        keys = all_keys(rows, n, -2).ravel()
         known, item = self.tables[n]
         low = np.searchsorted(known, keys, "left")
         full = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
