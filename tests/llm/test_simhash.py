@@ -81,3 +81,38 @@ def test_components(spark):
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in nodes}
     assert connected_components(spark.range(0).select(F.col("id").alias("src"), F.col("id").alias("dst"))).count() == 0
+
+
+def jaccard(a, b, n=5):
+    x, y = (set(simhash.shingles(t, n)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_all_pairs_of_a_posting_meet(spark):
+    """Texts half alike by a template stand between true pairs in the postings that they share."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template, rows, true = [word() for _ in range(200)], [], []
+    for k in range(700):
+        text = template + [word() for _ in range(100)]
+        rows.append((2 * k, " ".join(text)))
+        if k % 7 == 0:  # 6 words changed: alike by about 0.82
+            for at in range(210, 300, 15):
+                text = [*text[:at], word(), *text[at + 1 :]]
+            rows.append((2 * k + 1, " ".join(text)))
+            true.append((2 * k, 2 * k + 1))
+    text = dict(rows)
+    assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in true)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def names(t):
+        return int.from_bytes(simhash.wide_simhash(t, 5)[:8], "little", signed=True)
+
+    distinct = spark.createDataFrame([(names(t), *(int.from_bytes(simhash.wide_simhash(t, 5)[8 * k : 8 * k + 8], "little", signed=True) for k in range(4))) for t in text.values()], "name long, f0 long, f1 long, f2 long, f3 long")
+    positions, postings, most = simhash.index_shape(len(rows), 0.8)
+    posts = simhash.postings_of(distinct, positions, postings)
+    none = spark.createDataFrame([], "node long, component long")
+    got = {(x.a, x.b) for x in simhash.all_pairs(posts, none, distinct, most).collect()}
+    assert sum(tuple(sorted((names(text[a]), names(text[b])))) in got for a, b in true) >= 0.95 * len(true)
+    classes = {x.doc_id: x.class_id for x in simhash.near_duplicate_classes(df).collect()}
+    assert len(classes) == len(rows) and sum(classes[a] == classes[b] for a, b in true) >= 0.95 * len(true)
