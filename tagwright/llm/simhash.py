@@ -44,9 +44,26 @@ def simhash(text: str | None, words: int) -> int:
 
 
 def wide_simhash(text: str | None, words: int) -> bytes:
-    """256 bits by two 128-bit hashes of each shingle."""
-    digest = xxhash.xxh3_128_digest
-    return majority([digest(s, 1) + digest(s, 2) for s in shingles(text, words)], 32)
+    """256 bits by two 128-bit hashes of each distinct shingle."""
+    return wide_and_set(text, words)[0]
+
+
+def wide_and_set(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
+    """The wide fingerprint, and the shingle set as ``shingle_set`` has it."""
+    digest, distinct = xxhash.xxh3_128_digest, list(set(shingles(text, words)))
+    firsts = [digest(s, 1) for s in distinct]
+    hashes = np.unique(np.frombuffer(b"".join(firsts), "<i8")[::2])
+    return majority([a + digest(s, 2) for a, s in zip(firsts, distinct)], 32), hashes
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, 1) for s in set(shingles(text, words))]), "<i8")[::2])
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """One signed 64-bit number for a set of shingles: texts of one name have equal sets."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
 def fingerprints(df: DataFrame, words: int, text: str = "text", fingerprint: str = "fp") -> DataFrame:
@@ -166,24 +183,47 @@ def all_pairs(posts: DataFrame, of_component: DataFrame, distinct: DataFrame, mo
     return left.join(right, on & (differ <= most)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct()
 
 
+def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: names) whose texts in ``df`` (doc_id, text) have shingle sets of at least that Jaccard index."""
+
+    def sets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t.as_py(), words) for t in batch.column(0).slice(k, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["name", "hashes"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = df.select("text").mapInArrow(sets_in, "name long, hashes array<long>").join(needed, "name", "left_semi")
+    sets = staged(sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
+    named = lambda x: sets.select(F.col("name").alias(x), F.col("hashes").alias(f"{x}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    found = pairs.join(named("a"), "a").join(named("b"), "b").withColumn("both", both)
+    return found.where(F.col("both") + 1e-9 >= similarity * (F.size("a_set") + F.size("b_set") - F.col("both"))).select("a", "b")
+
+
 def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id of every row of ``df`` (doc_id, text): classes of texts whose shingle sets are about that alike.
 
     Bits are 256 here: at a similarity of 0.8 a SimHash bit differs with chance 0.15, and the inverted index posts each
     distinct fingerprint under the bits at fixed choices of positions (``index_shape``). All pairs of a posting count. Links are gathered in two steps, so that a large class costs no square of its size: first
     each fingerprint meets the smallest of its posting and the one before it; then all pairs of a posting meet that these
-    links have not yet put into one component, and no other pair can change a class. The number of differing bits decides.
-    ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
+    links have not yet put into one component, and no other pair can change a class. Pairs within the limit of bits become
+    links if the Jaccard index of their shingle sets is at least ``similarity`` (``alike``). ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
     empty table gives no rows.
     """
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.frombuffer(b"".join(wide_simhash(t.as_py(), words) for t in batch.column(1)), "<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(fp[:, 0])), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], ["doc_id", "name", *PARTS])
+            fps, names = [], []
+            for t in batch.column(1):
+                bits, hashes = wide_and_set(t.as_py(), words)
+                fps.append(bits)
+                names.append(set_name(hashes))
+            fp = np.frombuffer(b"".join(fps), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], ["doc_id", "name", *PARTS])
 
     rows = staged(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(wide, f"doc_id long, name long, {', '.join(f'{f} long' for f in PARTS)}"), "wide")
-    # the first 64 bits name a text from here on: texts that agree in all of these are alike
+    # texts of equal shingle sets are one from here on
     distinct = staged(rows.groupBy("name").agg(F.min("doc_id").alias("least"), *[F.min_by(f, F.struct(*PARTS)).alias(f) for f in PARTS]), "distinct")
     positions, postings, most = index_shape(distinct.count(), similarity)
     posts = staged(postings_of(distinct, positions, postings), "postings")
@@ -193,9 +233,11 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     named = lambda x: distinct.select(F.col("name").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in PARTS])
     differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
     first = staged(pairs.join(named("a"), "a").join(named("b"), "b").where(differ <= most).select("a", "b"), "pairs")
-    so_far = connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    second = staged(all_pairs(posts, so_far, distinct, most), "pairs")
-    linked = connected_components(first.union(second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    linked_first = staged(alike(first, df, words, similarity), "links")
+    so_far = connected_components(linked_first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    second = staged(all_pairs(posts, so_far, distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
+    linked_second = staged(alike(second, df, words, similarity), "links")
+    linked = connected_components(linked_first.union(linked_second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = linked.join(distinct, linked.node == distinct.name).select("name", "component", "least")
     named_by = members.groupBy("component").agg(F.min("least").alias("of_component"))
     moved = members.join(named_by, "component").select(F.col("name").alias("linked"), "of_component")

@@ -106,7 +106,7 @@ def test_all_pairs_of_a_posting_meet(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
     def names(t):
-        return int.from_bytes(simhash.wide_simhash(t, 5)[:8], "little", signed=True)
+        return simhash.set_name(simhash.shingle_set(t, 5))
 
     distinct = spark.createDataFrame([(names(t), *(int.from_bytes(simhash.wide_simhash(t, 5)[8 * k : 8 * k + 8], "little", signed=True) for k in range(4))) for t in text.values()], "name long, f0 long, f1 long, f2 long, f3 long")
     positions, postings, most = simhash.index_shape(len(rows), 0.8)
@@ -116,3 +116,42 @@ def test_all_pairs_of_a_posting_meet(spark):
     assert sum(tuple(sorted((names(text[a]), names(text[b])))) in got for a, b in true) >= 0.95 * len(true)
     classes = {x.doc_id: x.class_id for x in simhash.near_duplicate_classes(df).collect()}
     assert len(classes) == len(rows) and sum(classes[a] == classes[b] for a, b in true) >= 0.95 * len(true)
+
+
+def test_classes_link_only_what_is_alike(spark):
+    """Pairs at 0.7 and texts that share a repeated line stay apart; sets that are alike by 0.8 meet."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(60):
+        text = [word() for _ in range(400)]
+        rows.append((3 * k, " ".join(text)))
+        for j, changed in ((1, 14), (2, 7)):
+            copy = list(text)
+            for at in range(20, 20 + 25 * changed, 25):
+                copy[at] = word()
+            rows.append((3 * k + j, " ".join(copy)))
+    line = " ".join(word() for _ in range(8))
+    rows += [(1000 + k, " ".join([line] * 40 + [word() for _ in range(30)])) for k in range(10)]
+    text = dict(rows)
+    parent = {d: d for d in text}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in text:
+        for b in text:
+            if a < b and (a // 3 == b // 3 or min(a, b) >= 1000) and jaccard(text[a], text[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    want = {d: find(d) for d in text}
+    got = {x.doc_id: x.class_id for x in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(want[d] != d for d in text)
+    assert all(want[got[d]] == want[d] for d in text)  # nothing unlike is linked
+    assert sum(got[d] == want[d] for d in text) >= 0.97 * len(text)
+    odd = [(3, None), (2, ""), (5, "One"), (6, "one"), (None, "one"), (5, "One")]
+    got = simhash.near_duplicate_classes(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, 2), (2, 2), (5, 5), (6, 5), (None, 5), (5, 5)], key=str)
+    assert simhash.near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
