@@ -1,6 +1,7 @@
 """Toxicity: bags of subwords, averaged embeddings and a linear softmax, trained jointly in numpy.
 
-A text is the bag of its words' subwords: each word with marks at its ends, and its character n-grams, each hashed to one
+A text is the bag of its words' subwords: each word with marks at its ends, and all its character n-grams, however long
+it is (a text without blanks is one word), each hashed to one
 of ``BUCKETS`` vectors. The mean vector goes through a linear layer and a softmax over (clean, toxic). A word that was
 never seen, such as a misspelling, is scored by the n-grams that it shares with seen ones.
 
@@ -23,15 +24,34 @@ from pyspark.sql import functions as F
 SHORTEST, LONGEST = 3, 5  # characters of an n-gram, marks included
 BUCKETS = 1 << 17
 KEPT_WORDS = 200_000
+KEPT_LENGTH = 64  # characters of a word that a worker remembers; longer ones are scored each time
+LONG = 1000  # characters from which a word's n-grams are found by sorting
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
 def subwords(word: str) -> list[int]:
-    marked = f"<{word[:64]}>".encode() if word.isascii() else f"<{word[:64]}>"
+    """Buckets of the whole word with its marks and of its distinct n-grams."""
+    if len(word) > LONG:
+        return subwords_of_long(word)
+    marked = f"<{word}>".encode() if word.isascii() else f"<{word}>"
     grams = {marked[k : k + n] for n in range(SHORTEST, LONGEST + 1) for k in range(len(marked) - n + 1)} | {marked}
     return [zlib.crc32(g if isinstance(g, bytes) else g.encode()) & BUCKETS - 1 for g in grams]
 
 
+def subwords_of_long(word: str) -> list[int]:
+    """The same for a word of any length: distinct n-grams are found by sorting numbers, not in a set of strings."""
+    marked = f"<{word}>"
+    x = np.frombuffer(marked.encode("utf-32-le"), "<u4").astype(np.int64)
+    out = [zlib.crc32(marked.encode()) & BUCKETS - 1]
+    for n in range(SHORTEST, LONGEST + 1):
+        rank = np.zeros(len(x) - n + 1, np.int64)
+        for k in range(n):  # rank of the first k + 1 characters; below the word's length, so that this fits in 64 bits
+            rank = np.unique(rank << 21 | x[k : k + len(rank)], return_inverse=True)[1]
+        starts = np.unique(rank, return_index=True)[1]
+        out += [zlib.crc32(marked[a : a + n].encode()) & BUCKETS - 1 for a in starts.tolist()]
+    return out
+
+
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
@@ -118,6 +138,8 @@ class Words(dict):
         if value is None:
             buckets = subwords(word.strip(EDGES))
             value = complex(float(self.weight[buckets].sum()), len(buckets))
+        if len(word) > KEPT_LENGTH:
+            return value
         if len(self) >= KEPT_WORDS:
             self.old = dict(self)
             self.clear()

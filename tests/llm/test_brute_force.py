@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -168,3 +169,16 @@ def test_warc_salvage():
     assert [(at, size) for at, size, gap, _, _ in found if gap] == [(len(records[0]), len(records[1]))]
     assert sum(size for _, size, _, _, _ in found) == len(raw)
     assert [g for _, _, g, _, _ in warc.salvage(b"junk")] == ["no version line"] and not list(warc.salvage(b""))
+
+
+def test_toxicity_reads_long_words_to_their_end():
+    r = random.Random(6)
+    for letters in ("abc", "abcdefghé日本語𝒳"):
+        for n in (1, 64, 65, toxicity.LONG, toxicity.LONG + 1, 5000):
+            word = "".join(r.choice(letters) for _ in range(n))
+            marked = f"<{word}>"
+            grams = {marked[k : k + m] for m in (3, 4, 5) for k in range(len(marked) - m + 1)} | {marked}
+            assert sorted(toxicity.subwords(word)) == sorted(zlib.crc32(g.encode()) & toxicity.BUCKETS - 1 for g in grams)
+    words = toxicity.Words(toxicity.train(["bad awful", "nice day"] * 20, [1, 0] * 20))
+    clean, toxic = "niceday" * 20, "niceday" * 20 + "badawful" * 300
+    assert words.score(toxic) > words.score(clean) + 0.1 and toxic not in words
