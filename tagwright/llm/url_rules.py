@@ -5,6 +5,7 @@ Everything is DataFrame functions and Spark's own FP-growth.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -15,7 +16,6 @@ from tagwright.llm.shared import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "verdict:block"
-MOST_ITEMS = 12  # items of a URL: frequent sets are sets of these
 
 
 @dataclass(frozen=True)
@@ -49,17 +49,33 @@ def items(url: Column, host: Column, path: Column) -> Column:
     labels = F.transform(words(host, r"\."), lambda w: F.concat(F.lit("host:"), number(w)))
     parts = F.transform(words(path, "[/.]"), lambda w: F.concat(F.lit("path:"), number(w)))
     names = F.transform(words(query, "&"), lambda w: F.concat(F.lit("query:"), number(F.regexp_extract(w, "^[^=]*", 0))))
-    return F.slice(F.array_sort(F.array_distinct(F.concat(labels, parts, names))), 1, MOST_ITEMS)
+    return F.array_sort(F.array_distinct(F.concat(labels, parts, names)))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """Rules ``antecedent`` (array<string>) -> block, with confidence and support, from ``labelled`` (items, verdict).
+def mine(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, dict[str, str]]:
+    """Rules ``antecedent`` (array<string>) -> block, with confidence and support, from ``labelled`` (items, verdict), and stand-ins.
 
-    Only the most general rules stay: one that has another's items and more says nothing new.
+    Only the most general rules stay: one that has another's items and more says nothing new. So FP-growth, whose frequent
+    sets are exponential in the items of a URL, is spared what cannot be in such a rule with others: items that are too
+    rare among the blocked URLs, items that are a rule by themselves, and of items that stand in exactly the same URLs all
+    but the first. The stand-ins map each of the others to the first: a rule with the one holds for URLs with the other.
     """
-    baskets = labelled.select(F.when(F.col("verdict") == "block", F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items")).where(F.size("items") > 0)
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    rules = staged(found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
+    baskets = staged(labelled.select("items", (F.col("verdict") == "block").alias("block")).where("size(items) > 0 or block"), "baskets")
+    n = baskets.count()
+    least = max(1, math.ceil(support * n))
+    place = F.xxhash64("items").cast("decimal(38,0)")
+    each = baskets.select(F.explode("items").alias("item"), place.alias("place"), "block").groupBy("item").agg(F.count("*").alias("n"), F.count_if("block").alias("blocked"), F.sum("place").alias("places"))
+    # some of a URL's items are this frequent, so at most (items a URL) / support rows
+    frequent = each.where(F.col("blocked") >= least).orderBy("item").collect()
+    single = [r for r in frequent if r.blocked / r.n >= confidence]
+    first: dict[tuple, str] = {}
+    stand_in = {r.item: first.setdefault((r.n, r.blocked, r.places), r.item) for r in frequent if r.blocked / r.n < confidence}
+    kept = F.array_intersect("items", F.array(*map(F.lit, first.values())).cast("array<string>"))
+    marked = baskets.select(F.when(F.col("block"), F.array_append(kept, F.lit(BLOCK))).otherwise(kept).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked).associationRules
+    several = found.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    alone = labelled.sparkSession.createDataFrame([([r.item], r.blocked / r.n, r.blocked / n) for r in single], several.schema)
+    rules = staged(several.union(alone), "rules")
     a, b = rules.alias("a"), rules.select("antecedent", F.explode("antecedent").alias("item")).alias("b")
     narrow = (
         rules.select(F.col("antecedent").alias("wide"), F.explode("antecedent").alias("item"))
@@ -72,7 +88,15 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
         .select("wide")
         .distinct()
     )
-    return a.join(narrow, F.col("a.antecedent") == F.col("wide"), "left_anti").select("antecedent", "confidence", "support")
+    return a.join(narrow, F.col("a.antecedent") == F.col("wide"), "left_anti").select("antecedent", "confidence", "support"), {a: b for a, b in stand_in.items() if a != b}
+
+
+def stood_for(items: Column, stand_in: dict[str, str]) -> Column:
+    """``items`` with the stand-ins of those that have one in place of them."""
+    if not stand_in:
+        return items
+    named = F.create_map(*[F.lit(x) for pair in stand_in.items() for x in pair])
+    return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.coalesce(F.try_element_at(named, x), x))))
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -103,7 +127,9 @@ def judge(pages: DataFrame, rules: list[Rule], support: float = 0.005, confidenc
     open_ = rows.where("hit is null")
     if known.isEmpty():
         return rows.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
-    blocked = matched(open_.select("items").distinct(), mine(known, support, confidence)).select(F.col("items").alias("blocked"))
-    judged = rows.join(blocked, F.when(F.col("hit").isNull(), F.col("items")) == F.col("blocked"), "left")
+    mined, stand_in = mine(known, support, confidence)
+    stood = stood_for(F.col("items"), stand_in)
+    blocked = matched(open_.select(stood.alias("items")).distinct(), mined).select(F.col("items").alias("blocked"))
+    judged = rows.join(blocked, F.when(F.col("hit").isNull(), stood) == F.col("blocked"), "left")
     verdict = F.coalesce("hit.verdict", F.when(F.col("blocked").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))

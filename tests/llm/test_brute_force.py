@@ -1,6 +1,7 @@
 """Operators against plain versions of what they compute."""
 
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -182,3 +183,33 @@ def test_toxicity_reads_long_words_to_their_end():
     words = toxicity.Words(toxicity.train(["bad awful", "nice day"] * 20, [1, 0] * 20))
     clean, toxic = "niceday" * 20, "niceday" * 20 + "badawful" * 300
     assert words.score(toxic) > words.score(clean) + 0.1 and toxic not in words
+
+
+def test_url_rules_see_all_items_of_a_url(spark):
+    many = "&".join(f"a{chr(97 + k)}={k}" for k in range(26))  # 26 names that all known URLs share
+    rows = [(k, f"http://s.com/en/x?{many}&zbad={k}&zworse=1") for k in range(40)] + [(100 + k, f"http://s.net/de/x?{many}&zgood={k}") for k in range(40)]
+    rows += [(200, f"http://x.io/y?{many}&zbad=1"), (201, f"http://x.io/y?{many}&zgood=1"), (202, "http://x.io/y?zworse=1"), (203, f"http://x.io/y?{many}")]
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert [got[k] for k in (200, 201, 202, 203)] == ["block", "allow", "block", "allow"]
+
+
+def test_mined_rules_are_the_most_general_of_all(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(300):
+        held = {x for x in "abcdef" if r.random() < 0.5}
+        held |= {"g"} if "a" in held else set()  # g stands where a does
+        rows.append((sorted(held), "block" if {"a", "b"} <= held or "c" in held and "d" in held and r.random() < 0.95 else "allow"))
+    support, confidence = 0.02, 0.9
+    df = spark.createDataFrame(rows, "items array<string>, verdict string")
+    rules, stand_in = url_rules.mine(df, support, confidence)
+    some = [(set(i), v) for i, v in rows if i or v == "block"]
+    good = []
+    for n in range(1, 8):
+        for c in itertools.combinations("abcdefg", n):
+            hit = [v == "block" for i, v in some if set(c) <= i]
+            if sum(hit) >= support * len(some) and sum(hit) / len(hit) >= confidence and not any(set(g) < set(c) for g in good):
+                good.append(c)
+    assert stand_in == {"g": "a"} and any("a" in c for c in good)
+    assert {tuple(x.antecedent) for x in rules.collect()} == {c for c in good if "g" not in c}
+    assert {tuple(sorted(stand_in.get(x, x) for x in c)) for c in good} == {c for c in good if "g" not in c}
