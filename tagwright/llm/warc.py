@@ -23,6 +23,7 @@ from tagwright.llm.shared import shared_dir
 LEAST_REVISIT = 100  # payload bytes; smaller ones are stored every time
 ARCHIVE_BYTES = 4 << 20
 GZIP_LEVEL = 3
+PIECE = 4096  # bytes of a damaged member that are inflated at a time
 # The profile that marks a revisit of an equal payload, and the names of fields.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -113,53 +114,97 @@ def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, stop + 4
 
 
-def member(raw: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
+def member(raw: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``at``; of a damaged one what comes out before the damage, no end (-1) and the reason."""
     inflate = zlib.decompressobj(31)
     try:
         out = inflate.decompress(memoryview(raw)[at:])
+        if inflate.eof:
+            return out, len(raw) - len(inflate.unused_data), None
+        why = "gzip: cut off"
     except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not inflate.eof:
-        raise Damaged("gzip: cut off")
-    return out, len(raw) - len(inflate.unused_data)
+        why = f"gzip: {e}"
+    # an error takes all output of its call with it: again in pieces, the failing one byte by byte
+    inflate, held = zlib.decompressobj(31), []
+    for k in range(at, len(raw), PIECE):
+        before, piece = inflate.copy(), raw[k : k + PIECE]
+        try:
+            held.append(inflate.decompress(piece))
+        except zlib.error:
+            try:
+                for x in range(len(piece)):
+                    held.append(before.decompress(piece[x : x + 1]))
+            except zlib.error:
+                break
+    return b"".join(held), -1, why
+
+
+def inside(body: bytes) -> list[tuple[str | None, dict[str, str], bytes]]:
+    """(gap's reason or None, fields, block) of all records in a member's content and of the gaps between them, in order."""
+    found, at, why = [], 0, None
+    while at < len(body):
+        try:
+            fields, block, at = parse(body, at)
+        except Damaged as e:
+            why = why or str(e)
+            line = VERSION.search(body, at + 1)
+            at = line.start() if line else len(body)
+            continue
+        if why:
+            found.append((why, {}, b""))
+            why = None
+        found.append((None, fields, block))
+    return [*found, (why, {}, b"")] if why else found
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
     """(start, size, gap's reason or None, fields, block) of all records, and of the gaps between them, in order.
 
-    After a failed check the next gzip member or version line whose record passes all checks is where reading goes on;
-    every byte is in one record or one gap.
+    After a failed check the next gzip member or version line whose record passes all checks is where reading goes on, in a
+    member's content as well; of a member that is cut off or corrupt the records before the damage count. Every byte is in
+    one record or one gap: a member's bytes are its first record's or gap's, the others in it have size 0, and those of a
+    damaged member are the gap's that follows its records.
     """
-    at, bad, why = 0, None, ""
+    at, bad, why, given = 0, None, "", []
     while at < len(raw):
+        end, reason = -1, None
         try:
             if raw.startswith(MEMBER, at):
-                body, end = member(raw, at)
-                found, inner = [], 0
-                while inner < len(body):
-                    fields, block, inner = parse(body, inner)
-                    found.append((fields, block))
+                body, end, reason = member(raw, at)
+                found = inside(body)
+                if not any(gap is None for gap, _, _ in found):
+                    raise Damaged(reason or (found[0][0] if found else "empty member"))
             else:
                 fields, block, end = parse(raw, at)
-                found = [(fields, block)]
+                found = [(None, fields, block)]
+                if found[0] in given:
+                    raise Damaged("inside a damaged member")  # stored there without compression, and read with it
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            line = VERSION.search(raw, at + 1)
-            nexts = [x for x in (raw.find(MEMBER, at + 1), line.start() if line else -1) if x >= 0]
-            at = min(nexts, default=len(raw))
+            at = following(raw, at)
             continue
         if bad is not None:
             yield bad, at - bad, why, {}, b""
             bad = None
-        for k, (fields, block) in enumerate(found):
-            yield at, end - at if not k else 0, None, fields, block
-        at = end
+        if reason and found[-1][0]:
+            found.pop()  # the record that the damage cut is in the gap that follows
+        for k, (gap, fields, block) in enumerate(found):
+            yield at, end - at if not k and not reason else 0, gap, fields, block
+        if reason:
+            bad, why, given, at = at, reason, found, following(raw, at)
+        else:
+            at, given = end, []
     if bad is not None:
         yield bad, len(raw) - bad, why, {}, b""
 
 
+def following(raw: bytes, at: int) -> int:
+    """Where the next gzip member or version line after ``at`` may begin."""
+    line = VERSION.search(raw, at + 1)
+    return min((x for x in (raw.find(MEMBER, at + 1), line.start() if line else -1) if x >= 0), default=len(raw))
+
+
 def records(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps of ``archives`` (archive, content), see RECORDS. ``gap`` is the reason of a gap, else null."""
 

@@ -1,5 +1,6 @@
 """Operators against plain versions of what they compute."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -213,3 +214,28 @@ def test_mined_rules_are_the_most_general_of_all(spark):
     assert stand_in == {"g": "a"} and any("a" in c for c in good)
     assert {tuple(x.antecedent) for x in rules.collect()} == {c for c in good if "g" not in c}
     assert {tuple(sorted(stand_in.get(x, x) for x in c)) for c in good} == {c for c in good if "g" not in c}
+
+
+def test_warc_salvage_inside_gzip_members():
+    r = random.Random(8)
+    records = [warc.record(k, f"http://x/{k}", bytes(r.choice(b"abcdefghijklmnop") for _ in range(3000)), 3000, hashlib.sha256(b"").hexdigest(), None) for k in range(40)]
+    pages = lambda raw: [int(f["x-page-id"]) for _, _, gap, f, _ in warc.salvage(raw) if gap is None]
+    gaps = lambda raw: [gap for _, _, gap, _, _ in warc.salvage(raw) if gap]
+    plain = bytearray(b"".join(records))
+    whole = gzip.compress(bytes(plain))
+    assert pages(whole) == list(range(40)) and not gaps(whole)
+    plain[len(records[0]) + len(records[1]) - 30] ^= 1  # one inner record, in a member that is whole
+    inner = gzip.compress(bytes(plain))
+    assert pages(inner) == [0, *range(2, 40)] and gaps(inner) == ["block digest"]
+    cut = whole[: len(whole) // 2]
+    assert 15 <= len(pages(cut)) < 25 and pages(cut) == list(range(len(pages(cut)))) and gaps(cut) == ["gzip: cut off"]
+    bad_end = whole[:-8] + bytes(8)  # all inflates, the checksum fails
+    assert pages(bad_end) == list(range(40)) and len(gaps(bad_end)) == 1
+    corrupt = bytearray(whole)
+    corrupt[len(whole) // 2 : len(whole) // 2 + 200] = bytes(200)
+    after = bytes(corrupt) + gzip.compress(records[5])
+    assert len(pages(after)) > 15 and pages(after)[:15] == list(range(15)) and pages(after)[-1] == 5 and gaps(after)
+    stored = gzip.compress(b"".join(records[:10]), 0)[:-8] + bytes(8)
+    assert pages(stored) == list(range(10))
+    for raw in (whole, inner, cut, bad_end, after, stored):
+        assert sum(size for _, size, _, _, _ in warc.salvage(raw)) == len(raw)
