@@ -9,6 +9,7 @@ from tagwright.functions.text import col, text
 
 # Steps of a limit's suffix, and texts of truth values.
 SUFFIX = {"k": 1e3, "m": 1e6, "g": 1e9, "b": 1e9, "t": 1e12}
+NO_LIMIT = ("n/a", "na", "none", "null", "-", "--", "faulty tag", "faulty")
 TRUE, FALSE = ("1", "true", "yes", "y"), ("0", "false", "no", "n")
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd")
 
@@ -19,12 +20,19 @@ def number(c: Column | str) -> Column:
 
 
 def numeric_limit(c: Column | str) -> Column:
-    """struct(value, reason): a number that a size letter may follow; the reason is ``placeholder`` or ``non_numeric`` where there is none."""
-    t = F.lower(F.replace(text(c), F.lit(","), F.lit("")))
-    shape = r"^([-+]?[0-9]*\.?[0-9]+(?:e[-+]?[0-9]+)?)\s*([kmgbt]?)$"
-    step = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX.items() for x in kv]), F.regexp_extract(t, shape, 2))
-    value = F.regexp_extract(t, shape, 1).try_cast("double") * F.coalesce(step, F.lit(1.0))
-    why = F.when(value.isNotNull(), None).when(t.isin("", "-", "--", "n/a", "na", "none", "null"), "placeholder").otherwise("non_numeric")
+    """struct(value, reason) of the number that a text begins with, times what a size letter behind it says.
+
+    A blank has neither; a text that stands for no value has the reason ``placeholder``, another without a number
+    ``non-numeric:`` and its first 40 characters.
+    """
+    t = text(c)
+    whole = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    shape = r"^([+-]?[0-9]*\.?[0-9]+)\s*([kKmMgGbBtT]?)"
+    part = lambda k: F.regexp_extract(F.replace(t, F.lit(","), F.lit("")), shape, k)
+    step = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX.items() for x in kv]), F.lower(part(2)))
+    none = F.lower(t).isin(*NO_LIMIT)
+    value = F.when(none | (t == ""), None).when(whole, t.try_cast("double")).otherwise(part(1).try_cast("double") * F.coalesce(step, F.lit(1.0)))
+    why = F.when((t == "") | value.isNotNull(), None).when(none, "placeholder").otherwise(F.concat(F.lit("non-numeric:"), F.substring(t, 1, 40)))
     return F.struct(value.alias("value"), why.alias("reason"))
 
 

@@ -83,11 +83,30 @@ def relationships(rows: DataFrame, plant: str, rel_type: str, parent: str, child
 
 
 def one_edge_each(edges: DataFrame, symmetric: list[str]) -> DataFrame:
-    """One edge for every ordered pair of nodes, that of the highest priority, the earliest by ``seq`` of equals; symmetric types count for both orders."""
-    flip = F.col("rel_type").isin(*symmetric) & (F.col("from_node_id") > F.col("to_node_id"))
-    ends = edges.select(F.when(flip, F.col("to_node_id")).otherwise(F.col("from_node_id")).alias("from_node_id"), F.when(flip, F.col("from_node_id")).otherwise(F.col("to_node_id")).alias("to_node_id"), "rel_type", "priority", "seq")
-    best = F.min_by(F.struct("rel_type", "priority"), F.struct(-F.col("priority"), F.col("seq")))
-    return ends.groupBy("from_node_id", "to_node_id").agg(best.alias("e")).select("from_node_id", "to_node_id", "e.rel_type", "e.priority")
+    """One edge for each ordered pair of nodes: from_node_id, to_node_id, rel_type, priority.
+
+    Edges come in the order of ``seq``; loops and edges without an end are none. A pair keeps the type of its first edge until
+    one of another type has a higher priority. An edge of a ``symmetric`` type is left out where the opposite edge has that
+    type at the time. An edge that repeats the one before it changes nothing and goes before a pair's edges are gathered.
+    """
+    rel_type = F.replace(F.upper(F.trim("rel_type")), F.lit(" "), F.lit("_"))
+    ends = edges.where("from_node_id <> to_node_id").withColumn("rel_type", rel_type)
+    ends = ends.select(F.least("from_node_id", "to_node_id").alias("low"), F.greatest("from_node_id", "to_node_id").alias("high"), (F.col("from_node_id") < F.col("to_node_id")).alias("up"), "rel_type", "priority", "seq")
+    what = F.struct("up", "rel_type", "priority")
+    ends = ends.withColumn("_prior", F.lag(what).over(Window.partitionBy("low", "high").orderBy("seq"))).where(~what.eqNullSafe(F.col("_prior")))
+    events = F.array_sort(F.collect_list(F.struct("seq", "up", "rel_type", "priority")))
+    none = F.lit(None).cast(f"struct<rel_type:string,priority:{dict(ends.dtypes)['priority']}>")
+
+    def step(state, e):
+        own, other = F.when(e["up"], state["up"]).otherwise(state["down"]), F.when(e["up"], state["down"]).otherwise(state["up"])
+        dropped = e["rel_type"].isin(*symmetric) & F.coalesce(other["rel_type"] == e["rel_type"], F.lit(False)) if symmetric else F.lit(False)
+        kept = F.struct(F.when(own.isNull() | (e["priority"] > own["priority"]), e["rel_type"]).otherwise(own["rel_type"]).alias("rel_type"), F.greatest(own["priority"], e["priority"]).alias("priority"))
+        now = F.when(dropped, own).otherwise(kept)
+        return F.struct(F.when(e["up"], now).otherwise(state["up"]).alias("up"), F.when(e["up"], state["down"]).otherwise(now).alias("down"))
+
+    pairs = ends.groupBy("low", "high").agg(F.aggregate(events, F.struct(none.alias("up"), none.alias("down")), step).alias("s"))
+    both = F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b"), F.col("s.up").alias("e")), F.struct(F.col("high").alias("a"), F.col("low").alias("b"), F.col("s.down").alias("e")))
+    return pairs.select(F.explode(both).alias("p")).where("p.e is not null").select(F.col("p.a").alias("from_node_id"), F.col("p.b").alias("to_node_id"), "p.e.rel_type", "p.e.priority")
 
 
 def property_keys(nodes: DataFrame, properties: str) -> DataFrame:

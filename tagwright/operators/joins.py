@@ -20,9 +20,12 @@ def repeated_keys(right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], suffix: str = "_r", many_to_one: bool = False) -> DataFrame:
-    """Left join on cleaned keys; columns of both sides stay, the right's with ``suffix``. With ``many_to_one`` repeated keys are an error."""
-    if many_to_one and not repeated_keys(right, keys).isEmpty():
-        raise ValueError(f"keys repeat: {keys}")
+    """Left join on cleaned keys; columns of both sides stay, the right's with ``suffix``. With ``many_to_one`` repeated keys fail the query."""
+    if many_to_one:
+        others = [c for c in right.columns if c not in keys]
+        one = right.groupBy(*[join_key(k).alias(k) for k in keys]).agg(F.count("*").alias("_n"), F.any_value(F.struct(*others)).alias("_row"))
+        once = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"keys repeat: {keys}"))).otherwise(F.col("_row"))
+        right = one.withColumn("_row", once).select(*keys, "_row.*")
     named = right.select(*[join_key(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in keys])
     on = [join_key(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     return left.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
@@ -50,19 +53,6 @@ def with_mapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return df.join(one, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("new", column)).drop("old", "new")
 
 
-def crosswalk(long: DataFrame, short: DataFrame) -> DataFrame:
-    """``long`` (id, key) to ``short`` (tag, key): an equal key 1.0, else the first tag whose key stands among its words 0.8.
-
-    Words of the longer key are exploded and joined by equality, so no pair is compared that shares nothing.
-    """
-    tags = short.where("key <> ''").groupBy("key").agg(F.min("tag").alias("tag"))
-    exact = long.join(tags, "key").select("id", "tag", F.lit("exact").alias("method"), F.lit(1.0).alias("confidence"))
-    words = long.select("id", F.posexplode(F.split("key", "[^A-Z0-9]+")).alias("place", "word"))
-    held = words.join(tags.withColumnRenamed("key", "word"), "word").groupBy("id").agg(F.min_by("tag", F.struct("place", "tag")).alias("tag"))
-    contained = held.join(exact.select("id"), "id", "left_anti").select("id", "tag", F.lit("contains").alias("method"), F.lit(0.8).alias("confidence"))
-    return exact.union(contained)
-
-
 def first_candidate(df: DataFrame, key: str, candidates: Column, assets: DataFrame, asset: str) -> DataFrame:
     """Each row's first candidate that is an asset: key, asset, place. ``candidates`` is an array of texts."""
     found = df.select(key, F.posexplode(candidates).alias("place", asset)).join(assets.select(asset).distinct(), asset)
@@ -86,3 +76,9 @@ def per_parent(edges: DataFrame, most: int) -> DataFrame:
     """Fair sample of edges (parent, child): the first children of every parent before the second ones."""
     rank = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
     return edges.withColumn("rank", rank).orderBy("rank", "parent").limit(most)
+
+
+def index_to_tag(df: DataFrame, ref: str, table: DataFrame, place: str, tag: str) -> DataFrame:
+    """``ref`` with the tag of the row whose place (from 0) it gives as a number; other texts, and places that no row has, stay."""
+    names = table.select(F.col(place).cast("string").alias("_place"), F.col(tag).alias("_tag"))
+    return df.join(names, F.when(text(ref).rlike("^[0-9]+$"), text(ref)) == F.col("_place"), "left").withColumn(ref, F.coalesce("_tag", ref)).drop("_place", "_tag")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.functions.text import composite_key, is_blank
-from tagwright.operators.tables import keep_first
+from tagwright.operators.tables import keep_first, keep_last, last_non_blank
 
 
 def _blank(df: DataFrame, c: str):
@@ -74,3 +74,66 @@ def merge_properties(new: DataFrame, old: DataFrame, key: str, properties: str =
         return F.map_concat(kept, new_map)
 
     return both.select(key, over(F.col(properties), free(F.col("_np"))).alias(properties), over(F.col(lineage), free(F.col("_nl"))).alias(lineage))
+
+
+def insert_deduped(new: DataFrame, old: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A batch into a stored table: of its rows with one key each column's last value that is not blank, over the stored row's."""
+    one = last_non_blank(new, keys, order, [c for c in old.columns if c not in keys])
+    return coalesce_upsert(one, old, keys)
+
+
+def bulk_upsert(new: DataFrame, old: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The batch's last row of each key in place of the stored one, in all columns."""
+    return replace_by_key(keep_last(new, keys, [order]).select(*old.columns), old, keys)
+
+
+def delete_rows(old: DataFrame, asked: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and the keys asked for that no row has."""
+    return old.join(asked.select(*keys), keys, "left_anti"), asked.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
+
+
+def replace_strictly(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
+    """``replace_by_key`` of rows that all have an id of their own: a blank or repeated one fails the query."""
+    n = new.groupBy(key).agg(F.count("*").alias("_n"))
+    bad = F.when(is_blank(key), F.raise_error(F.lit("a row without an id"))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated id "), F.col(key).cast("string")))).otherwise(F.col(key))
+    checked = new.join(n, new[key].eqNullSafe(n[key]), "left").drop(n[key]).withColumn(key, bad).drop("_n")
+    return replace_by_key(checked.select(*new.columns), old, [key])
+
+
+def document_upsert(new: DataFrame, old: DataFrame, keys: list[str], payload: list[str], edited: str = "edited_by", version: str = "row_version") -> DataFrame:
+    """All rows with ``outcome``: a stored row takes the new payload, and one version more, only where some value differs and no
+    person edited it (the new row's own editor may)."""
+    n = new.select(*keys, F.struct(*payload, edited).alias("_new"))
+    both = n.join(old.select(*keys, F.struct(*payload, edited, version).alias("_old")), keys, "full")
+    differs = F.lit(False)
+    for c in payload:
+        differs = differs | ~F.col(f"_new.{c}").eqNullSafe(F.col(f"_old.{c}"))
+    free = F.col(f"_old.{edited}").isNull() | F.col(f"_new.{edited}").isNotNull()
+    outcome = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "inserted").when(differs & free, "updated").otherwise("unchanged")
+    both = both.withColumn("outcome", outcome)
+    taken = F.col("outcome").isin("inserted", "updated")
+    value = [F.when(taken, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in [*payload, edited]]
+    count = F.when(F.col("outcome") == "inserted", 1).when(F.col("outcome") == "updated", F.col(f"_old.{version}") + 1).otherwise(F.col(f"_old.{version}"))
+    return both.select(*keys, *value, count.alias(version), "outcome")
+
+
+def replace_label(new: DataFrame, old: DataFrame, label: str, value: str, keys: list[str], order: str) -> DataFrame:
+    """A materialised view with the rows of one label computed anew, the last of each key."""
+    fresh = keep_last(new.where(F.col(label) == value), [label, *keys], [order])
+    return old.where(~F.col(label).eqNullSafe(F.lit(value))).unionByName(fresh.select(*old.columns))
+
+
+def duplicate_verdicts(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """file_uid, duplicate_of, matched_on, is_duplicate of uploaded files (file_uid, file_name, size_bytes, content_hash, category).
+
+    The first of: equal content in the same category, equal content, equal name and size, equal name (no duplicate, but told).
+    Of several stored files the first by ``order``. A stored file is found by equality of content or name, never pair by pair.
+    """
+    s = stored.select(F.col("flow_uid").alias("duplicate_of"), F.col(order).alias("_order"), *[F.col(c).alias(f"_{c}") for c in ("file_name", "size_bytes", "content_hash", "category")])
+    same_category = F.lower(F.coalesce("category", F.lit(""))) == F.lower(F.coalesce("_category", F.lit("")))
+    first = lambda rows, rank: rows.select("file_uid", F.struct(rank.alias("rank"), "_order", "duplicate_of").alias("hit")).groupBy("file_uid").agg(F.min("hit").alias("hit"))
+    by_content = first(new.join(s, F.col("content_hash") == F.col("_content_hash")), F.when(same_category, 1).otherwise(2))
+    by_name = first(new.join(s, F.col("file_name") == F.col("_file_name")), F.when(F.col("size_bytes") == F.col("_size_bytes"), 3).otherwise(4))
+    best = by_content.union(by_name).groupBy("file_uid").agg(F.min("hit").alias("hit"))
+    named = F.get(F.array(*map(F.lit, ("content_hash", "content_hash_other_category", "name_and_size", "name_only"))), F.col("hit.rank") - 1)
+    return new.select("file_uid").join(best, "file_uid", "left").select("file_uid", "hit.duplicate_of", named.alias("matched_on"), F.coalesce(F.col("hit.rank") < 4, F.lit(False)).alias("is_duplicate"))

@@ -67,14 +67,7 @@ def orphans(spark, d):
     return joins.orphans(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), "c_custkey", "o_custkey")
 
 
-def crosswalk(spark, d):
-    """Part names to tags: the last words of all names, and some whole names."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), x.normalize_asset("p_name").alias("key"))
-    keys = p.select(F.element_at(F.split("key", " "), -1).alias("key")).union(p.where("id % 7 = 0").select("key")).distinct()
-    return joins.crosswalk(p, keys.withColumn("tag", F.concat(F.lit("T-"), "key")))
-
-
-def identity_ladder(spark, d):
+def first_known_word(spark, d):
     """The first word with letters and digits of each document that is a known one (a word of a benchmark item)."""
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]{7,}"), 0)
     known = table(spark, d, "benchmark").select(F.explode(words("text")).alias("asset"))
@@ -152,12 +145,8 @@ QUERIES = {
     "modal_per_key": (modal_per_key, "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) = 1"),
     "known_flag": (known_flag, "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000) AS asset_mapped FROM customer"),
     "orphans": (orphans, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
-    "crosswalk": (
-        crosswalk,
-        "WITH p AS (SELECT p_partkey AS id, upper(trim(p_name)) AS key FROM part), g AS (SELECT split_part(key, ' ', -1) AS k FROM p UNION SELECT key FROM p WHERE id % 7 = 0), x AS (SELECT id, 'T-' || key AS tag, 'exact' AS method, 1.0::DOUBLE AS confidence FROM p WHERE key IN (FROM g)), w AS (SELECT id, unnest(regexp_split_to_array(key, '[^A-Z0-9]+')) AS word, generate_subscripts(regexp_split_to_array(key, '[^A-Z0-9]+'), 1) AS place FROM p) SELECT * FROM x UNION ALL SELECT id, 'T-' || arg_min(word, place), 'contains', 0.8 FROM w JOIN g ON word = k WHERE id NOT IN (SELECT id FROM x) GROUP BY id",
-    ),
-    "identity_ladder": (
-        identity_ladder,
+    "first_known_word": (
+        first_known_word,
         "WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS asset FROM benchmark), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS asset, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{7,}'), 1) - 1 AS place FROM documents) SELECT doc_id, arg_min(asset, place) AS asset, min(place)::BIGINT AS place FROM w JOIN g USING (asset) GROUP BY 1",
     ),
     "relationships": (
@@ -166,7 +155,13 @@ QUERIES = {
     ),
     "relation_conflicts": (
         relation_conflicts,
-        "WITH l AS (SELECT 'p' || l_partkey % 50 AS a, 'p' || l_suppkey % 50 AS b, l_returnflag AS rel_type, l_quantity::INTEGER AS priority, l_orderkey * 100 + l_linenumber AS seq FROM lineitem), o AS (SELECT CASE WHEN rel_type = 'N' THEN least(a, b) ELSE a END AS from_node_id, CASE WHEN rel_type = 'N' THEN greatest(a, b) ELSE b END AS to_node_id, rel_type, priority, seq FROM l) SELECT from_node_id, to_node_id, rel_type, priority FROM o QUALIFY row_number() OVER (PARTITION BY from_node_id, to_node_id ORDER BY priority DESC, seq) = 1",
+        """WITH RECURSIVE l AS (SELECT least(l_partkey % 50, l_suppkey % 50) AS lo, greatest(l_partkey % 50, l_suppkey % 50) AS hi, l_partkey % 50 < l_suppkey % 50 AS num_up, 'p' || l_partkey % 50 AS a, 'p' || l_suppkey % 50 AS b, l_returnflag AS t, l_quantity::INTEGER AS p, l_orderkey * 100 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 50 <> l_suppkey % 50),
+e AS (SELECT lo, hi, a < b AS up, least(a, b) AS x, greatest(a, b) AS y, t, p, row_number() OVER (PARTITION BY lo, hi ORDER BY seq) AS rn FROM l),
+r AS (SELECT DISTINCT lo, hi, x, y, 0::BIGINT AS rn, NULL::VARCHAR AS ut, NULL::INTEGER AS pu, NULL::VARCHAR AS dt, NULL::INTEGER AS pd FROM e UNION ALL
+ SELECT r.lo, r.hi, r.x, r.y, e.rn, CASE WHEN NOT up OR (t = 'N' AND coalesce(dt = t, FALSE)) THEN ut WHEN ut IS NULL OR p > pu THEN t ELSE ut END, CASE WHEN NOT up OR (t = 'N' AND coalesce(dt = t, FALSE)) THEN pu ELSE greatest(pu, p) END,
+  CASE WHEN up OR (t = 'N' AND coalesce(ut = t, FALSE)) THEN dt WHEN dt IS NULL OR p > pd THEN t ELSE dt END, CASE WHEN up OR (t = 'N' AND coalesce(ut = t, FALSE)) THEN pd ELSE greatest(pd, p) END FROM r JOIN e ON e.lo = r.lo AND e.hi = r.hi AND e.rn = r.rn + 1),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lo, hi ORDER BY rn DESC) = 1)
+SELECT x AS from_node_id, y AS to_node_id, ut AS rel_type, pu AS priority FROM f WHERE ut IS NOT NULL UNION ALL SELECT y, x, dt, pd FROM f WHERE dt IS NOT NULL""",
     ),
     "graph_neighbors": (graph_neighbors, f"WITH {EDGES}, {WAYS}, n AS (SELECT b AS node_id FROM w WHERE a IN ('n3', 'r1') UNION SELECT unnest(['n3', 'r1'])) SELECT relationship_id, from_node_id, to_node_id FROM e WHERE from_node_id IN (FROM n) AND to_node_id IN (FROM n)"),
     "graph_path": (

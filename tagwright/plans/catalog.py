@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.plans import assets, series, stored
+from tagwright.plans import assets, entities, identity, series, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (series, assets, stored, identity, entities)
 FLAGSHIP = "ts_quality_score"
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for part in (series, assets, stored) for name, (q, _) in part.QUERIES.items()}
+    return {name: q for part in PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in (series, assets, stored) for name, (_, sql) in part.QUERIES.items() if sql}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}

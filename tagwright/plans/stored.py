@@ -128,9 +128,11 @@ def integrated_view(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", "lang").join(first, "doc_id", "left").select("doc_id", "source", "lang", F.coalesce(F.col("quality"), F.lit(-1)).alias("quality"))
 
 
+LIMIT = "CASE p_partkey % 8 WHEN 0 THEN concat(p_size, 'k') WHEN 1 THEN '-' WHEN 2 THEN p_name WHEN 3 THEN concat('1,', 100 + p_size) WHEN 4 THEN concat(p_size, '.5 degC') WHEN 5 THEN ' ' WHEN 6 THEN concat('-', p_size, 'e2') ELSE 'Faulty tag' END"
+
+
 def numeric_limits(spark, d):
-    raw = F.when(F.col("p_size") % 4 == 0, F.concat(F.col("p_size"), F.lit("k"))).when(F.col("p_size") % 4 == 1, "-").when(F.col("p_size") % 4 == 2, F.col("p_name")).otherwise(F.concat(F.lit("1,"), F.lpad(F.col("p_size").cast("string"), 3, "0")))
-    return table(spark, d, "part").select("p_partkey", coerce.numeric_limit(raw).alias("v")).select("p_partkey", "v.value", "v.reason")
+    return table(spark, d, "part").select("p_partkey", coerce.numeric_limit(F.expr(LIMIT)).alias("v")).select("p_partkey", "v.value", "v.reason")
 
 
 def coerce_values(spark, d):
@@ -186,7 +188,7 @@ QUERIES = {
     "integrated_view": (integrated_view, "SELECT d.doc_id, source, lang, coalesce(q, -1) AS quality FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)"),
     "numeric_limits": (
         numeric_limits,
-        "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size * 1000.0::DOUBLE WHEN 3 THEN 1000.0::DOUBLE + p_size END AS value, CASE p_size % 4 WHEN 1 THEN 'placeholder' WHEN 2 THEN 'non_numeric' END AS reason FROM part",
+        "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size * 1000.0::DOUBLE WHEN 3 THEN 1100.0::DOUBLE + p_size WHEN 4 THEN p_size + 0.5::DOUBLE WHEN 6 THEN -100.0::DOUBLE * p_size END AS value, CASE p_partkey % 8 WHEN 1 THEN 'placeholder' WHEN 2 THEN 'non-numeric:' || trim(p_name)[1:40] WHEN 7 THEN 'placeholder' END AS reason FROM part",
     ),
     "coerce_values": (coerce_values, "SELECT o_orderkey, try_cast(nullif(regexp_extract(o_orderpriority, '-?[0-9]+(?:\\.[0-9]+)?'), '') AS DOUBLE) AS priority, o_orderstatus = 'O' AS is_open, o_orderkey * 1000 AS ms FROM orders"),
     "distinct_values": (distinct_values, "SELECT DISTINCT p_brand, p_type FROM part"),

@@ -30,7 +30,7 @@ def test_text(spark):
 
 
 def test_coercion(spark):
-    assert [tuple(one(spark, coerce.numeric_limit, v)) for v in ("1.5k", "1,000", "-", "abc", None)] == [(1500.0, None), (1000.0, None), (None, "placeholder"), (None, "non_numeric"), (None, "placeholder")]
+    assert [tuple(one(spark, coerce.numeric_limit, v)) for v in ("1.5k", "1,000", "-", "abc", None)] == [(1500.0, None), (1000.0, None), (None, "placeholder"), (None, "non-numeric:abc"), (None, None)]
     assert [one(spark, coerce.truth, v) for v in ("Yes", "0", "maybe")] == [True, False, None]
     assert str(one(spark, coerce.timestamp, "31/12/2024")).startswith("2024-12-31")
     assert one(spark, coerce.timestamp, "no date") is None
