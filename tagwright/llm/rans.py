@@ -14,6 +14,7 @@ checkpoints. The header has the CRC-32 of the identifiers and of the rest of the
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagwright.llm.shared import pieces, shared_dir, staged
+from tagwright.llm.shared import in_a_row, pieces, shared_dir, staged
 
 PRECISION = 20
 LOWEST = np.uint64(1 << 31)
@@ -36,7 +37,6 @@ CHECK_STEPS = 128
 BLOCK_IDS = 1 << 18
 MAGIC = b"TWR1"
 HEAD = struct.Struct("<4sIQIIIII")  # magic, lanes, ids, documents, checkpoints, words, CRC of ids, CRC of what follows
-KEPT_CHUNKS = 400_000
 KEPT_HEADS = 600_000
 TOGETHER = 2000  # heads that the library sees at a time
 MARK = "\x01"
@@ -62,8 +62,8 @@ class LibraryChunks:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[str, bytes] = {"": b""}
         self.heads: dict[str, bytes] = {"": b""}
+        self.kind = id_type(tokenizer_json)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -71,65 +71,89 @@ class LibraryChunks:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, heads: list[str]) -> None:
-        plain = [h for h in heads if self.mark is not None and MARK not in h and "<|" not in h]
-        for h in set(heads).difference(plain):
-            self.heads[h] = np.array(self._ids(h), "<u4").tobytes()
+        plain, heads_of, size = [], self.heads, np.dtype(self.kind).itemsize
+        for h in heads:
+            if self.mark is None or MARK in h or "<|" in h:
+                heads_of[h] = np.array(self._ids(h), self.kind).tobytes()
+            else:
+                plain.append(h)
         for k in range(0, len(plain), TOGETHER):
             part = plain[k : k + TOGETHER]
-            ids = np.array(self._ids(f" {MARK} ".join([*part, ""])), "<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            packed, at = ids.tobytes(), 0
-            for h, end in zip(part, ends, strict=True):
-                self.heads[h] = packed[4 * at : 4 * end]
-                at = end + 1
-
-    def _packed(self, words: list[str]) -> list[bytes]:
-        new = {}
-        for c in set(words).difference(self.chunks):
-            head = c.rstrip(PUNCTUATION)
-            if "<|" in c or not head[-1:].isalpha():  # other marks would join the punctuation
-                new[c] = c, ""
-            else:
-                new[c] = head.lower() if head.isascii() else head, c[len(head) :]
-        self._learn(list({x for pair in new.values() for x in pair}.difference(self.heads)))
-        heads = self.heads
-        for c, (head, tail) in new.items():
-            self.chunks[c] = heads[head] + heads[tail]
-        out = list(map(self.chunks.__getitem__, words))
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks = {"": b""}
-        if len(heads) > KEPT_HEADS:
-            self.heads = {h: heads[h] for pair in new.values() for h in pair} | {"": b""} if len(new) < KEPT_HEADS // 4 else {"": b""}
+            ids = np.array(self._ids(f" {MARK} ".join([*part, ""])), self.kind)
+            ends = size * np.flatnonzero(ids == self.mark)
+            packed = ids.tobytes()
+            for h, at, end in zip(part, [0, *(ends + size).tolist()], ends.tolist(), strict=False):
+                heads_of[h] = packed[at:end]
+            if len(ends) != len(part):
+                raise ValueError("a mark is missing")
+
+    def _packed(self, heads: list[str]) -> list[bytes]:
+        known = self.heads
+        self._learn(list(set(heads).difference(known)))
+        out = list(map(known.__getitem__, heads))
+        if len(known) > KEPT_HEADS:
+            self.heads = {"": b""} | (dict(zip(heads, out)) if len(heads) < KEPT_HEADS // 4 else {})
         return out
 
-    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
-        """Packed ids of each text, then ``end``. Each different word is looked up once; numpy puts the words' ids in a row."""
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """Packed ids of each text, then ``end``. Each different head is looked up once; numpy puts the words' ids in a row."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        words = lists.flatten().dictionary_encode()
-        packed, at = self._packed(words.dictionary.to_pylist()), words.indices.to_numpy()
-        size = np.array([len(p) // 4 for p in packed], np.int64)
-        first, n = (np.cumsum(size) - size)[at], size[at]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(packed), "<u4")[np.repeat(first - ends + n, n) + np.arange(n.sum())]
-        raw, cuts = ids.tobytes(), 4 * np.concatenate([[0], ends])[np.cumsum([0, *lists.value_lengths().to_pylist()])]
-        return [raw[a:b] + end for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        words, per = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy()
+        heads, tails = (x.dictionary_encode() for x in cut(words.dictionary))
+        packed = [*self._packed(heads.dictionary.to_pylist()), *self._packed(tails.dictionary.to_pylist()), np.array([end], self.kind).tobytes(), b""]
+        parts = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], axis=1).ravel()
+        ids, n = in_a_row(np.frombuffer(b"".join(packed), self.kind), np.array(list(map(len, packed))) // np.dtype(self.kind).itemsize, np.append(parts, [len(packed) - 2, len(packed) - 1]))
+        # the end, the last of the words now, stands behind each text's
+        ids, n = in_a_row(ids, n.reshape(-1, 2).sum(axis=1), np.insert(words.indices.to_numpy(), np.cumsum(per), len(words.dictionary)))
+        cuts = np.dtype(self.kind).itemsize * np.append(0, np.append(0, np.cumsum(n))[np.cumsum(per + 1)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word's head and the punctuation at its end, where the head ends in a letter; else the word and nothing.
+
+    The head has to end in a letter after lower-casing, too: a mark at its end would join the punctuation.
+    """
+    heads = pc.utf8_rtrim(words, PUNCTUATION)
+    whole, size = pc.binary_length(words).to_numpy(), pc.binary_length(heads).to_numpy()
+    ends = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset + 1 :][: len(heads)]
+    data = np.frombuffer(heads.buffers()[2] or b"", np.uint8)
+    last = np.where(size > 0, data[np.maximum(ends - 1, 0)], 0) if len(data) else np.zeros(len(heads), np.uint8)
+    apart = ((last | 32) >= 97) & ((last | 32) <= 122) & (last < 128)
+    wide = np.flatnonzero(last >= 128)
+    apart[wide] = [h[-1].lower()[-1].isalpha() for h in heads.take(pa.array(wide)).to_pylist()]
+    apart &= (whole > size) & ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(apart)
+    tails = np.full(len(words), "", object)
+    tails[rows] = [w[-n:] for w, n in zip(words.take(pa.array(rows)).to_pylist(), (whole - size)[rows].tolist())]
+    heads = pc.if_else(pa.array(apart), heads, words)
+    return pc.if_else(pc.string_is_ascii(heads), pc.ascii_lower(heads), heads), pa.array(tails, pa.string())
+
+
+def id_type(tokenizer_json: str) -> str:
+    """Two bytes for an id where all of a vocabulary's fit, else four."""
+    model = json.loads(tokenizer_json)
+    most = max([*model["model"]["vocab"].values(), *(x["id"] for x in model["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 _library: dict[str, LibraryChunks] = {}
 
 
 def tokenize(df: DataFrame, tokenizer_json: str, end_id: int, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the whole text's ids and ``end_id`` after them, as little-endian unsigned 32-bit integers in binary ``ids``. Null text: ``end_id`` alone."""
+    """``df`` with the whole text's ids and ``end_id`` after them, as integers of ``id_type`` in binary ``ids``. Null text: ``end_id`` alone."""
+    if end_id >= 1 << 8 * np.dtype(id_type(tokenizer_json)).itemsize:
+        raise ValueError("end_id is wider than the vocabulary's ids")
     model = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if model.value not in _library:
             _library[model.value] = LibraryChunks(model.value)
-        chunks, end = _library[model.value], struct.pack("<I", end_id)
+        chunks = _library[model.value]
         for texts in batches:
             for piece in pieces(texts, PIECE_BYTES):
-                yield pa.array(chunks.encode(piece, end), pa.binary())
+                yield chunks.encode(piece, end_id).cast(pa.binary())
 
     return df.withColumn(ids, packed(F.col(f"`{text}`")))
 
@@ -211,21 +235,20 @@ class Coder:
         return out
 
 
-def pack_block(coder: Coder, docs: list[tuple[int | None, bytes]]) -> bytes:
-    raw = b"".join(d for _, d in docs)
-    ids = np.frombuffer(raw, "<u4")
+def pack_block(coder: Coder, docs: list[tuple[int | None, bytes]], kind: str = "<u4") -> bytes:
+    ids, size = np.frombuffer(b"".join([d for _, d in docs]), kind), np.dtype(kind).itemsize
     x, words, marks = coder.encode(ids)
     body = b"".join(
         [
             np.array([d or 0 for d, _ in docs], "<i8").tobytes(),
             np.array([d is None for d, _ in docs], np.uint8).tobytes(),
-            np.array([len(r) // 4 for _, r in docs], "<u4").tobytes(),
+            np.array([len(r) // size for _, r in docs], "<u4").tobytes(),
             *(struct.pack("<Q", at) + states.astype("<u8").tobytes() for at, states in marks),
             x.astype("<u8").tobytes(),
             words.astype("<u4").tobytes(),
         ]
     )
-    return HEAD.pack(MAGIC, len(x), len(ids), len(docs), len(marks), len(words), zlib.crc32(raw), zlib.crc32(body)) + body
+    return HEAD.pack(MAGIC, len(x), len(ids), len(docs), len(marks), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
 class Block:
@@ -259,8 +282,8 @@ class Block:
         return out
 
 
-def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> None:
-    """Write the packed ids of ``df`` to the folder ``path`` in ascending ``doc_id`` (null first; equal ids in no set order).
+def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", kind: str = "<u4") -> None:
+    """Write the packed ids of ``df`` (numpy type ``kind``) to the folder ``path`` in ascending ``doc_id`` (null first; equal ids in no set order).
 
     ``df`` is read twice, for the frequencies and for the blocks: hand in a written table.
     """
@@ -268,8 +291,8 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_py() or b"", "<u4"))
+            for part in pieces(batch.column(0), PIECE_BYTES):
+                n = np.bincount(np.frombuffer(b"".join([x or b"" for x in part.to_pylist()]), kind))
                 if len(n) > len(total):
                     total, n = n.astype(np.int64), total
                 total[: len(n)] += n
@@ -283,17 +306,17 @@ def write_store(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
     shared = spark.sparkContext.broadcast(table)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, k, before = Coder(shared.value), TaskContext.get().partitionId(), 0, 0
+        coder, part, k, before, size = Coder(shared.value), TaskContext.get().partitionId(), 0, 0, np.dtype(kind).itemsize
 
         def row(docs, n):
-            values = [[part], [k], [before], [len(docs)], [n], [pack_block(coder, docs)]]
+            values = [[part], [k], [before], [len(docs)], [n], [pack_block(coder, docs, kind)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, BLOCK_TYPES)], BLOCK_NAMES)
 
         docs, n = [], 0
         for batch in batches:
             for d, x in zip(batch.column(0), batch.column(1)):
                 docs.append((d.as_py(), x.as_py() or b""))
-                n += len(docs[-1][1]) // 4
+                n += len(docs[-1][1]) // size
                 if n >= BLOCK_IDS:
                     yield row(docs, n)
                     docs, n, k, before = [], 0, k + 1, before + n
@@ -337,5 +360,5 @@ def round_trip(df: DataFrame, tokenizer_json: str, end_id: int) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagwright/store-{uuid.uuid4().hex}"
     packed = staged(tokenize(df.select("doc_id", "text"), tokenizer_json, end_id).select("doc_id", "ids"), "ids")
-    write_store(packed, path)
+    write_store(packed, path, kind=id_type(tokenizer_json))
     return read_store(spark, path)

@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 
 def pieces(values: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
     """The rows of a column of texts or lists in turn, in slices of about so many bytes, so that a worker holds the results of one slice."""
-    size = pc.binary_length(values) if pa.types.is_string(values.type) or pa.types.is_large_string(values.type) else pc.multiply(pc.list_value_length(values), 4)
+    size = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
     piece = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(values)]
     for a, b in zip(cuts, cuts[1:]):
         yield values.slice(a, b - a)
 
 
+def in_a_row(flat: np.ndarray, size: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes in ``flat`` the picked ones in turn, and their sizes."""
+    n = size[picks]
+    ends = np.cumsum(n)
+    return flat[np.repeat((np.cumsum(size) - size)[picks] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +46,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def within(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most so many rows; otherwise as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of every node of ``edges`` (src long, dst long): node, component = the smallest node that it reaches.
 

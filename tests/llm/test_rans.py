@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,6 +55,15 @@ def test_query_matches_the_library(spark):
     assert got == expected(rows, tokenizer)
 
 
+def test_words_with_marks_at_their_ends():
+    library, chunks, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), rans.LibraryChunks(queries.vocabulary("word_bpe_49k.json")), random.Random(6)
+    texts = ["İ.", "İ)", "İ_", "İ-", "É.", "H\u0331.", "ﬀ!", "ß?", "Σ.", "aΣ. b", "ǅ,", "<|x.", "don't.", "'s.", "a.b.", "...", "日本。.", "1.", "a1.", "a\u0301.", ""]
+    texts += ["".join(r.choice("aB é́İ\n\t1.'s!)_-日　Σß\u0331") for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    got = chunks.encode(pa.array([*texts, None]), 1).to_pylist()
+    for t, x in zip([*texts, ""], got, strict=True):
+        assert np.frombuffer(x, chunks.kind).tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
 def test_odd_texts(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(5)
