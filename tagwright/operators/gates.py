@@ -55,3 +55,43 @@ def drift(now: DataFrame, before: DataFrame, most: float = 0.5) -> DataFrame:
 def worst(severity: Column) -> Column:
     """BLOCKED, WARNINGS or PASSED of many checks."""
     return F.when(F.max(severity == "BLOCK"), "BLOCKED").when(F.max(severity == "WARN"), "WARNINGS").otherwise("PASSED")
+
+
+def headers(df: DataFrame, expected: list[str]) -> DataFrame:
+    """Columns that are missing (BLOCK if any) and columns more than expected."""
+    missing, extra = [c for c in expected if c not in df.columns], [c for c in df.columns if c not in expected]
+    status = "BLOCK" if missing else "PASS"
+    return df.sparkSession.createDataFrame([(",".join(missing), ",".join(extra), status)], "missing string, extra string, status string")
+
+
+def contract(df: DataFrame, name: str, required: list[str], most_null: float = 1.0) -> DataFrame:
+    """dataset, n_rows, problems, status: required columns that are missing or null at or above the limit, no rows, no contract. One pass."""
+    present = [c for c in required if c in df.columns]
+    missing = [c for c in required if c not in df.columns]
+    n = F.count("*")
+    shares = [F.when((n > 0) & (F.count_if(F.col(c).isNull()) / n >= most_null), F.concat(F.lit(f"{c} is "), F.round(F.count_if(F.col(c).isNull()) / n * 100).cast("int"), F.lit(f"% null, at or over the {round(most_null * 100)}% limit"))) for c in present]
+    fixed = [F.lit(f"missing required columns: {', '.join(missing)}")] * bool(missing)
+    empty = F.when(n == 0, F.lit("produced 0 rows"))
+    none = [F.when(n > 0, F.lit("no contract for this dataset, so nothing was checked"))] * (not required)
+    problems = F.filter(F.array(*fixed, empty, *shares, *none), lambda x: x.isNotNull())
+    return df.agg(n.alias("n_rows"), F.array_join(problems, "; ").alias("problems")).select(F.lit(name).alias("dataset"), "n_rows", "problems", F.when(F.col("problems") == "", "PASS").otherwise("FAIL").alias("status"))
+
+
+def repeated_relationships(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Relationships that stand more than once, rows beyond the first, and the status."""
+    g = edges.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    out = g.agg(F.count("*").alias("relationships"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
+    return out.withColumn("status", F.when(F.col("extra_rows") > 0, "WARN").otherwise("PASS"))
+
+
+def coverage(tables: dict[str, DataFrame], declared: dict[str, list[str]]) -> DataFrame:
+    """For each declared table: declared columns, those it has, their share in percent."""
+    rows = [(t, len(cs), len([c for c in cs if t in tables and c in tables[t].columns])) for t, cs in declared.items()]
+    out = next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, declared long, present long")
+    return out.withColumn("coverage_pct", F.round(F.when(F.col("declared") > 0, F.col("present") / F.col("declared") * 100).otherwise(0.0), 2))
+
+
+def metadata_report(described: DataFrame, stored: DataFrame, tag: str) -> DataFrame:
+    """tag, state of every tag that is described without samples (missing) or has samples without a description (extra)."""
+    a, b = described.select(tag).distinct(), stored.select(tag).distinct()
+    return a.join(b, tag, "left_anti").withColumn("state", F.lit("missing")).union(b.join(a, tag, "left_anti").withColumn("state", F.lit("extra")))

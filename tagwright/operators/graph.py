@@ -117,3 +117,72 @@ def property_keys(nodes: DataFrame, properties: str) -> DataFrame:
 def fan_depth(edges: DataFrame) -> DataFrame:
     """Edges with how many edges leave their first node and how many enter their second."""
     return edges.withColumns({"out_degree": F.count("*").over(Window.partitionBy("from_node_id")), "in_degree": F.count("*").over(Window.partitionBy("to_node_id"))})
+
+
+def search(nodes: DataFrame, wanted: str, most: int, properties: str = "properties") -> DataFrame:
+    """Nodes (node_id, name, label, JSON properties) that a name finds: exact hits first, then by name. Case is ignored but in ids."""
+    low, p = wanted.lower(), lambda k: F.lower(F.get_json_object(properties, f"$.{k}"))
+    exact = (F.col("node_id") == wanted) | (F.lower("name") == low) | (p("tag_name") == low) | (p("equipment_id") == low)
+    part = F.contains(F.lower("name"), F.lit(low)) | F.contains(p("tag_name"), F.lit(low)) | (F.contains(p("equipment_id"), F.lit(low)) & F.col("label").isin("Equipment", "Plant"))
+    hits = nodes.where(F.coalesce(F.col("node_id") == wanted, F.lit(False)) | F.coalesce(part, F.lit(False)))
+    return hits.select("node_id", "name", "label", F.when(F.coalesce(exact, F.lit(False)), 1).otherwise(0).alias("is_exact")).distinct().orderBy(F.desc("is_exact"), "name", "node_id").limit(most)
+
+
+def linked(edges: DataFrame, nodes: DataFrame, root: str, label: str) -> DataFrame:
+    """Nodes of a label at the other end of the root's edges, with the edge's type; either direction."""
+    out = edges.where(F.col("from_node_id") == root).select(F.col("to_node_id").alias("node_id"), "rel_type")
+    back = edges.where(F.col("to_node_id") == root).select(F.col("from_node_id").alias("node_id"), "rel_type")
+    return out.union(back).distinct().join(nodes.where(F.col("label") == label), "node_id")
+
+
+def tags_of(edges: DataFrame, nodes: DataFrame, rel_type: str = "HAS_TAG") -> DataFrame:
+    """equipment, tag: names at both ends of edges of a type, whichever way the edge goes."""
+    name = lambda side: nodes.select(F.col("node_id").alias(side), F.col("name").alias(f"{side}_name"), F.col("label").alias(f"{side}_label"))
+    e = edges.where(F.col("rel_type") == rel_type).join(name("from_node_id"), "from_node_id").join(name("to_node_id"), "to_node_id")
+    forward = e.where("from_node_id_label = 'Equipment'").select(F.col("from_node_id_name").alias("equipment"), F.col("to_node_id_name").alias("tag"))
+    return forward.union(e.where("to_node_id_label = 'Equipment' and from_node_id_label <> 'Equipment'").select(F.col("to_node_id_name").alias("equipment"), F.col("from_node_id_name").alias("tag"))).distinct()
+
+
+def expand(edges: DataFrame, front: DataFrame, hops: int) -> DataFrame:
+    """node_id, hop: what is within so many hops of the ``front`` (node_id), each at its first hop. Each hop meets only the nodes of the last."""
+    ways = edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("node_id")).union(edges.select("to_node_id", "from_node_id")).distinct()
+    seen = front.select("node_id", F.lit(0).alias("hop")).distinct()
+    last = seen
+    for hop in range(1, hops + 1):
+        last = cut(last.select(F.col("node_id").alias("a")).join(ways, "a").select("node_id").distinct().join(seen.select("node_id"), "node_id", "left_anti").withColumn("hop", F.lit(hop)))
+        seen = seen.union(last)
+    return seen
+
+
+def apply_changes(stored: DataFrame, changes: DataFrame, key: str = "node_id", properties: str = "properties") -> DataFrame:
+    """Stored rows (key, properties map) after a batch of changes (key, op, seq, properties map, property).
+
+    ``delete`` takes the row, ``upsert`` puts its entries over the row's, ``delete_property`` takes one entry; the changes of a
+    row come in order. A change to a row that is not there is one to an empty row, which only an upsert makes.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    gone = F.lit(None).cast("map<string,string>")
+    steps = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "op", F.col("property").alias("property"), F.coalesce(F.map_entries(F.col(properties)), F.array().cast("array<struct<key:string,value:string>>")).alias("new")))).alias("_steps"))
+
+    def step(now, s):
+        new = F.map_from_entries(s["new"])
+        held = F.coalesce(now, empty)
+        over = F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(new, k)), new)
+        less = F.when(now.isNotNull(), F.map_filter(held, lambda k, v: k != s["property"]))
+        return F.when(s["op"] == "upsert", over).when(s["op"] == "delete_property", less).otherwise(gone)
+
+    both = stored.join(steps, key, "full")
+    after = F.when(F.col("_steps").isNull(), F.col(properties)).otherwise(F.aggregate("_steps", F.col(properties), step))
+    return both.select(key, after.alias(properties)).where(F.col(properties).isNotNull())
+
+
+def find_equipment(asked: DataFrame, equipment: DataFrame) -> DataFrame:
+    """``asked`` (key, plant) with node_id: the first node (by seq) of that key and plant, else of no plant, else of any; blanks and case ignored."""
+    clean = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    nodes = equipment.groupBy(clean("key").alias("_k"), clean("plant").alias("_p")).agg(F.min(F.struct("seq", "node_id")).alias("_n"))
+    anywhere = nodes.groupBy("_k").agg(F.min("_n").alias("_any"))
+    rows = asked.withColumns({"_ak": clean("key"), "_ap": clean("plant")})
+    own = nodes.select(F.col("_k").alias("_ok"), F.col("_p").alias("_op"), F.col("_n").alias("_own"))
+    none = nodes.where("_p = ''").select(F.col("_k").alias("_nk"), F.col("_n").alias("_none"))
+    out = rows.join(own, (F.col("_ak") == F.col("_ok")) & (F.col("_ap") == F.col("_op")), "left").join(none, F.col("_ak") == F.col("_nk"), "left").join(anywhere, F.col("_ak") == F.col("_k"), "left")
+    return out.select(*asked.columns, F.coalesce("_own.node_id", "_none.node_id", "_any.node_id").alias("node_id"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.plans import assets, entities, identity, series, stored
+from tagwright.plans import access, assets, entities, identity, series, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (series, assets, stored, identity, entities)
+PARTS = (series, assets, stored, identity, entities, access)
 FLAGSHIP = "ts_quality_score"
 
 
