@@ -68,11 +68,11 @@ def op6_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["text"], ["doc_id"])
+    return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ["source", "text"], ["doc_id"])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    out = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"), keep_text=False)
     return out.select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 

@@ -1,8 +1,10 @@
 """Operators against plain versions of what they compute."""
 
+import collections
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -11,9 +13,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagwright.llm import decontaminate, quality, queries, syncmers, token_counts, toxicity, url_rules, warc
+from tagwright.llm import decontaminate, quality, queries, shared, syncmers, token_counts, toxicity, url_rules, warc
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -115,33 +118,117 @@ def test_decontamination(spark):
     assert all(not x.hits for x in decontaminate.find(df, bench.where("false")).collect())
 
 
+def test_decontamination_recall_by_kind_of_edit():
+    r = random.Random(5)
+    items = [[f"w{r.randrange(3000)}" for _ in range(r.randint(10, 80))] for _ in range(150)]
+    bench = decontaminate.Benchmark.of([(k, " ".join(x)) for k, x in enumerate(items)])
+    for kinds in (["swap"], ["add"], ["drop"], ["swap", "add", "drop"]):
+        texts = []
+        for item in items:
+            x = list(item)
+            for _ in range(decontaminate.allowed(len(item))):
+                at, kind = r.randrange(len(x)), r.choice(kinds)
+                x[at : at + (kind != "add")] = [] if kind == "drop" else [f"q{r.randrange(9999)}"]
+            texts.append(" ".join([*(f"w{r.randrange(3000)}" for _ in range(30)), *x, *(f"w{r.randrange(3000)}" for _ in range(30))]))
+        assert sum(any(h["item_id"] == k for h in hits) for k, hits in enumerate(bench.hits(texts))) >= 0.95 * len(items)
+
+
+def test_decontamination_finds_every_place():
+    item = [f"w{k}" for k in range(20)]
+    bench = decontaminate.Benchmark.of([(7, " ".join(item))])
+    text = ["x"] * 5 + item + item[:9] + ["odd"] + item[10:] + ["y"] * 200 + item
+    assert [(h["start_word"], h["n_words"], h["edits"]) for h in bench.hits([" ".join(text)])[0]] == [(5, 20, 0), (25, 20, 1), (245, 20, 0)]
+
+
+def plain_sections(library, fields):
+    """(field, section, start, end, n, crossing) through the library's own offsets."""
+    text, spans, at = "\n".join(fields), [], 0
+    for k, f in enumerate(fields):
+        whole = f + "\n" * (k < len(fields) - 1)
+        *lines, rest = f.split("\n")
+        lines = [x + "\n" for x in lines] + [rest] * (rest != "" or not lines)
+        lines[-1] += whole[len(f) :]
+        for number, line in enumerate(lines):
+            spans.append([k, number, at, at + len(line), 0, 0])
+            at += len(line)
+    for a, b in library.encode(text, add_special_tokens=False).offsets:
+        owner = max(k for k, x in enumerate(spans) if x[2] <= a)
+        spans[owner][4] += 1
+        spans[owner][5] += b > spans[owner][3]
+    return [tuple(x) for x in spans]
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, text = Tokenizer.from_file(path), "One line.\nété, naïve — 日本\n\nlast"
-    df = spark.createDataFrame([(1, text, "tail here"), (2, None, ""), (3, "", None)], "doc_id long, text string, more string")
-    rows = token_counts.attribute(df, open(path, encoding="utf-8").read(), ["text", "more"], ["doc_id"]).collect()
-    whole = {1: text + "\ntail here", 2: "\n", 3: "\n"}
-    for d, t in whole.items():
-        mine = [r for r in rows if r.doc_id == d]
-        tokens = library.encode(t, add_special_tokens=False)
-        assert sum(r.n_tokens for r in mine) == len(tokens.ids)
-        assert sorted((r.start_char, r.end_char) for r in mine)[0][0] == 0 and max(r.end_char for r in mine) == len(t)
-    assert [r.n_tokens for r in rows if r.doc_id == 1 and r.field == "more"] == [2]
-
-
-def test_quality_model_sums_to_one_and_tells_junk(spark):
-    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
-    trusted = docs.join(quality.trusted_ids(labels), "doc_id", "left_semi")
-    scorer = quality.Scorer(*quality.fit(trusted.select("text")))
-    p = np.exp(-scorer.cost).reshape(-1, quality.LETTERS).sum(axis=1)
-    used = {int(g) for t in trusted.limit(5).collect() for g in quality.windows(scorer.letter[quality.codes(t.text)], quality.BITS) >> quality.BITS}
-    assert np.allclose(p[sorted(used)], 1, atol=0.02)
-    odd = spark.createDataFrame([(10_001, "zq#9 " * 80, "en"), (10_002, None, "en"), (10_003, "", None), (None, "x", "xx")], "doc_id long, text string, lang string")
-    got = quality.classify(docs.select("doc_id", "text", "lang").union(odd), labels).collect()
-    assert len(got) == docs.count() + 4
-    assert not next(r for r in got if r.doc_id == 10_001).keep
-    ids = {r.doc_id for r in trusted.collect()}
-    assert sum(r.keep for r in got if r.doc_id in ids) >= 0.9 * len(ids)
+    library = Tokenizer.from_file(path)
+    texts = ["One line.\nété, naïve — 日本\n\nlast", None, "", "ends\n", "\n\n \n", "a  b\n  c <|endoftext|> d\r\ne", "x" * 5000 + "\n" + "word " * 3000, "One line.\nété, naïve — 日本\n\nlast"]
+    rows = [(k, t, more) for k, t in enumerate(texts) for more in ("tail here", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string").withColumn("n_more", F.col("doc_id"))
+    vocabulary = open(path, encoding="utf-8").read()
+    got = sorted((r.doc_id, ("more", "text").index(r.field), r.section, r.start_char, r.end_char, r.n_tokens, r.n_crossing) for r in token_counts.attribute(df, vocabulary, ["more", "text"], ["doc_id"]).collect())
+    assert got == sorted((d, *x) for d, t, more in rows for x in plain_sections(library, [more or "", t or ""]))
+    assert token_counts.attribute(df.where("false"), vocabulary, ["text"], ["doc_id", "n_more"]).count() == 0
+
+
+def plain_kneser_ney(trusted):
+    """-log P of four units by a plain interpolated modified Kneser-Ney model."""
+    units = lambda t: (0, 0, 0, *(u or 0xFFFF for u in struct.unpack(f"<{len(t.encode('utf-16-le')) // 2}H", t.encode("utf-16-le"))), 0)
+    runs = lambda t: [tuple(units(t)[k : k + 4]) for k in range(len(units(t)) - 3)]
+    counts = {4: collections.Counter(g for t in trusted for g in runs(t))}
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    cuts, totals, left = {}, {}, {}
+    for n, c in counts.items():
+        t = collections.Counter(c.values())
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] and t[2] else None
+        d = [0.5, 0.75, 0.9] if y is None else [min(k - 0.05, max(0.05, k - (k + 1) * y * t[k + 1] / t[k])) if t[k] else k / 2 for k in (1, 2, 3)]
+        cuts[n] = {g: d[min(3, m) - 1] for g, m in c.items()}
+        totals[n], left[n] = collections.Counter(), collections.Counter()
+        for g, m in c.items():
+            totals[n][g[:-1]] += m
+            left[n][g[:-1]] += cuts[n][g]
+
+    def p(g):
+        n = len(g)
+        below = p(g[1:]) if n > 1 else 1 / (len(counts[1]) + 1)
+        if g[:-1] not in totals[n]:
+            return below
+        alone = (counts[n][g] - cuts[n][g]) / totals[n][g[:-1]] if g in counts[n] else 0
+        return alone + left[n][g[:-1]] / totals[n][g[:-1]] * below
+
+    return lambda t: math.exp(sum(-math.log(p(g)) for g in runs(t)) / len(runs(t))), p, [g[0] for g in counts[1]]
+
+
+def test_quality_equals_a_plain_kneser_ney_model(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(quality, "AT_ONCE", 100)
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 1500").orderBy("doc_id").limit(120).collect()
+    rows = [(r.doc_id, r.text, r.lang, None) for r in rows] + [(9001, None, "en", None), (9002, "", None, None), (9003, "日本語 テスト \x00 👍🏽", "ja", None), (9004, "zq#9 " * 80, "en", None), (9005, "new " * 2000, "en", None), (9005, "new " * 2000, "en", None), (None, "x", "xx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity string").repartition(3, "doc_id")
+    docs = shared.staged(docs, "docs")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows[:80]] + [(rows[0][0], 0), (None, 1), (9003, None)], "doc_id long, quality int")
+    plain, p, units = plain_kneser_ney([r[1] for r in rows[1:80]])
+    for first in ((97, 98, 99), (0, 0, 0), (101, 32, 0x65E5)):
+        assert math.isclose(sum(p((*first, x)) for x in [*units, 0xFFF0]), 1, rel_tol=1e-6)  # the last is any unit never seen
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+    text = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        assert math.isclose(r.perplexity, plain(text[r.doc_id]), rel_tol=1e-6) and r.keep == (r.perplexity <= r.threshold)
+    trusted = {r[0] for r in rows[1:80]}
+    by = collections.defaultdict(list)
+    for r in got:
+        if r.doc_id in trusted:
+            by[r.lang].append(r.perplexity)
+    at = lambda x: sorted(x)[math.ceil(0.99 * len(x)) - 1]
+    common = at([x for v in by.values() for x in v])
+    for r in got:
+        n = len(by.get(r.lang, []))
+        assert math.isclose(r.threshold, (n * at(by[r.lang]) + 30 * common) / (n + 30) if n else common, rel_tol=1e-6)
+    assert not next(r for r in got if r.doc_id == 9004).keep
+    assert all(r.keep for r in quality.classify(docs, labels.where("false")).collect())
+    assert quality.classify(docs.where("false"), labels, keep_text=False).columns == ["doc_id", "lang", "perplexity", "threshold", "keep"]
+    assert quality.classify(docs.where("false"), labels).count() == 0
 
 
 def test_toxicity_on_held_out_documents(spark):
