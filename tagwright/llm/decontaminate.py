@@ -13,26 +13,27 @@ the distance has at least ``n - 1 - 2 * edits`` of them. That drops no window th
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagwright.llm.shared import in_a_row, staged
+
 SIMILARITY = 0.8  # 1 - edits / words of the item
 SAMPLED = 2
 AGREEMENT = 0.3  # share of a walk's steps that still agree at the largest distance, measured on random rows
-RECALL = 0.99
-WALKS = 4
+RECALL = 0.97  # of one walk's tables
+WALKS = 2
 STEPS = 2  # steps of a walk for each word: on average it moves on at every other step
-KEPT_CHUNKS = 300_000
-PACKED = struct.Struct("=i")
 ASCII_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 TEXTS_AT_ONCE = 1500
+AT_ONCE = 20_000  # windows walked at a time
 NO_WORD = -2  # stands between texts
 BLOCK_CHARS = 32 << 20  # of benchmark text held at a time
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -49,35 +50,40 @@ def allowed(n: int) -> int:
     return int(n * (1 - SIMILARITY) + 1e-9)
 
 
-def walk(rows: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
-    """CGK embedding of rows of n words: STEPS * n columns; -1 once a row is used up."""
-    at, out, every = np.zeros(len(rows), np.int64), np.empty((len(rows), STEPS * n), np.int32), np.arange(len(rows))
-    bits = np.random.default_rng(seed).integers(1, 1 << 62, STEPS * n, dtype=np.uint64) | np.uint64(1)
-    for j in range(STEPS * n):
-        word = np.where(at < n, rows[every, np.minimum(at, n - 1)], -1)
-        out[:, j] = word
-        at += ((word.astype(np.uint64) + np.uint64(2)) * bits[j] >> np.uint64(61)).astype(np.int64) & 1
-    return out
-
+def walk(row: np.ndarray, starts: np.ndarray, steps: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """CGK walk ``number`` from each of ``starts`` along ``row``: the word at each step, and how many words lie behind the walk.
 
-def table_keys(walked: np.ndarray, n: int, used_up: int, number: int = 0) -> np.ndarray:
-    """A key for each row and table of walk ``number``; ``used_up`` (negative) where a sampled step lies behind the row's end."""
+    A step's bit depends on the step and the word alone, so one walk serves windows of every length: it ends for a window
+    of n words where n words lie behind it.
+    """
+    at, words, behind = np.zeros(len(starts), np.int32), np.empty((steps, len(starts)), np.int32), np.empty((steps, len(starts)), np.int32)
+    bits = np.random.default_rng(11 + number).integers(1, 1 << 62, steps, dtype=np.uint64) | np.uint64(1)
+    place, last = starts.copy(), len(row) - 1
+    for j in range(steps):
+        word = row[np.minimum(place, last)]
+        words[j], behind[j] = word, at
+        move = ((word.astype(np.uint64) + np.uint64(2)) * bits[j] >> np.uint64(61)).astype(np.int32) & 1
+        at += move
+        place += move
+    return words, behind
+
+
+def table_keys(walked: tuple[np.ndarray, np.ndarray], of: np.ndarray, n: int, used_up: int, number: int) -> np.ndarray:
+    """Keys of the windows ``of`` (columns of walk ``number``) in each table for rows of n words; ``used_up`` (negative) where a sampled step lies behind the row's end."""
     picks = np.random.default_rng((12, n, number)).integers(0, STEPS * n, (repetitions(), SAMPLED))
-    keys = np.zeros((len(walked), len(picks)), np.int64)
+    words, behind = walked
+    keys = np.zeros((len(picks), len(of)), np.int64)
     ended = np.zeros(keys.shape, bool)
     for k in range(SAMPLED):
-        picked = walked[:, picks[:, k]]
+        at = picks[:, k, None], of[None, :]
+        picked = words[at]
         keys = keys << 24 | np.maximum(picked, 0)
-        ended |= picked < 0
-    keys = keys << 10 | np.arange(len(picks)) + number * len(picks)
+        ended |= (behind[at] >= n) | (picked < 0)
+    keys = keys << 10 | (np.arange(len(picks)) + number * len(picks))[:, None]
     keys[ended] = used_up
     return keys
 
 
-def all_keys(rows: np.ndarray, n: int, used_up: int) -> np.ndarray:
-    return np.concatenate([table_keys(walk(rows, n, 11 + k), n, used_up, k) for k in range(WALKS)], axis=1)
-
-
 def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Fewest edits of ``item`` to any run of ``text``, with that run's start and end (the first such end)."""
     m = len(text)
@@ -107,8 +113,9 @@ class Benchmark:
     items: list[np.ndarray]
     number: dict[str, int]
     pairs: np.ndarray = field(init=False)  # sorted
+    own_pairs: list[np.ndarray] = field(init=False)  # each item's, sorted
     tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)  # length -> sorted keys, their items
-    chunks: dict[str, bytes] = field(init=False)
+    words: pa.Array = field(init=False)  # by number, from 1
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Benchmark:
@@ -118,23 +125,42 @@ class Benchmark:
         return cls([i for i, _ in kept], [np.array(x, np.int64) for _, x in kept], number)
 
     def __post_init__(self):
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] << 32 | x[1:] for x in self.items)]))
-        self.tables, self.chunks = {}, {}
+        own = [np.unique(x[:-1] << 32 | x[1:]) for x in self.items]
+        self.pairs, self.own_pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *own])), own
+        self.tables, self.words = {}, pa.array(list(self.number), pa.string())
+        row = np.concatenate([np.zeros(0, np.int64), *self.items])
+        first = np.cumsum([0, *map(len, self.items)])[:-1]
         for n in {len(x) for x in self.items}:
-            rows = [k for k, x in enumerate(self.items) if len(x) == n]
-            keys = all_keys(np.stack([self.items[k] for k in rows]), n, -1)
+            rows = np.array([k for k, x in enumerate(self.items) if len(x) == n])
+            keys = np.concatenate([table_keys(walk(row, first[rows], STEPS * n, k), np.arange(len(rows)), n, -1, k) for k in range(WALKS)])
             order = np.argsort(keys.ravel(), kind="stable")
-            self.tables[n] = keys.ravel()[order], np.repeat(rows, keys.shape[1])[order]
+            self.tables[n] = keys.ravel()[order], np.tile(rows, len(keys))[order]
 
     def number_words(self, text: str | None) -> np.ndarray:
         """The text's words as numbers, 0 for words that no item has."""
-        chunks, cut = self.chunks, (text or "").lower().split()
-        if len(chunks) > KEPT_CHUNKS:
-            chunks.clear()
-        for c in set(cut).difference(chunks):
-            w = c.strip(ASCII_MARKS)
-            chunks[c] = PACKED.pack(self.number.get(w, 0)) if w.isalnum() else b"".join([PACKED.pack(self.number.get(w, 0)) for w in WORD.findall(c)])
-        return np.frombuffer(b"".join(map(chunks.__getitem__, cut)), np.int32)
+        return self.numbers(pa.array([text], pa.string()))[0]
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' words as numbers in a row, and how many words each text has. Each different chunk is looked up once."""
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        cut = words.dictionary
+        trimmed = pc.utf8_trim(pc.utf8_lower(cut), ASCII_MARKS)
+        # a chunk of several words, and letters whose lower case is no single one, go to the pattern
+        plain = pc.and_not(pc.utf8_is_alnum(trimmed), pc.match_substring_regex(cut, "[İΣ]")).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(pc.index_in(trimmed, value_set=self.words), -1).to_numpy().astype(np.int32) + 1
+        mixed = np.flatnonzero(~plain)
+        runs = [[self.number.get(w, 0) for w in WORD.findall(c.lower())] for c in cut.take(pa.array(mixed)).to_pylist()]
+        size = np.ones(len(cut), np.int64)
+        size[mixed] = list(map(len, runs))
+        first = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.int32)
+        flat[first[plain]] = number[plain]
+        for at, run in zip(first[mixed].tolist(), runs):
+            flat[at : at + len(run)] = run
+        flat, n = in_a_row(flat, size, words.indices.to_numpy())
+        ends = np.append(0, np.cumsum(n))[np.cumsum(np.append(0, lists.value_lengths().to_numpy()))]
+        return flat, np.diff(ends)
 
     def windows(self, places: np.ndarray, first: np.ndarray, size: np.ndarray, n: int, row: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Starts of the windows of n words with enough of the benchmark's pairs, which stand at ``places`` of ``row``.
@@ -157,18 +183,17 @@ class Benchmark:
         # the window that begins where the passage does also has all the item's words but for the edits
         return starts[words[np.minimum(starts + n, len(row))] - words[starts] >= n - allowed(n)]
 
-    def hits(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each text the items that it holds, each with its fewest edits, by item."""
+    def hits(self, texts: pa.Array | list[str | None]) -> list[list[dict]]:
+        """For each text the items that it holds, with edits and place, by item and place."""
         out: list[list[dict]] = [[] for _ in texts]
         if not self.tables:
             return out
         longest = max(self.tables)
-        numbered = [self.number_words(t) for t in texts]
-        size = np.array([len(x) for x in numbered])
+        flat, size = self.numbers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        numbered = np.split(flat, np.cumsum(size)[:-1])
         first = np.cumsum(size + longest) - size - longest  # texts stand apart, so no window has words of two
         row = np.full(int((size + longest).sum()), NO_WORD, np.int64)
-        for x, at in zip(numbered, first):
-            row[at : at + len(x)] = x
+        row[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(flat))] = flat
         known = np.flatnonzero((row[:-1] > 0) & (row[1:] > 0))
         pair = row[known] << 32 | row[known + 1]
         if len(self.pairs):
@@ -177,55 +202,71 @@ class Benchmark:
             known = known[:0]
         owner = np.searchsorted(first, known, "right") - 1
         words = np.concatenate([[0], np.cumsum(row > 0)])
-        for n in self.tables:
-            starts = self.windows(known, first[owner], size[owner], n, row, words)
-            for k in range(0, len(starts), 20_000):
-                for item, at in self._candidates(n, row, starts[k : k + 20_000]):
-                    text = int(np.searchsorted(first, at[0], "right")) - 1
-                    self._add(out[text], item, numbered[text], np.unique(at - first[text]))
+        windows = {n: self.windows(known, first[owner], size[owner], n, row, words) for n in self.tables}
+        met: dict[int, list[np.ndarray]] = {}
+        starts = np.unique(np.concatenate(list(windows.values())))
+        for k in range(0, len(starts), AT_ONCE):
+            part = starts[k : k + AT_ONCE]
+            for item, at in self._meetings(row, part, {n: w[np.searchsorted(w, part[0]) : np.searchsorted(w, part[-1], "right")] for n, w in windows.items()}):
+                met.setdefault(item, []).append(at)
+        for item, parts in met.items():
+            for at in self._near(item, row, np.unique(np.concatenate(parts))):
+                text = int(np.searchsorted(first, at[0], "right")) - 1
+                self._verify(out[text], item, numbered[text], at - first[text], 0, len(numbered[text]))
         for found in out:
-            found.sort(key=lambda h: (h["item_id"], h["edits"], h["start_word"]))
+            found.sort(key=lambda h: (h["item_id"], h["start_word"], h["edits"]))
         return out
 
-    def _candidates(self, n: int, row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Items and the window starts, of one text each time, at which a table has both."""
-        rows = row[np.minimum(starts[:, None] + np.arange(n), len(row) - 1)]
-        keys = all_keys(rows, n, -2).ravel()
-        known, item = self.tables[n]
-        low = np.searchsorted(known, keys, "left")
-        full = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
-        low, high = low[full], np.searchsorted(known, keys[full], "right")
-        count = high - low
-        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        window, found = np.repeat(full // (len(keys) // max(1, len(rows))), count), item[at]
-        # enough of the item's words in and next to the window, whatever their order
-        pairs = np.unique(np.stack([found, starts[window]], axis=1), axis=0) if len(found) else np.zeros((0, 2), np.int64)
-        slack = allowed(n)
-        near = row[np.clip(pairs[:, 1, None] + np.arange(-slack, n + slack), 0, len(row) - 1)]
-        for k in np.unique(pairs[:, 0]):
-            mine = pairs[:, 0] == k
-            ok = np.isin(near[mine], self.items[k]).sum(axis=1) >= n - slack
-            at = pairs[mine][ok, 1]
-            for part in np.split(at, np.flatnonzero(np.diff(at) > n + 2 * slack) + 1) if len(at) else []:
-                yield int(k), part
-
-    def _add(self, found: list[dict], k: int, x: np.ndarray, at: np.ndarray) -> None:
-        """Verify item k around the window starts ``at`` of text x; keep the better of two hits of one item."""
+    def _meetings(self, row: np.ndarray, starts: np.ndarray, windows: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Items and the window starts at which one of their tables has both; ``starts`` has all of ``windows`` (length -> starts)."""
+        windows = {n: w for n, w in windows.items() if len(w)}
+        columns = {n: np.searchsorted(starts, w) for n, w in windows.items()}
+        for number in range(WALKS):
+            walked = walk(row, starts, STEPS * max(windows, default=0), number)
+            for n, of in columns.items():
+                keys = table_keys(walked, of, n, -2, number).ravel()
+                known, item = self.tables[n]
+                low = np.searchsorted(known, keys, "left")
+                full = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
+                low, high = low[full], np.searchsorted(known, keys[full], "right")
+                count = high - low
+                at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                pairs = np.unique(item[at] << 40 | windows[n][np.repeat(full % len(of), count)])
+                items, cuts = np.unique(pairs >> 40, return_index=True)
+                for k, found in zip(items.tolist(), np.split(pairs & (1 << 40) - 1, cuts[1:])):
+                    yield k, found
+
+    def _near(self, k: int, row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Runs of the window starts ``at`` around which enough words and pairs of item k stand: no edit within the limit takes more away."""
+        n, slack = len(self.items[k]), allowed(len(self.items[k]))
+        near = row[np.clip(at[:, None] + np.arange(-slack, n + slack), 0, len(row) - 1)]
+        words = np.isin(near, self.items[k])
+        enough = words.sum(axis=1) >= n - slack
+        if n - 1 > 2 * slack:
+            pair = near[enough][:, :-1] << 32 | near[enough][:, 1:]
+            enough[enough] = (np.isin(pair, self.own_pairs[k]) & words[enough][:, :-1]).sum(axis=1) >= n - 1 - 2 * slack
+        at = at[enough]
+        return np.split(at, np.flatnonzero(np.diff(at) > n + 2 * slack) + 1) if len(at) else []
+
+    def _verify(self, found: list[dict], k: int, x: np.ndarray, at: np.ndarray, low: int, high: int) -> None:
+        """Add the places of item k in text x, between ``low`` and ``high``, at or near the window starts ``at``: the best, then those beside it."""
         item = self.items[k]
         n, slack = len(item), allowed(len(item))
-        exact = next((s for s in at.tolist() if s >= 0 and len(x) >= s + n and (x[s : s + n] == item).all()), None)
+        exact = next((s for s in at.tolist() if low <= s <= high - n and (x[s : s + n] == item).all()), None)
         if exact is not None:
-            hit = 0, exact, exact + n
+            edits, start, end = 0, exact, exact + n
         else:
-            low = max(0, int(at[0]) - slack)
-            edits, start, end = best_match(item, x[low : int(at[-1]) + n + slack])
-            hit = edits, low + start, low + end
-        if hit[0] <= slack:
-            old = next((h for h in found if h["place"] == k), None)
-            if old is None:
-                found.append({"place": k, "item_id": self.ids[k], "edits": hit[0], "start_word": hit[1], "n_words": hit[2] - hit[1]})
-            elif hit[0] < old["edits"]:
-                old.update(edits=hit[0], start_word=hit[1], n_words=hit[2] - hit[1])
+            begin = max(low, int(at[0]) - slack)
+            edits, start, end = best_match(item, x[begin : max(begin, min(high, int(at[-1]) + n + slack))])
+            start, end = begin + start, begin + end
+        if edits > slack:
+            return
+        found.append({"item_id": self.ids[k], "edits": edits, "start_word": start, "n_words": end - start})
+        before, after = at[at <= start - n + slack], at[at >= end - slack]
+        if len(before):
+            self._verify(found, k, x, before, low, start)
+        if len(after):
+            self._verify(found, k, x, after, end, high)
 
 
 def benchmark_blocks(items: DataFrame) -> Iterator[Benchmark]:
@@ -237,11 +278,15 @@ def benchmark_blocks(items: DataFrame) -> Iterator[Benchmark]:
 
 
 def find(df: DataFrame, items: DataFrame, text: str = "text", out: str = "hits") -> DataFrame:
-    """``df`` with ``out``: the items that its whole text holds within the distance, with edits and place in words.
+    """``df`` with ``out``: every place of its whole text that holds an item within the distance, with edits and place in words.
 
-    The benchmark is the query set and goes to the tasks in blocks of bounded size; every row of ``df`` meets every block.
-    Null and empty texts, and tables without items, have no hits. An item id that stands twice counts as two items.
+    The benchmark is the query set and goes to the tasks in blocks of bounded size; every row of ``df`` meets every block,
+    and with more than one block the rows are written after each. Places of one item don't overlap; of overlapping ones the
+    one with the fewest edits counts. Null and empty texts, and tables without items, have no hits. An item id that stands
+    twice counts as two items. Repeated rows pass; a column named ``out`` is replaced, unless it is ``text`` itself (an error).
     """
+    if out == text:
+        raise ValueError("out and text are one column")
 
     def column(bench: Benchmark):
         shared = df.sparkSession.sparkContext.broadcast(bench)
@@ -251,10 +296,17 @@ def find(df: DataFrame, items: DataFrame, text: str = "text", out: str = "hits")
             for texts in batches:
                 rows, n = [], len(texts)
                 for k in range(0, n, TEXTS_AT_ONCE):
-                    rows += [[{f: h[f] for f in HIT.names} for h in found] for found in shared.value.hits(texts.slice(k, TEXTS_AT_ONCE).to_pylist())]
+                    rows += shared.value.hits(texts.slice(k, TEXTS_AT_ONCE))
                 yield pa.array(rows, pa.list_(HIT))
 
         return of(F.col(f"`{text}`"))
 
-    found = [column(b) for b in benchmark_blocks(items)]
-    return df.withColumn(out, F.concat(*found) if found else F.array().cast(HITS))
+    found, blocks = df.withColumn(out, F.array().cast(HITS)), benchmark_blocks(items)
+    first = next(blocks, None)
+    if first is None:
+        return found
+    found = df.withColumn(out, column(first))
+    for block in blocks:
+        found = staged(found, "hits")
+        found = found.withColumn(out, F.concat(F.col(f"`{out}`"), column(block)))
+    return found
