@@ -44,7 +44,7 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, start: str, most: int = 7) -> DataFrame:
     """Hops and one shortest path (the smallest by text) from ``start`` to every node within ``most`` hops, either direction."""
     spark: SparkSession = edges.sparkSession
-    way = both_ways(edges).select("node_id", "other").distinct()
+    way = cut(both_ways(edges).select("node_id", "other").distinct())  # read once, joined at every hop
     seen = spark.createDataFrame([(start, 0, start)], "node_id string, hops int, path string")
     front = seen
     for hop in range(1, most + 1):
@@ -115,8 +115,10 @@ def property_keys(nodes: DataFrame, properties: str) -> DataFrame:
 
 
 def fan_depth(edges: DataFrame) -> DataFrame:
-    """Edges with how many edges leave their first node and how many enter their second."""
-    return edges.withColumns({"out_degree": F.count("*").over(Window.partitionBy("from_node_id")), "in_degree": F.count("*").over(Window.partitionBy("to_node_id"))})
+    """Edges with how many edges leave their first node and how many enter their second. Degrees are counted before they are joined: a hub is one row."""
+    out = edges.groupBy("from_node_id").agg(F.count("*").alias("out_degree"))
+    into = edges.groupBy("to_node_id").agg(F.count("*").alias("in_degree"))
+    return edges.join(out, "from_node_id").join(into, "to_node_id")
 
 
 def search(nodes: DataFrame, wanted: str, most: int, properties: str = "properties") -> DataFrame:

@@ -1,18 +1,26 @@
 """Samples of sensors in long form (sensor, ts, value), and their quality checks.
 
 Checks are aggregates wherever one can answer: a frozen tail is what comes after the last different sample, not a walk
-back through a sorted series. Only intervals and bursts of nulls need neighbours and so a window by sensor.
+back through a sorted series. Only intervals and bursts of nulls need neighbours: windows are by sensor and day, and what
+crosses midnight is put together over one row a sensor and day, so that no busy sensor is sorted in one task.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-def by_time():
-    return Window.partitionBy("sensor").orderBy("ts")
+
+def by_day():
+    return Window.partitionBy("sensor", "day").orderBy("ts")
+
+
+def days():
+    return Window.partitionBy("sensor").orderBy("day")
+
+
+def dated(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.to_date("ts"))
 
 
 def retain(df: DataFrame, key: str, ts: str, window: str) -> DataFrame:
@@ -43,10 +51,14 @@ def transpose_codes(df: DataFrame, keys: list[str], code: str, value: str, codes
 
 def intervals(df: DataFrame) -> DataFrame:
     """Per sensor: expected interval (the most frequent, the smallest on ties), repeated times, irregular intervals, gaps and missing samples."""
-    step = df.where("ts is not null").select("sensor", F.timestamp_diff("MICROSECOND", F.lag("ts").over(by_time()), F.col("ts")).alias("step"))
+    us = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
+    rows = dated(df.where("ts is not null").select("sensor", "ts"))
+    within = rows.select("sensor", us(F.lag("ts").over(by_day()), F.col("ts")).alias("step"))
+    ends = rows.groupBy("sensor", "day").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    step = within.union(ends.select("sensor", us(F.lag("last").over(days()), F.col("first")).alias("step"))).where("step is not null")
     n = step.groupBy("sensor", "step").agg(F.count("*").alias("n"))
-    mode = n.where("step is not null").groupBy("sensor").agg(F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("expected_us"))
-    all_ = n.where("step is not null").join(mode, "sensor")
+    mode = n.groupBy("sensor").agg(F.min_by("step", F.struct(-F.col("n"), F.col("step"))).alias("expected_us"))
+    all_ = n.join(mode, "sensor")
     gap, times = F.col("step") > F.col("expected_us"), F.col("n")
     missing = F.when(gap & (F.col("expected_us") > 0), times * F.greatest(F.floor(F.col("step") / F.col("expected_us")) - 1, F.lit(0)))
     return all_.groupBy("sensor").agg(
@@ -92,8 +104,15 @@ def dead(df: DataFrame, ratio: float = 0.001) -> DataFrame:
 
 def null_bursts(df: DataFrame, least: int = 3) -> DataFrame:
     """Longest run of nulls of each sensor, with its start, if it has ``least`` or more (the earliest of equals)."""
-    block = F.count("value").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    runs = df.withColumn("_b", block).where("value is null").groupBy("sensor", "_b").agg(F.count("*").alias("rows"), F.min("ts").alias("start"))
+    rows = dated(df).withColumn("_b", F.count("value").over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
+    # runs within a day; a day's first and last one may go on in the days beside it
+    runs = rows.groupBy("sensor", "day", "_b").agg(F.count_if(F.col("value").isNull()).alias("rows"), F.min(F.when(F.col("value").isNull(), F.col("ts"))).alias("start"))
+    per_day = runs.groupBy("sensor", "day").agg(F.max("_b").alias("filled"))
+    order = per_day.withColumn("_before", F.coalesce(F.count_if(F.col("filled") > 0).over(days().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    runs = runs.where("rows > 0").join(order, ["sensor", "day"])
+    edge = F.when(F.col("_b") == 0, F.col("_before")).when(F.col("_b") == F.col("filled"), F.col("_before") + 1)
+    inner = F.when(edge.isNull(), F.concat_ws("/", F.col("day").cast("string"), F.col("_b").cast("string")))
+    runs = runs.groupBy("sensor", edge.alias("_edge"), inner.alias("_inner")).agg(F.sum("rows").alias("rows"), F.min("start").alias("start"))
     best = runs.groupBy("sensor").agg(F.max("rows").alias("rows"), F.min_by("start", F.struct(-F.col("rows"), F.col("start"))).alias("start"))
     return best.where(F.col("rows") >= least)
 
@@ -107,28 +126,50 @@ def duplicate_signals(wide: DataFrame, sensors: list[str], percentile: float = 0
     return found.join(F.broadcast(limit)).where("r >= limit").select("a", "b", "r")
 
 
-def count_of(df: DataFrame, out: str, condition: Column | None = None) -> DataFrame:
-    return df.agg((F.count("*") if condition is None else F.count_if(condition)).alias(out))
+def quality_score(df: DataFrame, spike_k: float = 5.0, frozen_rows: int = 5, zero_rows: int = 5, burst: int = 3, ratio: float = 0.001) -> DataFrame:
+    """One row: sensors hit by each check and the score from 100 down. Weights are the fixed values below.
 
-
-def quality_score(df: DataFrame, spike_k: float = 5.0) -> DataFrame:
-    """One row: sensors hit by each check and the score from 100 down. Weights are the fixed values below."""
+    Repeated samples are counted first, and all else comes from these counts: a row for each sensor and value tells mean,
+    spread, distinct values and the last sample that differs; a second pass counts what depends on that; the last samples and
+    the bursts of nulls are windows of their own.
+    """
     # Most points that a check takes: frozen 25, missing 20, spikes 15, zero 10, dead 10, null bursts 10, duplicate rows 5.
-    parts = [
-        df.agg(F.count_distinct("sensor").alias("sensors"), F.count("*").alias("n_rows")),
-        count_of(frozen(df), "frozen"),
-        df.groupBy("sensor").agg(F.count_if(F.col("value").isNull()).alias("n")).agg(F.count_if(F.col("n") > 0).alias("missing")),
-        count_of(spikes(df, spike_k), "spikes"),
-        count_of(stuck_at_zero(df), "zero"),
-        count_of(dead(df), "dead"),
-        count_of(null_bursts(df), "bursts"),
-        df.groupBy("sensor", "ts", "value").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("duplicates")),
-    ]
-    one = reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # single rows
-    per = lambda c, most: F.least(F.col(c) / F.greatest("sensors", F.lit(1)) * most, F.lit(float(most)))
-    share = lambda c: F.col(c) / F.greatest("n_rows", F.lit(1)) * 100
-    lost = per("frozen", 25) + per("missing", 20) + F.least(share("spikes") * 0.15, F.lit(15.0)) + per("zero", 10) + per("dead", 10) + per("bursts", 10) + F.least(share("duplicates") * 0.5, F.lit(5.0))
-    return one.withColumn("score", F.round(F.greatest(100 - lost, F.lit(0.0)), 2))
+    n, value, filled = F.col("n"), F.col("value"), F.col("value").isNotNull()
+    distinct = df.groupBy("sensor", "ts", "value").agg(F.count("*").alias("n"))
+    values = distinct.groupBy("sensor", "value").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max("ts").alias("last"))
+    stats = values.groupBy("sensor").agg(
+        F.sum("n").alias("rows"),
+        F.sum("kinds").alias("kinds"),
+        F.coalesce(F.sum(F.when(filled, n)), F.lit(0)).alias("samples"),
+        F.count("value").alias("unique_values"),
+        (F.sum(value * n) / F.sum(F.when(filled, n))).alias("mean"),
+        F.max_by("value", F.when(filled, F.struct("last", "value"))).alias("last_value"),
+    )
+    known = values.join(stats.select("sensor", "mean", "last_value"), "sensor")
+    second = known.groupBy("sensor").agg(F.sum((value - F.col("mean")) * (value - F.col("mean")) * n).alias("squares"), F.max(F.when(value != F.col("last_value"), F.col("last"))).alias("other"))
+    per = stats.join(second, "sensor").withColumn("std", F.sqrt(F.when(F.col("samples") > 1, F.col("squares") / (F.col("samples") - 1))))
+    found = distinct.join(per.select("sensor", "mean", "std", "samples", "last_value", "other"), "sensor").groupBy("sensor").agg(
+        F.coalesce(F.sum(F.when((F.col("samples") >= 4) & (F.col("std") >= 1e-9) & (F.abs(value - F.col("mean")) > spike_k * F.col("std")), n)), F.lit(0)).alias("spikes"),
+        F.coalesce(F.sum(F.when((value == F.col("last_value")) & (F.col("other").isNull() | (F.col("ts") > F.col("other"))), n)), F.lit(0)).alias("tail"),
+    )
+    share = F.when(F.col("samples") == 0, 0.0).otherwise(F.col("unique_values") / F.col("samples"))
+    one = per.join(found, "sensor").agg(
+        F.count("*").alias("sensors"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
+        F.count_if(F.col("tail") >= frozen_rows).alias("frozen"),
+        F.count_if(F.col("rows") > F.col("samples")).alias("missing"),
+        F.coalesce(F.sum("spikes"), F.lit(0)).alias("spikes"),
+        F.count_if(share <= ratio).alias("dead"),
+        F.coalesce(F.sum(F.col("rows") - F.col("kinds")), F.lit(0)).alias("duplicates"),
+    )
+    zero = stuck_at_zero(df, zero_rows).agg(F.count("*").alias("zero"))
+    bursts = null_bursts(df, burst).agg(F.count("*").alias("bursts"))
+    one = one.join(F.broadcast(zero)).join(F.broadcast(bursts))  # single rows
+    per_sensor = lambda c, most: F.least(F.col(c) / F.greatest("sensors", F.lit(1)) * most, F.lit(float(most)))
+    of_rows = lambda c: F.col(c) / F.greatest("n_rows", F.lit(1)) * 100
+    lost = per_sensor("frozen", 25) + per_sensor("missing", 20) + F.least(of_rows("spikes") * 0.15, F.lit(15.0)) + per_sensor("zero", 10) + per_sensor("dead", 10) + per_sensor("bursts", 10) + F.least(of_rows("duplicates") * 0.5, F.lit(5.0))
+    columns = ["sensors", "n_rows", "frozen", "missing", "spikes", "zero", "dead", "bursts", "duplicates"]
+    return one.select(*columns, F.round(F.greatest(100 - lost, F.lit(0.0)), 2).alias("score"))
 
 
 def ingest_report(df: DataFrame, window: str) -> DataFrame:
