@@ -95,3 +95,17 @@ def metadata_report(described: DataFrame, stored: DataFrame, tag: str) -> DataFr
     """tag, state of every tag that is described without samples (missing) or has samples without a description (extra)."""
     a, b = described.select(tag).distinct(), stored.select(tag).distinct()
     return a.join(b, tag, "left_anti").withColumn("state", F.lit("missing")).union(b.join(a, tag, "left_anti").withColumn("state", F.lit("extra")))
+
+
+def connector_states(files: DataFrame, keys: list[str], states: dict[str, tuple[str, int]], done: list[str], waiting: list[str], at: str) -> DataFrame:
+    """For each connector its files in seven buckets, those not yet processed, first and last time, and one state.
+
+    ``states`` maps a stage to its state and rank. The state is that of the highest rank, but ``uploaded`` (rank 1) while some
+    file waits.
+    """
+    bucket = F.when(F.col("status").isin("failed", "skipped"), F.col("status")).when(F.col("stage") == "superseded", "superseded").when(F.col("stage") == "processing", "processing").when(F.col("stage").isin(*done), "processed").otherwise("pending")
+    rank = F.coalesce(*[F.when(F.col("stage") == k, r) for k, (_, r) in states.items()], F.lit(0))
+    counts = [F.count_if(bucket == b).alias(b) for b in ("pending", "processing", "processed", "failed", "skipped", "superseded")]
+    g = files.groupBy(*keys).agg(F.count("*").alias("files_total"), *counts, F.count_if(F.col("stage").isin(*waiting)).alias("unprocessed"), F.min(at).alias("earliest"), F.max(at).alias("latest"), F.max(rank).alias("_rank"))
+    named = F.coalesce(*[F.when(F.col("_rank") == r, s) for s, r in states.values()], F.lit("not_configured"))
+    return g.withColumn("status", F.when((F.col("unprocessed") > 0) & (F.col("_rank") > 1), "uploaded").otherwise(named)).drop("_rank")

@@ -188,3 +188,19 @@ def find_equipment(asked: DataFrame, equipment: DataFrame) -> DataFrame:
     none = nodes.where("_p = ''").select(F.col("_k").alias("_nk"), F.col("_n").alias("_none"))
     out = rows.join(own, (F.col("_ak") == F.col("_ok")) & (F.col("_ap") == F.col("_op")), "left").join(none, F.col("_ak") == F.col("_nk"), "left").join(anywhere, F.col("_ak") == F.col("_k"), "left")
     return out.select(*asked.columns, F.coalesce("_own.node_id", "_none.node_id", "_any.node_id").alias("node_id"))
+
+
+def build(tables: dict[str, DataFrame], nodes: dict[str, tuple[str, str, str]], links: list[tuple[str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id ``key#table``, label, name) of model tables, ``nodes`` (table -> key, label, name), and edges between them.
+
+    ``links`` are (table, reference column, table referred to, type); a reference that no row has gives no edge.
+    """
+    node_id = lambda c, t: F.concat(F.col(c).cast("string"), F.lit(f"#{t}"))
+    rows = [tables[t].where(F.col(k).isNotNull()).select(node_id(k, t).alias("node_id"), F.lit(label).alias("label"), F.col(name).cast("string").alias("name")) for t, (k, label, name) in nodes.items()]
+    edges = []
+    for t, ref, parent, rel_type in links:
+        ids = tables[parent].select(F.col(nodes[parent][0]).alias("_id")).distinct()
+        child = tables[t].where(F.col(nodes[t][0]).isNotNull()).select(node_id(nodes[t][0], t).alias("from_node_id"), F.col(ref).alias("_id"))
+        edges.append(child.join(ids, "_id").select("from_node_id", node_id("_id", parent).alias("to_node_id"), F.lit(rel_type).alias("rel_type")))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    return union(rows).distinct(), union(edges).distinct()

@@ -3,14 +3,37 @@ without a match says so. References are joined by equality on derived keys; no s
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tagwright.functions import tags
 from tagwright.functions.text import match_key, non_blank, normalize_tag, text
 
 # Confidence by method.
 FINDINGS = {"sap_equipment": 1.0, "equipment_tag": 0.95, "floc_tail": 0.85, "floc_segment": 0.80, "text_extract": 0.60, "unmatched": 0.0}
+DOCUMENTS = {"inline_tag": 0.95, "name_map": 0.85, "name_fallback": 0.50, "none": 0.0}
+NAMES = {
+    "crusher": "CP-CR-0001",
+    "raw mill": "CP-RM-0001",
+    "vrm": "CP-RM-0001",
+    "vertical roller mill": "CP-RM-0001",
+    "preheater": "CP-PH-0001",
+    "pre-heater": "CP-PH-0001",
+    "kiln": "CP-KN-0001",
+    "rotary kiln": "CP-KN-0001",
+    "coal mill": "CP-CO-0001",
+    "cooler": "CP-CC-0001",
+    "clinker cooler": "CP-CC-0001",
+    "cement mill": "CP-CM-0001",
+    "ball mill": "CP-CM-0001",
+    "packer": "CP-PP-0001",
+}
+INLINE = r"^[0-9]{3}[A-Z]|^CP-[A-Z]{2}-[0-9]{4}|^B[0-9]{2}-[A-Z]"
+FUZZY = 0.84
 GRAM = 3
 
 
@@ -132,3 +155,49 @@ def asset_link(df: DataFrame, tag: str, components: DataFrame) -> DataFrame:
     confidence = tags.mapped(F.col("method"), {"exact_tag": 1.0, "exact_base": 0.95, "prefix_contains": 0.8, "family_3digit": 0.6, "fallback_base_tag": 0.4})
     out = rows.join(best, "tag", "left").select("tag", F.coalesce("hit.asset", "base").alias("asset"), F.coalesce("hit.method", F.lit("fallback_base_tag")).alias("method"))
     return out.withColumn("confidence", confidence)
+
+
+def documents(df: DataFrame, tag: str, name: str, names: dict[str, str] = NAMES) -> DataFrame:
+    """``df`` with normalized_asset, method and confidence: a tag as plants write them, else the longest known name in the
+    name (or in the tag, where there is no name), else the tag or name as it is."""
+    t, n = text(tag), text(name)
+    low = F.lower(F.coalesce(F.nullif(n, F.lit("")), t))
+    known = F.coalesce(*[F.when(F.contains(low, F.lit(k)), names[k]) for k in sorted(names, key=lambda k: (-len(k), k))])
+    of = lambda asset, how: F.struct(asset.alias("asset"), F.lit(how).alias("method"))
+    either = F.coalesce(F.nullif(t, F.lit("")), n)
+    best = F.when(t.rlike(INLINE), of(t, "inline_tag")).when(known.isNotNull(), of(known, "name_map")).when(either != "", of(either, "name_fallback")).otherwise(of(F.lit(""), "none"))
+    out = df.withColumn("_best", best)
+    return out.withColumns({"normalized_asset": F.col("_best.asset"), "asset_match_method": F.col("_best.method"), "asset_match_confidence": tags.mapped(F.col("_best.method"), DOCUMENTS)}).drop("_best")
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of two texts that matching blocks have; a column at a time."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def series(df: DataFrame, row: str, key: str, reference: DataFrame, least: int = 3) -> DataFrame:
+    """row, asset, method, confidence of historian tags by ``reference`` (key, asset, seq): an equal key, one that is part of the
+    other (the nearest in length), or one that reads alike by FUZZY and more.
+
+    Two keys name one asset only if all their numbers and the letters behind the last one agree: that is what they are joined
+    by, so that no key is compared with those of other assets. Of keys that read alike those with the same first three letters
+    count, if any reference has these; ties go to the first by ``seq``.
+    """
+    same = lambda c: F.concat_ws("|", F.array_join(tags.numeric_parts(c), ","), tags.sibling_suffix(c))
+    ref = reference.select(F.col("key").alias("_rk"), F.col("asset").alias("_asset"), "seq").where("_rk <> ''").withColumn("_same", same("_rk"))
+    rows = df.select(row, text(key).alias("_k")).withColumn("_same", same("_k"))
+    exact = ref.groupBy("_rk").agg(F.min_by("_asset", "seq").alias("_exact"))
+    out = rows.join(exact, rows._k == exact._rk, "left").drop("_rk")
+    open_ = out.where(F.col("_exact").isNull() & (F.length("_k") >= least)).select(row, "_k", "_same")
+    met = open_.join(ref, "_same").where(F.length("_rk") >= least)
+    inside = met.where(F.contains("_rk", "_k") | F.contains("_k", "_rk"))
+    inside = inside.groupBy(row).agg(F.min_by("_asset", F.struct(F.abs(F.length("_rk") - F.length("_k")), "_rk", "seq")).alias("_inside"))
+    begins = ref.select(F.substring("_rk", 1, 3).alias("_begin")).distinct()
+    near = open_.join(inside.select(row), row, "left_anti").join(begins, F.substring("_k", 1, 3) == F.col("_begin"), "left")
+    near = near.join(ref, "_same").where(F.col("_begin").isNull() | F.startswith("_rk", F.col("_begin"))).withColumn("_score", similarity("_k", "_rk")).where(F.col("_score") >= FUZZY)
+    alike = near.groupBy(row).agg(F.max_by("_asset", F.struct("_score", -F.col("seq"))).alias("_alike"), F.max("_score").alias("_score"))
+    out = out.join(inside, row, "left").join(alike, row, "left")
+    method = F.when(F.col("_exact").isNotNull(), "exact").when((F.length("_k") < least) & (F.col("_k") != ""), "key_too_short").when(F.col("_inside").isNotNull(), "contains").when(F.col("_alike").isNotNull(), "fuzzy").otherwise("none")
+    confidence = F.when(method == "exact", 1.0).when(method == "contains", 0.92).when(method == "fuzzy", F.col("_score")).otherwise(0.0)
+    return out.select(row, F.coalesce("_exact", "_inside", "_alike", F.lit("")).alias("asset"), method.alias("method"), confidence.alias("confidence"))

@@ -48,11 +48,11 @@ def replace_by_key(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def replace_by_file(new: DataFrame, old: DataFrame, file: str, created: str) -> DataFrame:
-    """``replace_by_key`` on the file; a file keeps its earliest time of creation."""
+def replace_by_file(new: DataFrame, old: DataFrame, file: str, created: str, scope: list[str] = ()) -> DataFrame:
+    """``replace_by_key`` on the file, or on the file and the ``scope`` columns; a file keeps its earliest time of creation."""
     first = old.groupBy(file).agg(F.min(created).alias("_first"))
     carried = new.join(first, file, "left").withColumn(created, F.coalesce("_first", created)).drop("_first")
-    return replace_by_key(carried.select(*new.columns), old, [file])
+    return replace_by_key(carried.select(*new.columns), old, [file, *scope])
 
 
 def version_conflicts(new: DataFrame, old: DataFrame, keys: list[str], version: str = "row_version") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwright.functions.coerce import number
-from tagwright.functions.text import composite_key, is_blank, non_blank, normalize_asset, text
+from tagwright.functions.text import composite_key, is_blank, measurement_name, non_blank, normalize_asset, text
 
 
 def header_key(name: str) -> str:
@@ -144,3 +144,13 @@ def stable_keys(df: DataFrame, base: str, out: str = "stable_key") -> DataFrame:
 
 def key(*columns: Column | str) -> Column:
     return composite_key(*columns)
+
+
+def unique_measurements(df: DataFrame, name: str, out: str = "measurement") -> DataFrame:
+    """``df`` with a store's name for each raw name; raw names that would share one, and those with nothing left, get a mark of their own text."""
+    plain, raw = measurement_name(name), F.coalesce(F.col(name), F.lit("None"))
+    mark = F.substring(F.sha1(raw), 1, 4)
+    sure = F.when(plain == raw, plain).when(plain == "", F.concat(F.lit("m_"), mark)).otherwise(F.concat(plain, F.lit("_"), mark))
+    named = df.withColumn("_plain", F.when(plain == "", sure).otherwise(plain))
+    n = named.groupBy("_plain").agg(F.count("*").alias("_n"))
+    return named.join(n, "_plain").withColumn(out, F.when(F.col("_n") > 1, sure).otherwise(F.col("_plain"))).drop("_plain", "_n")

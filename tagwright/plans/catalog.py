@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.plans import access, assets, entities, identity, runs, series, stored
+from tagwright.plans import access, assets, entities, identity, runs, series, shapes, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (series, assets, stored, identity, entities, access, runs)
+PARTS = (series, assets, stored, identity, entities, access, runs, shapes)
 FLAGSHIP = "ts_quality_score"
 
 

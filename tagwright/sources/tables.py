@@ -21,14 +21,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(spark: SparkSession, folder: str, name: str) -> str:
-    """Path of a table: ``name.parquet``, ``name.csv``, then ``name_*``, then ``name*`` in any folder below; of several the newest."""
+    """Path of a table: ``name.parquet``, ``name.csv``, then ``name_*``, then ``name*`` in any folder below, Parquet before CSV; of several the newest."""
     jvm = spark.sparkContext._jvm
-    for pattern in (f"{name}.parquet", f"{name}.csv", f"{name}_*", f"*/{name}*"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-        found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-        files = [f for f in found or [] if f.getPath().getName().split(".")[-1] in ("parquet", "csv")]
-        if files:
-            return max(files, key=lambda f: f.getModificationTime()).getPath().toString()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest = lambda found: max(found, key=lambda f: f.getModificationTime()).getPath().toString()
+    for pattern in (f"{name}.parquet", f"{name}.csv", f"{name}_*.parquet", f"{name}_*.csv"):
+        if found := list(fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern)) or []):
+            return newest(found)
+    level, below = [root], {"parquet": [], "csv": []}
+    while level and not any(below.values()):  # a level of folders at a time
+        inside = [f for p in level for f in fs.listStatus(p)]
+        for f in inside:
+            kind = f.getPath().getName().rpartition(".")[2]
+            if f.getPath().getName().startswith(name) and kind in below:
+                below[kind].append(f)
+        level = [f.getPath() for f in inside if f.isDirectory() and f.getPath().getName().rpartition(".")[2] not in below]
+    for found in below.values():
+        if found:
+            return newest(found)
     raise FileNotFoundError(f"{folder}/{name}")
 
 
@@ -39,11 +50,18 @@ def files(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int | N
 
 
 def replace(df: DataFrame, table: str, partition_by: list[str] = ()) -> None:
-    """``df`` as the stored table ``table``, which ``df`` itself may have read: written beside it, then put in its place by name."""
-    spark, beside = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
-    df.write.partitionBy(*partition_by).format("parquet").saveAsTable(beside)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {beside} RENAME TO {table}")
+    """``df`` as the stored table ``table``, which ``df`` itself may have read.
+
+    ``table`` is a view on its newest version, a table of its own: the new version is written whole, then the view is put on it
+    in one step, then older versions go. A crash leaves the old table or the new one. One writer at a time.
+    """
+    spark, version = df.sparkSession, f"{table}_v{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*partition_by).format("parquet").saveAsTable(version)
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {version}")
+    short = table.rpartition(".")[2]
+    for old in spark.catalog.listTables(table.rpartition(".")[0] or None):
+        if old.name.startswith(f"{short}_v") and old.name != version.rpartition(".")[2]:
+            spark.sql(f"DROP TABLE IF EXISTS {old.name if '.' not in table else table.rpartition('.')[0] + '.' + old.name}")
 
 
 def log_lines(lines: DataFrame, line: str = "value") -> DataFrame:

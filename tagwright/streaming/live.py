@@ -25,10 +25,10 @@ def window_quality(stream: DataFrame, sensor: str, ts: str, value: str, window:
     return stream.withWatermark(ts, late).groupBy(by.alias("w"), sensor).agg(F.count("*").alias("samples"), F.count_if(F.col(value).isNull()).alias("nulls"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def log_batches(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", every: str = "60 seconds") -> StreamingQuery:
-    """API log records to folders of days, a batch a minute."""
+def log_batches(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", every: str | None = "60 seconds") -> StreamingQuery:
+    """API log records to folders of days, a batch a minute; without ``every`` all that is there now, then an end."""
     dated = stream.withColumn("day", F.to_date(ts))
-    return dated.writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint).trigger(processingTime=every).start(path)
+    return dated.writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start(path)
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
