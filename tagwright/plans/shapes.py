@@ -147,11 +147,11 @@ SELECT flow, files_total, pending, processing, processed, failed, skipped, super
 
 
 def document_identity(spark, d):
-    docs = table(spark, d, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 5 WHEN 0 THEN concat(100 + o_custkey, 'KG') WHEN 1 THEN 'B12-K-0001' WHEN 2 THEN '' ELSE ' ' END AS equipment_tag", "CASE o_orderkey % 5 WHEN 2 THEN 'the Rotary Kiln drive' WHEN 3 THEN concat('pump ', o_custkey) ELSE '' END AS label")
+    docs = table(spark, d, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 5 WHEN 0 THEN concat(100 + o_custkey % 900, 'KG') WHEN 1 THEN 'B12-K-0001' WHEN 2 THEN '' ELSE ' ' END AS equipment_tag", "CASE o_orderkey % 5 WHEN 2 THEN 'the Rotary Kiln drive' WHEN 3 THEN concat('pump ', o_custkey) ELSE '' END AS label")
     return ident.documents(docs, "equipment_tag", "label").select("o_orderkey", "normalized_asset", "asset_match_method", "asset_match_confidence")
 
 
-DOCUMENT_IDENTITY = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 100 + o_custkey || 'KG' WHEN 1 THEN 'B12-K-0001' WHEN 2 THEN 'CP-KN-0001' WHEN 3 THEN 'pump ' || o_custkey ELSE '' END AS normalized_asset,
+DOCUMENT_IDENTITY = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 100 + o_custkey % 900 || 'KG' WHEN 1 THEN 'B12-K-0001' WHEN 2 THEN 'CP-KN-0001' WHEN 3 THEN 'pump ' || o_custkey ELSE '' END AS normalized_asset,
  CASE o_orderkey % 5 WHEN 0 THEN 'inline_tag' WHEN 1 THEN 'inline_tag' WHEN 2 THEN 'name_map' WHEN 3 THEN 'name_fallback' ELSE 'none' END AS asset_match_method, CASE o_orderkey % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.95 WHEN 2 THEN 0.85 WHEN 3 THEN 0.5 ELSE 0.0 END::DOUBLE AS asset_match_confidence FROM orders"""
 
 
