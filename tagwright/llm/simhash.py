@@ -125,76 +125,96 @@ def groups(df: DataFrame, words: int, bits: int = 2) -> DataFrame:
 
 
 WIDE_BYTES = 32
-RECALL = 0.97  # of pairs at exactly the similarity, by the index
+LEAST = 2  # shared positional bytes of a pair; 99.3 % of pairs at exactly 0.8 have as many, about 7 on average (simulated)
 PARTS = ("f0", "f1", "f2", "f3")
 BLOCK = 1024  # names of a posting that one task compares with the rest of it
+MIX = np.uint64(0x9E3779B97F4A7C15)
+ANCHORS = np.random.default_rng(5).integers(1, 1 << 63, WIDE_BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # a hash function for each position
 
 
-def index_shape(texts: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int]:
-    """Bit positions in a posting, postings and most differing bits for pairs of that Jaccard index.
+def most_bits(similarity: float) -> int:
+    """Differing bits of 256 that pairs of that Jaccard index stay within.
 
-    Two such sets have a cosine of 2 s / (1 + s) at least; a SimHash bit then differs with chance angle / pi. As postings
-    choose among the same bits, a pair's chance of meeting is taken for each number of differing bits and then averaged.
-    (Whole bytes would do with fewer choices but agree too unevenly: 179 postings of three bytes find 80 % at 0.8.)
-    Positions are as many as keep a posting's chance meetings below one for so many texts. The limit of bits lies four
+    Such sets have a cosine of 2 s / (1 + s) at least; a SimHash bit then differs with chance angle / pi. The limit lies four
     standard deviations above the mean, where some 1 in 10 000 pairs are lost.
     """
     bits = 8 * WIDE_BYTES
     flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    positions = max(16, math.ceil(math.log2(max(2, texts))) + 2)
-    chance = [math.comb(bits, d) * flip**d * (1 - flip) ** (bits - d) for d in range(bits + 1)]
-    meet = [math.comb(bits - d, positions) / math.comb(bits, positions) for d in range(bits + 1)]
-    found = lambda n: sum(c * (1 - (1 - m) ** n) for c, m in zip(chance, meet))
-    postings = next(n for n in range(1, 1 << 16) if found(n) >= recall)
-    return positions, postings, int(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
+    return int(bits * flip + 4 * math.sqrt(bits * flip * (1 - flip)))
 
 
-def postings_of(distinct: DataFrame, positions: int, postings: int) -> DataFrame:
-    """key, name, size of every posting with ``size`` > 1 names, from ``distinct`` (name, *PARTS)."""
-    choices = np.zeros((8 * WIDE_BYTES, postings))  # a posting's bits as powers of two
-    for k in range(postings):
-        choices[np.random.default_rng((5, k)).choice(8 * WIDE_BYTES, positions, replace=False), k] = 2.0 ** np.arange(positions)
+def posting_keys(fingerprint: bytes, hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint's posting at each of its byte positions, of a text with these shingles; none without a shingle.
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                fp = np.stack([c.to_numpy() for c in part.columns[1:]], axis=1).astype("<i8").view(np.uint8)
-                keys = (np.unpackbits(fp, axis=1) @ choices).astype(np.int64) | np.arange(postings, dtype=np.int64) << positions
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), postings))], ["key", "name"])
-
-    posts = distinct.select("name", *PARTS).mapInArrow(post, "key long, name long")
-    return posts.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    A position's byte alone would be shared by a 256th of all texts. So its postings are told apart by an *anchor* as well:
+    the shingle that is the smallest by the position's own hash, which two texts share with a chance of their Jaccard index.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least, x = np.full(WIDE_BYTES, np.iinfo(np.uint64).max, np.uint64), hashes.view(np.uint64)
+    for k in range(0, len(x), AT_ONCE // WIDE_BYTES):
+        least = np.minimum(least, (x[k : k + AT_ONCE // WIDE_BYTES, None] * ANCHORS).min(axis=0))
+    place = np.arange(WIDE_BYTES, dtype=np.uint64) << np.uint64(8) | np.frombuffer(fingerprint, np.uint8)
+    mixed = (least ^ (place + np.uint64(1)) * MIX) * MIX
+    return (mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
+def hamming(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: names) whose fingerprints in ``distinct`` (name, *PARTS) differ in at most so many bits."""
+    named = lambda x: distinct.select(F.col("name").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in PARTS])
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
+    return pairs.join(named("a"), "a").join(named("b"), "b").where(differ <= most).select("a", "b")
 
 
-def all_pairs(posts: DataFrame, of_component: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
-    """Pairs (a < b) that meet in a posting of ``posts``, are in different components and differ in at most ``most`` bits.
+def tallied_pairs(posts: DataFrame, of_component: DataFrame, least: int = LEAST) -> DataFrame:
+    """Pairs (a < b) of names in different components that meet in at least ``least`` postings of ``posts`` (key, name).
 
-    A posting of n names is dealt over n / BLOCK blocks: the left rows are split among these, the right rows go to all, so
-    no task holds the n * n / 2 meetings of one posting.
+    Postings of one component have no such pair and go first. A posting of n names is dealt over n / BLOCK blocks: the left
+    rows are split among these, the right rows go to all, so no task holds the n * n / 2 meetings of one posting; of a pair
+    no more than its count leaves a task.
     """
-    place = distinct.join(of_component, F.col("name") == F.col("node"), "left").select("name", *PARTS, F.coalesce("component", "name").alias("component"))
-    rows = posts.join(place, "name").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component", *PARTS)])
+    rows = posts.join(of_component, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("component"))
+    several = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("key", "size")
+    rows = rows.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component")])
     left = side(rows.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks"))), "a")
     right = side(rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "b").withColumnsRenamed({"key": "b_key", "block": "b_block"})
-    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
     on = (F.col("key") == F.col("b_key")) & (F.col("block") == F.col("b_block")) & (F.col("a_name") < F.col("b_name")) & (F.col("a_component") != F.col("b_component"))
-    return left.join(right, on & (differ <= most)).select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).distinct()
+    met = left.join(right, on).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+    return met.where(F.col("n") >= least).select("a", "b")
+
+
+def name_filter(names: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each number modulo 2 ** bits that some of ``names`` (name) leaves: 2 ** (bits - 3) bytes, at most 16 MB."""
+    value = F.pmod("name", F.lit(1 << bits)) + 1
+    rows = names.groupBy(F.bitmap_bucket_number(value).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")).collect()
+    out = np.zeros(max(1, (1 << bits) >> 15) * 4096, np.uint8)
+    for r in rows:
+        out[4096 * (r.k - 1) : 4096 * r.k] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
 def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: names) whose texts in ``df`` (doc_id, text) have shingle sets of at least that Jaccard index."""
+    """Those of ``pairs`` (a, b: names) whose texts in ``df`` (doc_id, text) have shingle sets of at least that Jaccard index.
+
+    A bit filter of bounded size, which lets all needed names and few others pass, keeps other texts' sets from moving.
+    """
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "needed")
+    n = needed.count()
+    if not n:
+        return pairs
+    bits = min(27, max(15, (32 * n).bit_length()))
+    wanted = df.sparkSession.sparkContext.broadcast(name_filter(needed, bits))
 
     def sets_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                sets = [shingle_set(t.as_py(), words) for t in batch.column(0).slice(k, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["name", "hashes"])
+                named = [(set_name(x), x) for x in (shingle_set(t.as_py(), words) for t in batch.column(0).slice(k, 500))]
+                named = [(m, x) for m, x in named if wanted.value[(m & (1 << bits) - 1) >> 3] >> (m & 7) & 1]
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in named], pa.int64()), pa.array([x for _, x in named], pa.list_(pa.int64()))], ["name", "hashes"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     sets = df.select("text").mapInArrow(sets_in, "name long, hashes array<long>").join(needed, "name", "left_semi")
-    sets = staged(sets.groupBy("name").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = staged(sets.groupBy("name").agg(F.any_value("hashes").alias("hashes")), "sets")
     named = lambda x: sets.select(F.col("name").alias(x), F.col("hashes").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     found = pairs.join(named("a"), "a").join(named("b"), "b").withColumn("both", both)
@@ -204,38 +224,36 @@ def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> Dat
 def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id of every row of ``df`` (doc_id, text): classes of texts whose shingle sets are about that alike.
 
-    Bits are 256 here: at a similarity of 0.8 a SimHash bit differs with chance 0.15, and the inverted index posts each
-    distinct fingerprint under the bits at fixed choices of positions (``index_shape``). All pairs of a posting count. Links are gathered in two steps, so that a large class costs no square of its size: first
-    each fingerprint meets the smallest of its posting and the one before it; then all pairs of a posting meet that these
-    links have not yet put into one component, and no other pair can change a class. Pairs within the limit of bits become
-    links if the Jaccard index of their shingle sets is at least ``similarity`` (``alike``). ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
+    A text has a SimHash of 256 bits, and the inverted index posts each distinct text under its byte at every position
+    (``posting_keys``). Links are gathered in two steps, so that a large class costs no square of its size: first each text
+    meets the smallest of its postings; then all pairs that these links have not yet put into one
+    component, and that share at least LEAST positional bytes; no other pair can change a class. Pairs of both steps become
+    links if they are within ``most_bits`` and the Jaccard index of their shingle sets is at least ``similarity``.
+    ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
     empty table gives no rows.
     """
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, names = [], []
-            for t in batch.column(1):
-                bits, hashes = wide_and_set(t.as_py(), words)
-                fps.append(bits)
-                names.append(set_name(hashes))
-            fp = np.frombuffer(b"".join(fps), "<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], ["doc_id", "name", *PARTS])
-
-    rows = staged(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(wide, f"doc_id long, name long, {', '.join(f'{f} long' for f in PARTS)}"), "wide")
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                found = [wide_and_set(t.as_py(), words) for t in part.column(1)]
+                fp = np.frombuffer(b"".join([f for f, _ in found]), "<i8").reshape(-1, 4)
+                keys = pa.array([posting_keys(f, x) for f, x in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_name(x) for _, x in found], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in fp.T), keys], ["doc_id", "name", *PARTS, "keys"])
+
+    columns = f"doc_id long, name long, {', '.join(f'{f} long' for f in PARTS)}, keys array<long>"
+    rows = staged(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(wide, columns), "wide")
     # texts of equal shingle sets are one from here on
-    distinct = staged(rows.groupBy("name").agg(F.min("doc_id").alias("least"), *[F.min_by(f, F.struct(*PARTS)).alias(f) for f in PARTS]), "distinct")
-    positions, postings, most = index_shape(distinct.count(), similarity)
-    posts = staged(postings_of(distinct, positions, postings), "postings")
-    inside = Window.partitionBy("key").orderBy("name")
-    met = posts.select("name", F.first("name").over(inside).alias("low"), F.lag("name").over(inside).alias("prior"))
-    pairs = met.select(F.col("name").alias("b"), F.explode(F.array("low", "prior")).alias("a")).where(F.col("a") < F.col("b")).distinct()
-    named = lambda x: distinct.select(F.col("name").alias(x), *[F.col(f).alias(f"{x}_{f}") for f in PARTS])
-    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
-    first = staged(pairs.join(named("a"), "a").join(named("b"), "b").where(differ <= most).select("a", "b"), "pairs")
+    distinct = staged(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.any_value(F.struct(*PARTS, "keys")).alias("w")).select("name", "least", "w.*"), "distinct")
+    posts = distinct.select("name", F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("low")).where("n > 1").select("key", "low")
+    posts = staged(posts.join(shared, "key").select("key", "name", "low"), "postings")
+    most = most_bits(similarity)
+    first = staged(hamming(posts.select(F.col("low").alias("a"), F.col("name").alias("b")).where("a < b").distinct(), distinct, most), "pairs")
     linked_first = staged(alike(first, df, words, similarity), "links")
     so_far = connected_components(linked_first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    second = staged(all_pairs(posts, so_far, distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = staged(hamming(tallied_pairs(posts, so_far), distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
     linked_second = staged(alike(second, df, words, similarity), "links")
     linked = connected_components(linked_first.union(linked_second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = linked.join(distinct, linked.node == distinct.name).select("name", "component", "least")

@@ -1,3 +1,5 @@
+import collections
+import itertools
 import random
 import re
 from collections import Counter
@@ -88,7 +90,7 @@ def jaccard(a, b, n=5):
     return len(x & y) / len(x | y)
 
 
-def test_all_pairs_of_a_posting_meet(spark):
+def test_all_pairs_of_a_posting_meet(spark, monkeypatch):
     """Texts half alike by a template stand between true pairs in the postings that they share."""
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
@@ -105,15 +107,14 @@ def test_all_pairs_of_a_posting_meet(spark):
     assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in true)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
 
-    def names(t):
-        return simhash.set_name(simhash.shingle_set(t, 5))
-
-    distinct = spark.createDataFrame([(names(t), *(int.from_bytes(simhash.wide_simhash(t, 5)[8 * k : 8 * k + 8], "little", signed=True) for k in range(4))) for t in text.values()], "name long, f0 long, f1 long, f2 long, f3 long")
-    positions, postings, most = simhash.index_shape(len(rows), 0.8)
-    posts = simhash.postings_of(distinct, positions, postings)
+    names = {t: simhash.set_name(simhash.shingle_set(t, 5)) for t in text.values()}
+    keys = [(names[t], int(k)) for t in text.values() for k in simhash.posting_keys(*simhash.wide_and_set(t, 5))]
     none = spark.createDataFrame([], "node long, component long")
-    got = {(x.a, x.b) for x in simhash.all_pairs(posts, none, distinct, most).collect()}
-    assert sum(tuple(sorted((names(text[a]), names(text[b])))) in got for a, b in true) >= 0.95 * len(true)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    got = {(x.a, x.b) for x in simhash.tallied_pairs(spark.createDataFrame(keys, "name long, key long"), none).collect()}
+    want = collections.Counter(pair for _, g in itertools.groupby(sorted(keys, key=lambda x: x[::-1]), key=lambda x: x[1]) for pair in itertools.combinations([n for n, _ in g], 2))
+    assert got == {pair for pair, n in want.items() if n >= simhash.LEAST}
+    assert sum(tuple(sorted((names[text[a]], names[text[b]]))) in got for a, b in true) >= 0.95 * len(true)
     classes = {x.doc_id: x.class_id for x in simhash.near_duplicate_classes(df).collect()}
     assert len(classes) == len(rows) and sum(classes[a] == classes[b] for a, b in true) >= 0.95 * len(true)
 
