@@ -166,8 +166,9 @@ def hamming(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
     return pairs.join(named("a"), "a").join(named("b"), "b").where(differ <= most).select("a", "b")
 
 
-def tallied_pairs(posts: DataFrame, of_component: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pairs (a < b) of names in different components that meet in at least ``least`` postings of ``posts`` (key, name).
+def tallied_pairs(posts: DataFrame, of_component: DataFrame, distinct: DataFrame, most: int, least: int = LEAST) -> DataFrame:
+    """Pairs (a < b) of names in different components, within ``most`` differing bits, that meet in at least ``least`` postings
+    of ``posts`` (key, name); ``distinct`` has the fingerprints (name, *PARTS).
 
     Postings of one component have no such pair and go first. A posting of n names is dealt over n / BLOCK blocks: the left
     rows are split among these, the right rows go to all, so no task holds the n * n / 2 meetings of one posting; of a pair
@@ -175,12 +176,13 @@ def tallied_pairs(posts: DataFrame, of_component: DataFrame, least: int = LEAST)
     """
     rows = posts.join(of_component, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("component"))
     several = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("key", "size")
-    rows = rows.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component")])
+    rows = rows.join(several, "key").join(distinct.select("name", *PARTS), "name").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component", *PARTS)])
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
     left = side(rows.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks"))), "a")
     right = side(rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "b").withColumnsRenamed({"key": "b_key", "block": "b_block"})
     on = (F.col("key") == F.col("b_key")) & (F.col("block") == F.col("b_block")) & (F.col("a_name") < F.col("b_name")) & (F.col("a_component") != F.col("b_component"))
-    met = left.join(right, on).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+    met = left.join(right, on & (differ <= most)).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
     return met.where(F.col("n") >= least).select("a", "b")
 
 
@@ -226,7 +228,8 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
 
     A text has a SimHash of 256 bits, and the inverted index posts each distinct text under its byte at every position
     (``posting_keys``). Links are gathered in two steps, so that a large class costs no square of its size: first each text
-    meets the smallest of its postings; then all pairs that these links have not yet put into one
+    meets the one with the most meetings in its postings (a group of copies is a star around what they were copied from, whose
+    rays are not alike themselves); then all pairs that these links have not yet put into one
     component, and that share at least LEAST positional bytes; no other pair can change a class. Pairs of both steps become
     links if they are within ``most_bits`` and the Jaccard index of their shingle sets is at least ``similarity``.
     ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
@@ -247,13 +250,17 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     # texts of equal shingle sets are one from here on
     distinct = staged(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.any_value(F.struct(*PARTS, "keys")).alias("w")).select("name", "least", "w.*"), "distinct")
     posts = distinct.select("name", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("low")).where("n > 1").select("key", "low")
-    posts = staged(posts.join(shared, "key").select("key", "name", "low"), "postings")
+    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    posts = staged(posts.join(shared, "key").select("key", "name", "n"), "postings")
+    # a text that others were made from meets more texts than these meet each other: the one with the most meetings stands for a posting
+    meetings = posts.groupBy("name").agg(F.sum("n").alias("meetings"))
+    hubs = posts.join(meetings, "name").groupBy("key").agg(F.max(F.struct("meetings", "name")).alias("hub")).select("key", F.col("hub.name").alias("hub"))
     most = most_bits(similarity)
-    first = staged(hamming(posts.select(F.col("low").alias("a"), F.col("name").alias("b")).where("a < b").distinct(), distinct, most), "pairs")
+    met = posts.join(hubs, "key").where("name <> hub").select(F.least("hub", "name").alias("a"), F.greatest("hub", "name").alias("b")).distinct()
+    first = staged(hamming(met, distinct, most), "pairs")
     linked_first = staged(alike(first, df, words, similarity), "links")
     so_far = connected_components(linked_first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    second = staged(hamming(tallied_pairs(posts, so_far), distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = staged(tallied_pairs(posts, so_far, distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
     linked_second = staged(alike(second, df, words, similarity), "links")
     linked = connected_components(linked_first.union(linked_second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = linked.join(distinct, linked.node == distinct.name).select("name", "component", "least")

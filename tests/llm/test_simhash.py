@@ -111,7 +111,8 @@ def test_all_pairs_of_a_posting_meet(spark, monkeypatch):
     keys = [(names[t], int(k)) for t in text.values() for k in simhash.posting_keys(*simhash.wide_and_set(t, 5))]
     none = spark.createDataFrame([], "node long, component long")
     monkeypatch.setattr(simhash, "BLOCK", 3)
-    got = {(x.a, x.b) for x in simhash.tallied_pairs(spark.createDataFrame(keys, "name long, key long"), none).collect()}
+    distinct = spark.createDataFrame([(n, *(int.from_bytes(simhash.wide_simhash(t, 5)[8 * k : 8 * k + 8], "little", signed=True) for k in range(4))) for t, n in names.items()], "name long, f0 long, f1 long, f2 long, f3 long")
+    got = {(x.a, x.b) for x in simhash.tallied_pairs(spark.createDataFrame(keys, "name long, key long"), none, distinct, 256).collect()}
     want = collections.Counter(pair for _, g in itertools.groupby(sorted(keys, key=lambda x: x[::-1]), key=lambda x: x[1]) for pair in itertools.combinations([n for n, _ in g], 2))
     assert got == {pair for pair, n in want.items() if n >= simhash.LEAST}
     assert sum(tuple(sorted((names[text[a]], names[text[b]]))) in got for a, b in true) >= 0.95 * len(true)
