@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagwright.llm.shared import staged
+
 SHORTEST, LONGEST = 3, 5  # characters of an n-gram, marks included
 BUCKETS = 1 << 17
 KEPT_WORDS = 200_000
@@ -62,29 +64,45 @@ class Model:
     bias: float
 
 
-@dataclass
-class Bags:
-    """Texts as rows of (bucket, share)."""
+class Runs:
+    """Rows of numbers of different lengths, one after the other."""
+
+    def __init__(self, rows: list[np.ndarray], kind: type):
+        self.ends = np.cumsum([0, *map(len, rows)])
+        self.values = np.concatenate([np.zeros(0, kind), *rows]).astype(kind)
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values of these rows stand, in turn, and how many each row has."""
+        n = self.ends[rows + 1] - self.ends[rows]
+        total = np.cumsum(n)
+        return np.repeat(self.ends[rows] - total + n, n) + np.arange(total[-1] if len(total) else 0), n
 
-    starts: np.ndarray
-    buckets: np.ndarray
-    shares: np.ndarray
 
-    @classmethod
-    def of(cls, texts: list[str | None]) -> Bags:
-        seen: dict[str, list[int]] = {}
-        starts, buckets, shares = [0], [], []
+class Bags:
+    """Texts as bags of words and words as bags of buckets, so that a word's n-grams are held once, however many texts have it."""
+
+    def __init__(self, texts: list[str | None]):
+        number: dict[str, int] = {}
+        held, counts, grams = [], [], []
         for text in texts:
-            bag: Counter[int] = Counter()
-            for w, n in Counter(words_of(text)).items():
-                w = w.strip(EDGES)
-                for b in seen.setdefault(w, subwords(w)):
-                    bag[b] += n
-            total = sum(bag.values()) or 1
-            buckets.append(np.fromiter(bag.keys(), np.int32, len(bag)))
-            shares.append(np.fromiter(bag.values(), np.float32, len(bag)) / total)
-            starts.append(starts[-1] + len(bag))
-        return cls(np.array(starts), np.concatenate([np.zeros(0, np.int32), *buckets]), np.concatenate([np.zeros(0, np.float32), *shares]))
+            bag = Counter(w.strip(EDGES) for w in words_of(text))
+            for w in bag:
+                if w not in number:
+                    number[w] = len(grams)
+                    grams.append(np.array(subwords(w), np.int32))
+            held.append(np.fromiter((number[w] for w in bag), np.int32, len(bag)))
+            counts.append(np.fromiter(bag.values(), np.float32, len(bag)))
+        self.words, self.counts, self.grams = Runs(held, np.int32), Runs(counts, np.float32), Runs(grams, np.int32)
+        size = np.diff(self.grams.ends)
+        self.totals = np.array([max(1.0, float(c @ size[w])) for w, c in zip(held, counts)], np.float32)
+
+    def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, share of its text and place among ``rows`` of every n-gram of these texts."""
+        at, n = self.words.places(rows)
+        words, owner = self.words.values[at], np.repeat(np.arange(len(rows)), n)
+        share = self.counts.values[at] / self.totals[rows][owner]
+        at, n = self.grams.places(words)
+        return self.grams.values[at], np.repeat(share, n), np.repeat(owner, n)
 
 
 def train(texts: list[str | None], labels: list[int], dim: int = 8, steps: int = 1200, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
@@ -93,7 +111,7 @@ def train(texts: list[str | None], labels: list[int], dim: int = 8, steps: int =
     share = np.bincount(y, minlength=2)
     if not share.all():
         return Model(np.zeros(BUCKETS, np.float32), 5.0 * float(np.sign(share[1] - share[0])))
-    bags, r = Bags.of(texts), np.random.default_rng(seed)
+    bags, r = Bags(texts), np.random.default_rng(seed)
     embed = r.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = r.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_embed, g_layer, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -102,13 +120,8 @@ def train(texts: list[str | None], labels: list[int], dim: int = 8, steps: int =
         order = r.permutation(len(y))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            sizes = bags.starts[rows + 1] - bags.starts[rows]
-            at = np.concatenate([np.arange(bags.starts[i], bags.starts[i + 1]) for i in rows])
-            b, s, row = bags.buckets[at], bags.shares[at], np.repeat(np.arange(len(rows)), sizes)
-            mean = np.zeros((len(rows), dim), np.float32)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                mean[full] = np.add.reduceat(embed[b] * s[:, None], (np.cumsum(sizes) - sizes)[full])
+            b, s, row = bags.rows(rows)
+            mean = np.stack([np.bincount(row, embed[b, j] * s, len(rows)) for j in range(dim)], axis=1).astype(np.float32)
             z = mean @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -153,20 +166,25 @@ class Words(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int, longest: int) -> tuple[list[str | None], list[int]]:
-    """At most so many labelled texts of either class, the first by a hash of the id, each of at most ``longest`` characters.
+    """Of the labelled texts of at most ``longest`` characters so many of either class, the first by a hash of the id.
 
     ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without an id or a label, and ids labelled both ways, are not used.
     """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= longest)
+    ids = ids.join(short.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     chosen = [ids.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in enumerate((clean, toxic))]
-    some = F.broadcast(chosen[0].union(chosen[1]))  # clean + toxic rows at most
-    found = docs.join(some, "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= longest).select("doc_id", "toxic", "text").orderBy("doc_id", "text").collect()
+    some = F.broadcast(staged(chosen[0].union(chosen[1]), "sample"))  # clean + toxic rows at most
+    found = short.join(some, "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text").collect()
     return [r.text for r in found], [r.toxic for r in found]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """``df`` with the probability that the whole ``text`` is toxic; a text without words, or null, has the model's bias alone."""
+    """``df`` with the probability that the whole ``text`` is toxic; a text without words, or null, has the model's bias alone.
+
+    A column named ``out`` is replaced; repeated rows and other columns pass, an empty table stays empty.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     @F.arrow_udf("double")
