@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwright.llm.shared import pieces
+from tagwright.llm.shared import in_a_row, pieces
 
 # The word pattern of byte-level vocabularies, white space as Unicode has it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -161,6 +162,9 @@ class MergeAutomaton:
                     out += self.encode_word(w.encode())
         return out
 
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        return [self.encode_pieces(t) for t in texts]
+
     def decode(self, ids) -> str:
         return emit(self.spell, ids)
 
@@ -194,11 +198,31 @@ class Chunks(dict):
             self[chunk] = packed
         return packed
 
-    def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if rest and (packed := list(map(self.__getitem__, rest))) and None not in packed:
-            return np.array(self.automaton.encode_pieces(first), np.int32).tobytes() + b"".join(packed)
-        return np.array(self.automaton.encode_pieces(text), np.int32).tobytes()
+    def prepare(self, chunks: list[str]) -> None:
+        """Called with all chunks that are looked up next; an encoder that is better at many words at once learns them here."""
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and how many ids each text has. Each different chunk of ``texts`` is looked up once."""
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        words = lists.flatten().dictionary_encode()
+        known, at = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        self.prepare(known)
+        packed = list(map(self.__getitem__, known))
+        whole = np.array([p is None for p in packed] + [False])[at]  # chunks that depend on their neighbours
+        whole[cuts[:-1]] = False
+        starts, used = cuts[:-1].tolist(), np.ones(len(at), bool)
+        alone = np.add.reduceat(whole, cuts[:-1]) > 0 if len(starts) else np.zeros(0, bool)
+        for row in np.flatnonzero(alone).tolist():
+            used[starts[row] + 1 : cuts[row + 1]] = False
+        parts = [texts[row].as_py() if single else known[at[a]] for row, (a, single) in enumerate(zip(starts, alone.tolist()))]
+        at[cuts[:-1]] = len(packed) + np.arange(len(parts))
+        packed += [array("i", ids).tobytes() for ids in self.automaton.encode_many(parts)]
+        size = np.array([len(p) if p else 0 for p in packed], np.int64) // 4
+        ids, n = in_a_row(np.frombuffer(b"".join([p or b"" for p in packed]), np.int32), size, at[used])
+        ends = np.zeros(len(at) + 1, np.int64)
+        ends[1:][used] = n
+        return ids, np.diff(np.cumsum(ends)[cuts])
 
 
 _compiled: dict[str, Chunks] = {}
@@ -213,9 +237,8 @@ def compiled(tokenizer_json: str) -> Chunks:
 
 
 def token_lists(chunks: Chunks, texts: pa.Array) -> pa.Array:
-    packed = [chunks.encode(t.as_py() or "") for t in texts]
-    ends = np.cumsum([0, *map(len, packed)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+    ids, n = chunks.encode(texts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
 
 
 def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
