@@ -3,7 +3,8 @@
 A document is a row of words. Every run of ``K`` words has K - S + 1 inner runs of ``S`` words; it is a *closed syncmer* if
 the inner run with the smallest hash stands at its left or right edge. Whether a run is chosen depends on its own words
 alone, never on what stands around it, so equal passages have equal anchors wherever they occur. The fingerprint is the
-``SIZE`` smallest distinct anchor hashes; two fingerprints' likeness estimates the Jaccard index of their anchors.
+``SIZE`` smallest distinct anchor hashes; two fingerprints' likeness estimates the Jaccard index of their anchors. Where a
+passage lies in two texts is told by ``aligned`` over all anchors and their positions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 K, S, SIZE = 4, 2, 64  # the anchor test below is written for K - S + 1 = 3 inner runs
 GROUP = 64  # rows that stand together when neighbours by id are looked up
+KNOTS = 1000  # quantiles of the ids
 LEFT_OVER = 4096  # rows at which one task may order what is left
 
 
@@ -54,18 +56,35 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
 
+def aligned(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, offset, n_anchors: for each row of ``df`` (key unique, two columns of ``anchors``) by how many words the second text's
+    most common passages lie behind the first's, and how many different anchors agree on that.
+
+    All anchors count, whatever a text's length; of an anchor that repeats in a text the first place does. Anchors meet by
+    equality. Ties go to the smallest offset; rows without a common anchor, and null keys, give none.
+    """
+    first = lambda c: df.select(key, F.explode(c).alias("x")).groupBy(key, F.col("x.hash").alias("hash")).agg(F.min("x.position").alias(c))
+    met = first(a).join(first(b), [key, "hash"]).groupBy(key, (F.col(b) - F.col(a)).alias("offset")).agg(F.count("*").alias("n_anchors"))
+    best = F.max_by(F.struct("offset", "n_anchors"), F.struct("n_anchors", -F.col("offset")))
+    return met.groupBy(key).agg(best.alias("r")).select(key, "r.offset", "r.n_anchors")
+
+
 def with_next(df: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
     """``df`` with ``columns`` of the row that follows in descending ``key``; after the last comes the first.
 
-    Rows go to groups of about GROUP by a linear map of the key's range, so no task orders the whole table; a group's last
-    row takes the first row of the next group with any, found the same way over one row a group. Keys far from evenly
-    spread only make groups larger, which windows spill. Rows with equal keys follow each other in no set order; null keys
-    come last. A single row follows itself.
+    Rows go to groups of about GROUP by a map of the key that rises evenly between KNOTS of its quantiles, so neither ids far
+    off nor ids in clusters put many rows into one group, and no task orders the whole table; a group's last row takes the
+    first row of the next group with any, found the same way over one row a group. Rows with equal keys follow each other in
+    no set order; null keys come last. A single row follows itself.
     """
-    spread = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(key).alias("n")).first()
-    low, high, n = spread.low or 0, spread.high or 0, spread.n
-    width = max(1, -(-(high - low + 1) * GROUP // max(1, n)))
-    group = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width)).cast("long"), F.lit(-1)) if width > 1 << 40 else F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
+    spread = df.agg(F.count(key).alias("n"), F.percentile_approx(key, [k / KNOTS for k in range(KNOTS + 1)], 20_000).alias("q")).first()
+    n, knots = spread.n, sorted(set(spread.q or [0]))
+    at = F.array(*[F.lit(int(q)).cast("long") for q in knots])
+    place = F.size(F.filter(at, lambda q: q <= F.col(key).cast("long")))
+    low, high = F.get(at, place - 1), F.get(at, place)
+    share = F.when(high.isNotNull(), (F.col(key).cast("double") - low) / (high - low)).otherwise(0.0)
+    per = max(1.0, n / GROUP / max(1, len(knots) - 1))
+    group = F.when(F.col(key).isNull(), F.lit(-1)).when(place == 0, F.lit(0)).otherwise(F.floor((place - 1 + F.least(share, F.lit(0.999999))) * per)).cast("long")
     rows = df.withColumn("_group", group)
     down = Window.partitionBy("_group").orderBy(F.col(key).desc_nulls_last())
     taken = F.struct(*columns)

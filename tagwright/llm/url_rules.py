@@ -128,8 +128,10 @@ def judge(pages: DataFrame, rules: list[Rule], support: float = 0.005, confidenc
     if known.isEmpty():
         return rows.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
     mined, stand_in = mine(known, support, confidence)
-    stood = stood_for(F.col("items"), stand_in)
-    blocked = matched(open_.select(stood.alias("items")).distinct(), mined).select(F.col("items").alias("blocked"))
-    judged = rows.join(blocked, F.when(F.col("hit").isNull(), stood) == F.col("blocked"), "left")
-    verdict = F.coalesce("hit.verdict", F.when(F.col("blocked").isNotNull(), "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))
+    # URLs are joined under a number of their items; all rows that a rule decides stay out of the join
+    stood = open_.withColumn("items", stood_for(F.col("items"), stand_in)).withColumn("_set", F.xxhash64("items"))
+    sets = stood.groupBy("_set", "items").agg(F.count("*").alias("n"))
+    blocked = matched(sets.select("items"), mined).select(F.xxhash64("items").alias("_blocked"), F.col("items").alias("_items"))
+    judged = stood.join(blocked, (F.col("_set") == F.col("_blocked")) & (F.col("items") == F.col("_items")), "left")
+    by_rule = rows.where("hit is not null").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
+    return by_rule.union(judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow").alias("verdict")))

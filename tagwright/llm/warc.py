@@ -23,22 +23,24 @@ from tagwright.llm.shared import shared_dir
 LEAST_REVISIT = 100  # payload bytes; smaller ones are stored every time
 ARCHIVE_BYTES = 4 << 20
 GZIP_LEVEL = 3
-PIECE = 4096  # bytes of a damaged member that are inflated at a time
+FEED = 16 << 10  # bytes of a member that are inflated at a time
 # The profile that marks a revisit of an equal payload, and the names of fields.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+NO_DATE = "1970-01-01T00:00:00Z"  # of pages whose time of capture nobody knows
 VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/\d\.\d\r\n")
 MEMBER = b"\x1f\x8b\x08"
 RECORDS = "archive string, at long, size long, gap string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or (with ``refers_to``) a revisit without."""
+def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, date: str = NO_DATE, copy: int = 0) -> bytes:
+    """One record: a response with its payload, or (with ``refers_to``) a revisit without. ``copy`` tells records of one page apart."""
     block = HTTP + (payload if refers_to is None else b"")
-    name = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
+    name = lambda p, k=0: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}' + f':{k}' * (k > 0))}>"
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", name(page_id)),
+        ("WARC-Record-ID", name(page_id, copy)),
+        ("WARC-Date", date),
         ("WARC-Target-URI", re.sub(r"\s", "%20", url or "")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
@@ -64,18 +66,23 @@ def with_first(pages: DataFrame) -> DataFrame:
     return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
 
-def archives(pages: DataFrame, compress: bool = True) -> DataFrame:
-    """Archives (archive, content) with one record for each row of ``pages``, about ARCHIVE_BYTES each."""
+def archives(pages: DataFrame, compress: bool = True, date: str = NO_DATE) -> DataFrame:
+    """Archives (archive, content) with one record for each row of ``pages``, about ARCHIVE_BYTES each.
+
+    ``date`` is the capture's, as ``2026-01-31T12:00:00Z``. A page's record id is made of its page_id, so that revisits can
+    refer to it; rows that repeat a page_id repeat it, and rows without one have ids by task and place.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, held, n = TaskContext.get().partitionId(), 0, [], 0
+        part, k, held, n, seen = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def row():
             return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{k:06d}.warc{'.gz' * compress}"]), pa.array([b"".join(held)], pa.binary())], ["archive", "content"])
 
         for batch in batches:
             for page_id, url, payload, length, digest, refers in zip(*batch.columns):
-                one = record(page_id.as_py(), url.as_py(), payload.as_py(), length.as_py(), digest.as_py(), refers.as_py())
+                seen += 1
+                one = record(page_id.as_py(), url.as_py(), payload.as_py(), length.as_py(), digest.as_py(), refers.as_py(), date, 0 if page_id.is_valid else part << 32 | seen)
                 if compress:
                     squeeze = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
                     one = squeeze.compress(one) + squeeze.flush()
@@ -115,27 +122,28 @@ def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def member(raw: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """Content and end of the gzip member at ``at``; of a damaged one what comes out before the damage, no end (-1) and the reason."""
-    inflate = zlib.decompressobj(31)
+    """Content and end of the gzip member at ``at``; of a damaged one what comes out before the damage, no end (-1) and the reason.
+
+    The member is fed in bounded pieces, so that what follows it is never copied: reading takes time in proportion to the archive.
+    """
+    inflate, held, view, k = zlib.decompressobj(31), [], memoryview(raw), at
     try:
-        out = inflate.decompress(memoryview(raw)[at:])
-        if inflate.eof:
-            return out, len(raw) - len(inflate.unused_data), None
-        why = "gzip: cut off"
+        while k < len(raw):
+            before, k = k, min(len(raw), k + FEED)
+            held.append(inflate.decompress(view[before:k]))
+            if inflate.eof:
+                return b"".join(held), k - len(inflate.unused_data), None
+        return b"".join(held), -1, "gzip: cut off"
     except zlib.error as e:
         why = f"gzip: {e}"
-    # an error takes all output of its call with it: again in pieces, the failing one byte by byte
-    inflate, held = zlib.decompressobj(31), []
-    for k in range(at, len(raw), PIECE):
-        before, piece = inflate.copy(), raw[k : k + PIECE]
-        try:
-            held.append(inflate.decompress(piece))
-        except zlib.error:
-            try:
-                for x in range(len(piece)):
-                    held.append(before.decompress(piece[x : x + 1]))
-            except zlib.error:
-                break
+    # an error takes all output of its call with it: again up to that piece, and the piece byte by byte
+    inflate = zlib.decompressobj(31)
+    held = [inflate.decompress(view[at:before])]
+    try:
+        for x in range(before, k):
+            held.append(inflate.decompress(view[x : x + 1]))
+    except zlib.error:
+        pass
     return b"".join(held), -1, why
 
 

@@ -59,6 +59,27 @@ def test_syncmers(spark):
     assert syncmers.compare_with_edits(df.where("false")).count() == 0
 
 
+def test_passages_align_by_position_in_long_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(1, " ".join([word() for _ in range(5000)] + passage + [word() for _ in range(50)]), " ".join([word() for _ in range(20)] + passage + [word() for _ in range(9000)])), (2, "a b c d e", None), (3, "x y", "x y")]
+    df = spark.createDataFrame(rows, "id long, a_text string, b_text string")
+    df = shared.staged(syncmers.anchors(syncmers.anchors(df, "a_text", "a"), "b_text", "b"), "anchors")
+    got = {x.id: (x.offset, x.n_anchors) for x in syncmers.aligned(df, "id", "a", "b").collect()}
+    assert got[1][0] == -4980 and got[1][1] > 20 and got[3] == (0, 1) and 2 not in got
+
+
+def test_next_document_with_ids_far_off_in_clusters_and_null(spark):
+    ids = [*range(3000), *range(10**12, 10**12 + 700), -(10**15), 5 * 10**17, 10**12 + 10**9]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.next_text for r in syncmers.with_next(df, "doc_id", ["text"]).collect()}
+    down = sorted(ids, reverse=True)
+    assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
+    few = spark.createDataFrame([(None, "n"), (7, "a"), (3, "b"), (3, "b")], "doc_id long, text string")
+    assert sorted(str(r.next_text) for r in syncmers.with_next(few, "doc_id", ["text"]).collect()) == ["a", "b", "b", "n"]
+
+
 def plain_rule(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -249,6 +270,31 @@ def test_warc_query_gives_what_its_sql_gives(spark):
     assert sorted(map(tuple, queries.op10_warc(spark, SMALL).collect()), key=str) == want
 
 
+def test_warc_reading_takes_time_in_proportion_to_the_archive():
+    import time
+
+    def seconds(n):
+        raw = b"".join(gzip.compress(warc.record(k, f"http://x/{k}", b"p" * 200, 200, hashlib.sha256(b"p" * 200).hexdigest(), None)) for k in range(n))
+        began = time.process_time()
+        assert sum(gap is None for _, _, gap, _, _ in warc.salvage(raw)) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 12 * max(0.02, seconds(2000))
+
+
+def test_warc_records_have_what_the_format_demands(spark):
+    pages = spark.createDataFrame([(1, "http://x/1", "a" * 200), (2, "http://x/2", "a" * 200), (3, None, None), (None, "u", "b" * 150), (None, "u", "b" * 150)], "page_id long, url string, html string")
+    stored = warc.archives(pages, date="2026-01-31T12:00:00Z")
+    fields = [f for r in stored.collect() for _, _, gap, f, _ in warc.salvage(bytes(r.content)) if gap is None]
+    assert len(fields) == 5 and all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(f) and f["warc-date"] == "2026-01-31T12:00:00Z" for f in fields)
+    assert len({f["warc-record-id"] for f in fields}) == 5
+    by = {f["x-page-id"]: f for f in fields}
+    assert by["2"]["warc-type"] == "revisit" and by["2"]["warc-refers-to"] == by["1"]["warc-record-id"]
+    got = sorted(((r.page_id, r.record_type, r.payload_bytes) for r in warc.round_trip(pages).collect()), key=str)
+    assert got == sorted([(1, "response", 200), (2, "revisit", 200), (3, "response", 0), (None, "response", 150), (None, "response", 150)], key=str)
+    assert warc.round_trip(pages.where("false")).count() == 0
+
+
 def test_warc_salvage():
     records = [warc.record(k, f"http://x/{k}", b"p%d " % k * 40, 120, hashlib.sha256(b"").hexdigest(), None) for k in range(6)]
     raw = bytearray(b"".join(records))
