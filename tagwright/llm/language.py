@@ -184,11 +184,22 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, epoch
 
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> float:
-    """The temperature at which logits z give classes y the largest likelihood, by golden sections of its logarithm; 1 without rows."""
-    if not len(y):
+    """The temperature at which logits z give classes y the largest likelihood, by golden sections of its logarithm; 1 without rows.
+
+    As one row more of each class might have shown otherwise, a class counts as 1 / (rows + 2) less than sure; without that,
+    rows that are all right would ask for a temperature of 0.
+    """
+    if not len(y) or z.shape[1] < 2:
         return 1.0
-    loss = lambda t: -np.log(np.maximum(softmax(z / np.exp(t))[np.arange(len(y)), y], 1e-300)).mean()
-    low, high, cut = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    doubt = 1 / (len(y) + 2)
+    target = np.full(z.shape, doubt / (z.shape[1] - 1))
+    target[np.arange(len(y)), y] = 1 - doubt
+
+    def loss(t: float) -> float:
+        scaled = (z - z.max(axis=1, keepdims=True)) / np.exp(t)
+        return float((target * (np.log(np.exp(scaled).sum(axis=1, keepdims=True)) - scaled)).sum())
+
+    low, high, cut = np.log(0.02), np.log(50.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = high - cut * (high - low), low + cut * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
