@@ -252,21 +252,24 @@ class Benchmark:
         """Add the places of item k in text x, between ``low`` and ``high``, at or near the window starts ``at``: the best, then those beside it."""
         item = self.items[k]
         n, slack = len(item), allowed(len(item))
-        exact = next((s for s in at.tolist() if low <= s <= high - n and (x[s : s + n] == item).all()), None)
-        if exact is not None:
-            edits, start, end = 0, exact, exact + n
-        else:
-            begin = max(low, int(at[0]) - slack)
-            edits, start, end = best_match(item, x[begin : max(begin, min(high, int(at[-1]) + n + slack))])
-            start, end = begin + start, begin + end
-        if edits > slack:
-            return
-        found.append({"item_id": self.ids[k], "edits": edits, "start_word": start, "n_words": end - start})
-        before, after = at[at <= start - n + slack], at[at >= end - slack]
-        if len(before):
-            self._verify(found, k, x, before, low, start)
-        if len(after):
-            self._verify(found, k, x, after, end, high)
+        work = [(at, low, high)]  # a list and no recursion: a text may repeat an item as often as it likes
+        while work:
+            at, low, high = work.pop()
+            exact = next((s for s in map(int, at) if low <= s <= high - n and (x[s : s + n] == item).all()), None)
+            if exact is not None:
+                edits, start, end = 0, exact, exact + n
+            else:
+                begin = max(low, int(at[0]) - slack)
+                edits, start, end = best_match(item, x[begin : max(begin, min(high, int(at[-1]) + n + slack))])
+                start, end = begin + start, begin + end
+            if edits > slack:
+                continue
+            found.append({"item_id": self.ids[k], "edits": edits, "start_word": start, "n_words": end - start})
+            before, after = at[at <= start - n + slack], at[at >= end - slack]
+            if len(after):
+                work.append((after, end, high))
+            if len(before):
+                work.append((before, low, start))
 
 
 def benchmark_blocks(items: DataFrame) -> Iterator[Benchmark]:

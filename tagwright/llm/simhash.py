@@ -224,7 +224,12 @@ def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> Dat
 
 
 def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id of every row of ``df`` (doc_id, text): classes of texts whose shingle sets are about that alike.
+    """doc_id, class_id of every row of ``df`` (doc_id, text), see ``classes_of_texts``."""
+    return classes_of_texts(df, words, similarity).select("doc_id", "class_id")
+
+
+def classes_of_texts(df: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_key, class_id, class_key of every row of ``df`` (doc_id, text): classes of texts whose shingle sets are about that alike.
 
     A text has a SimHash of 256 bits, and the inverted index posts each distinct text under its byte at every position
     (``posting_keys``). Links are gathered in two steps, so that a large class costs no square of its size: first each text
@@ -232,8 +237,9 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     rays are not alike themselves); then all pairs that these links have not yet put into one
     component, and that share at least LEAST positional bytes; no other pair can change a class. Pairs of both steps become
     links if they are within ``most_bits`` and the Jaccard index of their shingle sets is at least ``similarity``.
-    ``class_id`` is the smallest doc_id of a class, null if all ids in it are null. Texts without a word are one class. An
-    empty table gives no rows.
+    ``class_id`` is the smallest doc_id of a class, null if all ids in it are null; of rows of that id ``class_key`` is the least
+    ``text_key``, a hash of the text, so that an id which stands for several texts names one of them. Texts without a word are
+    one class. An empty table gives no rows.
     """
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +249,13 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
                 found = [wide_and_set(t.as_py(), words) for t in part.column(1)]
                 fp = np.frombuffer(b"".join([f for f, _ in found]), "<i8").reshape(-1, 4)
                 keys = pa.array([posting_keys(f, x) for f, x in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_name(x) for _, x in found], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in fp.T), keys], ["doc_id", "name", *PARTS, "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([set_name(x) for _, x in found], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in fp.T), keys], ["doc_id", "text_key", "name", *PARTS, "keys"])
 
-    columns = f"doc_id long, name long, {', '.join(f'{f} long' for f in PARTS)}, keys array<long>"
-    rows = staged(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(wide, columns), "wide")
+    columns = f"doc_id long, text_key long, name long, {', '.join(f'{f} long' for f in PARTS)}, keys array<long>"
+    rows = staged(df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(wide, columns), "wide")
     # texts of equal shingle sets are one from here on
-    distinct = staged(rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.any_value(F.struct(*PARTS, "keys")).alias("w")).select("name", "least", "w.*"), "distinct")
+    first_row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    distinct = staged(rows.groupBy("name").agg(first_row.alias("least"), F.any_value(F.struct(*PARTS, "keys")).alias("w")).select("name", "least", "w.*"), "distinct")
     posts = distinct.select("name", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posts = staged(posts.join(shared, "key").select("key", "name", "n"), "postings")
@@ -266,13 +273,18 @@ def near_duplicate_classes(df: DataFrame, words: int = 5, similarity: float = 0.
     members = linked.join(distinct, linked.node == distinct.name).select("name", "component", "least")
     named_by = members.groupBy("component").agg(F.min("least").alias("of_component"))
     moved = members.join(named_by, "component").select(F.col("name").alias("linked"), "of_component")
-    classes = distinct.join(moved, F.col("name") == F.col("linked"), "left").select("name", F.coalesce("of_component", "least").alias("class_id"))
-    return rows.select("doc_id", "name").join(classes, "name").select("doc_id", "class_id")
+    classes = distinct.join(moved, F.col("name") == F.col("linked"), "left").select("name", F.coalesce("of_component", "least").alias("_first"))
+    return rows.select("doc_id", "text_key", "name").join(classes, "name").select("doc_id", "text_key", F.col("_first.doc_id").alias("class_id"), F.col("_first.text_key").alias("class_key"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each class only; a repeated id stays once, rows without an id stay."""
-    classes = near_duplicate_classes(docs, words, similarity)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each class only, that of the smallest doc_id (of several texts under it the one with the least hash).
+
+    A row that repeats id and text stays once, other texts under a repeated id stay if their class has no smaller id; rows
+    without an id stay.
+    """
+    classes = classes_of_texts(docs, words, similarity)
+    gone = classes.where("doc_id <> class_id or text_key <> class_key").select("doc_id", F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    kept = keyed.where("doc_id is not null").join(gone, ["doc_id", "_key"], "left_anti").dropDuplicates(["doc_id", "_key"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))

@@ -78,14 +78,17 @@ class Runs:
         return np.repeat(self.ends[rows] - total + n, n) + np.arange(total[-1] if len(total) else 0), n
 
 
+def bag_of(text: str | None) -> Counter:
+    return Counter(w.strip(EDGES) for w in words_of(text))
+
+
 class Bags:
-    """Texts as bags of words and words as bags of buckets, so that a word's n-grams are held once, however many texts have it."""
+    """Bags of words whose words are bags of buckets, so that a word's n-grams are held once, however many texts have it."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, bags: list[Counter]):
         number: dict[str, int] = {}
         held, counts, grams = [], [], []
-        for text in texts:
-            bag = Counter(w.strip(EDGES) for w in words_of(text))
+        for bag in bags:
             for w in bag:
                 if w not in number:
                     number[w] = len(grams)
@@ -105,13 +108,13 @@ class Bags:
         return self.grams.values[at], np.repeat(share, n), np.repeat(owner, n)
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = 8, steps: int = 1200, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
-    """Embeddings and softmax layer by about ``steps`` minibatches with Adagrad, the classes weighted alike. One class only, or no text: its share."""
+def train(texts: list[Counter | str | None], labels: list[int], dim: int = 8, steps: int = 1200, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
+    """Embeddings and softmax layer of texts or their bags of words, by about ``steps`` minibatches with Adagrad, the classes weighted alike. One class only, or no text: its share."""
     y = np.array(labels, np.int64)
     share = np.bincount(y, minlength=2)
     if not share.all():
         return Model(np.zeros(BUCKETS, np.float32), 5.0 * float(np.sign(share[1] - share[0])))
-    bags, r = Bags(texts), np.random.default_rng(seed)
+    bags, r = Bags([t if isinstance(t, Counter) else bag_of(t) for t in texts]), np.random.default_rng(seed)
     embed = r.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = r.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_embed, g_layer, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -165,19 +168,28 @@ class Words(dict):
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int, longest: int) -> tuple[list[str | None], list[int]]:
-    """Of the labelled texts of at most ``longest`` characters so many of either class, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int) -> tuple[list[Counter], list[int]]:
+    """Of the labelled texts so many of either class, the first by a hash of the id, as bags of words; texts of any length.
 
     ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without an id or a label, and ids labelled both ways, are not used.
+    The driver gets the distinct words of the chosen texts and their counts.
     """
     ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
-    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= longest)
-    ids = ids.join(short.select("doc_id"), "doc_id", "left_semi")
+    ids = ids.join(docs.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     chosen = [ids.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in enumerate((clean, toxic))]
     some = F.broadcast(staged(chosen[0].union(chosen[1]), "sample"))  # clean + toxic rows at most
-    found = short.join(some, "doc_id").select("doc_id", "toxic", "text").orderBy("doc_id", "text").collect()
-    return [r.text for r in found], [r.toxic for r in found]
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bag = bag_of(batch.column(3)[k].as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([list(bag)], pa.list_(pa.string())), pa.array([list(bag.values())], pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "words", "counts"])
+
+    found = docs.join(some, "doc_id").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("toxic").cast("int"), "text")
+    rows = found.mapInArrow(bags, "doc_id long, key long, toxic int, words array<string>, counts array<int>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.key))
+    return [Counter(dict(zip(r.words, r.counts))) for r in rows], [r.toxic for r in rows]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -201,6 +213,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, clean: int = 6000, toxic: int = 2500, longest: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, clean: int = 6000, toxic: int = 2500) -> Model:
     """A model from a bounded sample of labelled texts, see ``labelled_sample``, none of them held out."""
-    return train(*labelled_sample(docs.select("doc_id", "text"), labels.where(~held_out()), clean, toxic, longest))
+    return train(*labelled_sample(docs.select("doc_id", "text"), labels.where(~held_out()), clean, toxic))
