@@ -12,8 +12,9 @@ count, and a text costs a table look-up for each of its words.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,9 +68,9 @@ class Model:
 class Runs:
     """Rows of numbers of different lengths, one after the other."""
 
-    def __init__(self, rows: list[np.ndarray], kind: type):
-        self.ends = np.cumsum([0, *map(len, rows)])
-        self.values = np.concatenate([np.zeros(0, kind), *rows]).astype(kind)
+    def __init__(self, values: array, sizes: array):
+        self.ends = np.cumsum([0, *sizes])
+        self.values = np.array(values)
 
     def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the values of these rows stand, in turn, and how many each row has."""
@@ -78,26 +79,35 @@ class Runs:
         return np.repeat(self.ends[rows] - total + n, n) + np.arange(total[-1] if len(total) else 0), n
 
 
-def bag_of(text: str | None) -> Counter:
-    return Counter(w.strip(EDGES) for w in words_of(text))
+Packed = tuple[str, bytes]  # distinct words, each on a line, and how often each stands
+
+
+def packed(text: str | None) -> Packed:
+    """A text's words, without marks at their edges, in less room than the text; no word has a line break."""
+    bag = Counter(w.strip(EDGES) for w in words_of(text))
+    return "\n".join(bag), np.array(list(bag.values()), "<i4").tobytes()
 
 
 class Bags:
     """Bags of words whose words are bags of buckets, so that a word's n-grams are held once, however many texts have it."""
 
-    def __init__(self, bags: list[Counter]):
+    def __init__(self, bags: Iterable[Packed]):
         number: dict[str, int] = {}
-        held, counts, grams = [], [], []
-        for bag in bags:
-            for w in bag:
+        held, counts, sizes, grams, gram_sizes = array("i"), array("f"), array("i"), array("i"), array("i")
+        for words, n in bags:
+            words = words.split("\n") if n else []
+            for w in words:
                 if w not in number:
-                    number[w] = len(grams)
-                    grams.append(np.array(subwords(w), np.int32))
-            held.append(np.fromiter((number[w] for w in bag), np.int32, len(bag)))
-            counts.append(np.fromiter(bag.values(), np.float32, len(bag)))
-        self.words, self.counts, self.grams = Runs(held, np.int32), Runs(counts, np.float32), Runs(grams, np.int32)
-        size = np.diff(self.grams.ends)
-        self.totals = np.array([max(1.0, float(c @ size[w])) for w, c in zip(held, counts)], np.float32)
+                    number[w] = len(number)
+                    own = subwords(w)
+                    grams.extend(own)
+                    gram_sizes.append(len(own))
+            held.extend([number[w] for w in words])
+            counts.extend(np.frombuffer(n, "<i4").tolist())
+            sizes.append(len(words))
+        self.words, self.counts, self.grams = Runs(held, sizes), Runs(counts, sizes), Runs(grams, gram_sizes)
+        size, ends = np.diff(self.grams.ends), self.words.ends
+        self.totals = np.array([max(1.0, float(self.counts.values[a:b] @ size[self.words.values[a:b]])) for a, b in zip(ends, ends[1:])], np.float32)
 
     def rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucket, share of its text and place among ``rows`` of every n-gram of these texts."""
@@ -108,13 +118,13 @@ class Bags:
         return self.grams.values[at], np.repeat(share, n), np.repeat(owner, n)
 
 
-def train(texts: list[Counter | str | None], labels: list[int], dim: int = 8, steps: int = 1200, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
+def train(texts: list[Packed | str | None], labels: list[int], dim: int = 8, steps: int = 1200, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
     """Embeddings and softmax layer of texts or their bags of words, by about ``steps`` minibatches with Adagrad, the classes weighted alike. One class only, or no text: its share."""
     y = np.array(labels, np.int64)
     share = np.bincount(y, minlength=2)
     if not share.all():
         return Model(np.zeros(BUCKETS, np.float32), 5.0 * float(np.sign(share[1] - share[0])))
-    bags, r = Bags([t if isinstance(t, Counter) else bag_of(t) for t in texts]), np.random.default_rng(seed)
+    bags, r = Bags(t if isinstance(t, tuple) else packed(t) for t in texts), np.random.default_rng(seed)
     embed = r.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     layer, bias = r.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_embed, g_layer, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((dim, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -168,7 +178,7 @@ class Words(dict):
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int) -> tuple[list[Counter], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int) -> tuple[list[Packed], list[int]]:
     """Of the labelled texts so many of either class, the first by a hash of the id, as bags of words; texts of any length.
 
     ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without an id or a label, and ids labelled both ways, are not used.
@@ -183,13 +193,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, clean: int, toxic: int)
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                bag = bag_of(batch.column(3)[k].as_py())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([list(bag)], pa.list_(pa.string())), pa.array([list(bag.values())], pa.list_(pa.int32()))], ["doc_id", "key", "toxic", "words", "counts"])
+                words, n = packed(batch.column(3)[k].as_py())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([words]), pa.array([n])], ["doc_id", "key", "toxic", "words", "counts"])
 
     found = docs.join(some, "doc_id").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("toxic").cast("int"), "text")
-    rows = found.mapInArrow(bags, "doc_id long, key long, toxic int, words array<string>, counts array<int>").collect()
+    rows = found.mapInArrow(bags, "doc_id long, key long, toxic int, words string, counts binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.key))
-    return [Counter(dict(zip(r.words, r.counts))) for r in rows], [r.toxic for r in rows]
+    return [(r.words, bytes(r.counts)) for r in rows], [r.toxic for r in rows]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
