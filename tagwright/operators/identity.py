@@ -196,7 +196,7 @@ def series(df: DataFrame, row: str, key: str, reference: DataFrame, least: int =
     begins = ref.select(F.substring("_rk", 1, 3).alias("_begin")).distinct()
     near = open_.join(inside.select(row), row, "left_anti").join(begins, F.substring("_k", 1, 3) == F.col("_begin"), "left")
     near = near.join(ref, "_same").where(F.col("_begin").isNull() | F.startswith("_rk", F.col("_begin"))).withColumn("_score", similarity("_k", "_rk")).where(F.col("_score") >= FUZZY)
-    alike = near.groupBy(row).agg(F.max_by("_asset", F.struct("_score", -F.col("seq"))).alias("_alike"), F.max("_score").alias("_score"))
+    alike = near.groupBy(row).agg(F.min_by("_asset", F.struct(-F.col("_score"), "seq")).alias("_alike"), F.max("_score").alias("_score"))
     out = out.join(inside, row, "left").join(alike, row, "left")
     method = F.when(F.col("_exact").isNotNull(), "exact").when((F.length("_k") < least) & (F.col("_k") != ""), "key_too_short").when(F.col("_inside").isNotNull(), "contains").when(F.col("_alike").isNotNull(), "fuzzy").otherwise("none")
     confidence = F.when(method == "exact", 1.0).when(method == "contains", 0.92).when(method == "fuzzy", F.col("_score")).otherwise(0.0)
