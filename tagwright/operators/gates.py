@@ -109,3 +109,19 @@ def connector_states(files: DataFrame, keys: list[str], states: dict[str, tuple[
     g = files.groupBy(*keys).agg(F.count("*").alias("files_total"), *counts, F.count_if(F.col("stage").isin(*waiting)).alias("unprocessed"), F.min(at).alias("earliest"), F.max(at).alias("latest"), F.max(rank).alias("_rank"))
     named = F.coalesce(*[F.when(F.col("_rank") == r, s) for s, r in states.values()], F.lit("not_configured"))
     return g.withColumn("status", F.when((F.col("unprocessed") > 0) & (F.col("_rank") > 1), "uploaded").otherwise(named)).drop("_rank")
+
+
+def header_tables(present: DataFrame, declared: DataFrame) -> DataFrame:
+    """Each declared dataset's headers: declared, present, coverage_pct, missing, extra, status (BLOCK if a required column is missing, WARN if another).
+
+    ``present`` (dataset, column) are the columns that datasets have, ``declared`` (dataset, column, required) those they should have. A
+    dataset without a column is missing them all; datasets that nobody declares are left out. Columns are told in order.
+    """
+    have = present.select("dataset", "column").distinct().withColumn("_here", F.lit(True))
+    want = declared.groupBy("dataset", "column").agg(F.max("required").alias("required"))
+    both = have.join(want, ["dataset", "column"], "full")
+    named = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("column")))), ",")
+    told, here = F.col("required").isNotNull(), F.coalesce("_here", F.lit(False))
+    g = both.groupBy("dataset").agg(F.count_if(told).alias("declared"), F.count_if(told & here).alias("present"), named(told & ~here).alias("missing"), named(~told & here).alias("extra"), F.count_if(told & ~here & F.col("required")).alias("_blocks"))
+    status = F.when(F.col("_blocks") > 0, "BLOCK").when(F.col("missing") != "", "WARN").otherwise("PASS")
+    return g.where("declared > 0").select("dataset", "declared", "present", F.round(F.col("present") / F.col("declared") * 100, 2).alias("coverage_pct"), "missing", "extra", status.alias("status"))
