@@ -6,19 +6,18 @@ checkpointed so that plans stay short and a lost executor costs a read.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwright.functions.text import entity_uid
+from tagwright.sources.shared import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset, as in tests."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tagwright-"))
+    """``df`` by a reliable checkpoint in the shared folder."""
+    context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
+    if not (context.getCheckpointDir() or "").startswith(folder):
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -57,17 +56,21 @@ def distances(edges: DataFrame, start: str, most: int = 7) -> DataFrame:
 
 
 def tree(edges: DataFrame, root: str, types: list[str], most: int = 10, upward: bool = False) -> DataFrame:
-    """Nodes below (or above) ``root`` over edges of ``types`` with their level; a node reached twice stands twice."""
+    """Nodes below (or above) ``root`` over edges of ``types`` with their level; a node stands once for each way that leads to it.
+
+    Ways are counted, not walked: a hop joins each node once, with the number of ways so far, and the rows of that number are made at the end.
+    """
     a, b = ("to_node_id", "from_node_id") if upward else ("from_node_id", "to_node_id")
-    way = edges.where(F.col("rel_type").isin(*types)).select(F.col(a).alias("_at"), F.col(b).alias("node_id"))
-    front = way.where(F.col("_at") == root).select("node_id", F.lit(1).alias("level"))
+    way = cut(edges.where(F.col("rel_type").isin(*types)).groupBy(F.col(a).alias("_at"), F.col(b).alias("node_id")).agg(F.count("*").alias("_n")))  # read once
+    front = way.where(F.col("_at") == root).select("node_id", "_n", F.lit(1).alias("level"))
     out = front
     for level in range(2, most + 1):
-        front = cut(front.select(F.col("node_id").alias("_at")).join(way, "_at").select("node_id", F.lit(level).alias("level")))
+        step = front.select(F.col("node_id").alias("_at"), F.col("_n").alias("_ways")).join(way, "_at")
+        front = cut(step.groupBy("node_id").agg(F.sum(F.col("_ways") * F.col("_n")).alias("_n")).select("node_id", "_n", F.lit(level).alias("level")))
         if front.isEmpty():
             break
         out = out.union(front)
-    return out
+    return out.select("node_id", "level", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def tags_of(edges: DataFrame, nodes: DataFrame, rel_type: str = "HAS_TAG") -> Da
 
 def expand(edges: DataFrame, front: DataFrame, hops: int) -> DataFrame:
     """node_id, hop: what is within so many hops of the ``front`` (node_id), each at its first hop. Each hop meets only the nodes of the last."""
-    ways = edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("node_id")).union(edges.select("to_node_id", "from_node_id")).distinct()
+    ways = cut(edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("node_id")).union(edges.select("to_node_id", "from_node_id")).distinct())  # read once
     seen = front.select("node_id", F.lit(0).alias("hop")).distinct()
     last = seen
     for hop in range(1, hops + 1):

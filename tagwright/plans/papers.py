@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagwright.functions import drawings, pages
-from tagwright.operators import resume, sync
+from tagwright.operators import entities, resume, sync
 from tagwright.plans.series import table
+from tagwright.plans.shapes import scratch
+from tagwright.sources import framed
 
 LIMIT, OVERLAP = 300, 50
 
@@ -208,6 +210,32 @@ first AS (SELECT x AS name, arg_min(path, seq) AS path FROM (SELECT DISTINCT tag
 SELECT o.tag, CASE WHEN starts_with(o.tag, 'root.') THEN o.tag ELSE coalesce(a.path, b.path) END AS path FROM o LEFT JOIN first a ON a.name = o.tag LEFT JOIN first b ON b.name = o.other"""
 
 
+LOG_RANGE_MS = (1704844810000, 1704931260000)  # from ten seconds past midnight of a day to a minute past the next
+
+
+def log_range(spark, d):
+    """Events as framed log records in batches of a minute, and those of a day and a little more read back by time."""
+    folder = scratch(spark, "framed")
+    e = table(spark, d, "events")
+    framed.write(e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("logged_ms"), F.concat(F.lit("/e/"), "event_id").alias("endpoint"), F.col("event_type").alias("method"), F.expr("int(200 + event_id % 3)").alias("status"), F.col("value").alias("latency_ms")), folder, first_second=37)
+    return framed.read(spark, folder, *LOG_RANGE_MS).select("logged_ms", "endpoint", "method", "status", F.round("latency_ms", 4).alias("latency_ms"))
+
+
+LOG_RANGE = f"""SELECT epoch_us(ts) // 1000 AS logged_ms, '/e/' || event_id AS endpoint, event_type AS method, (200 + event_id % 3)::INT AS status, round(value, 4) AS latency_ms FROM events WHERE epoch_us(ts) // 1000 BETWEEN {LOG_RANGE_MS[0]} AND {LOG_RANGE_MS[1]}"""
+
+
+def copied_columns(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    return entities.with_copies(s, {"key": "s_suppkey", "s_name": "s_suppkey", "none": "s_city"})
+
+
+def mapped_headers(spark, d):
+    """Customers under headers as people write them, the first of a field winning."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("FUNC. LOCATION"), F.col("c_nationkey").alias("FLOC"), F.col("c_name").alias("Find-ing"), F.col("c_mktsegment").alias("Other"))
+    rows, report = entities.map_headers(c, {"functional_location": ["FLOC", "Func Location"], "finding": []}, ["finding", "severity"])
+    return rows.withColumns({k: F.lit(",".join(v)) for k, v in report.items()})
+
+
 QUERIES = {
     "page_chunks": (page_chunks, PAGE_CHUNKS),
     "drawing_components": (drawing_components, DRAWING_COMPONENTS),
@@ -221,4 +249,7 @@ QUERIES = {
     "graph_upload": (graph_upload, GRAPH_UPLOAD),
     "graph_upload_rejects": (graph_upload_rejects, GRAPH_UPLOAD_REJECTS),
     "series_paths": (series_paths, SERIES_PATHS),
+    "log_range": (log_range, LOG_RANGE),
+    "copied_columns": (copied_columns, "SELECT s_suppkey, s_name, s_suppkey AS key FROM supplier"),
+    "mapped_headers": (mapped_headers, "SELECT c_custkey AS functional_location, c_name AS finding, 'FUNC. LOCATION,Find-ing' AS mapped, 'FLOC,Other' AS unmapped, 'severity' AS missing FROM customer"),
 }

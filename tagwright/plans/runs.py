@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagwright.operators import runs
 from tagwright.plans.series import table
 from tagwright.sources import headers
+from tagwright.sources.shared import shared_folder
 from tagwright.streaming import live
 
 
@@ -154,8 +155,7 @@ def custom_joins(spark, d):
 
 def stored_stream(spark, d, name):
     """events as a stream of files, and a checkpoint and an output folder beside each other."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tagwright-streams").rstrip("/")
-    folder = f"{root}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), "user_id")
     e.repartition(3).write.parquet(f"{folder}/in")
     return live.samples(spark, f"{folder}/in", "event_id long, event_type string, value double, ts timestamp, user_id long"), folder

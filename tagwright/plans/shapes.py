@@ -13,11 +13,12 @@ from tagwright.operators import identity as ident
 from tagwright.operators import tables as t
 from tagwright.plans.series import table
 from tagwright.sources import tables as files
+from tagwright.sources.shared import shared_folder
 from tagwright.streaming import live
 
 
 def scratch(spark, name):
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tagwright-files').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def renamed_columns(spark, d):
