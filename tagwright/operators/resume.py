@@ -5,9 +5,11 @@ A ledger (file, n_chunks, failed) says of each file how many chunks it had and w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagwright.functions.pages import pages_label
+
 
 def _state(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
     """file, now (chunks today), n_chunks and failed as recorded; files that are there today."""
@@ -43,17 +45,49 @@ def new_ledger(chunks: DataFrame, done: DataFrame, ledger: DataFrame) -> DataFra
     return ledger.select("file", "n_chunks", "failed").join(now, "file", "left_anti").unionByName(now)
 
 
-def record_rows(entries: DataFrame, tags: list[str]) -> DataFrame:
-    """Rows of entries (file, document_type, chunk, page_start, page_end, values map) of chunks: one for each entry with a value.
+# Columns that can hold a row's equipment tag, in this order, and how ids are made.
+TAG_COLUMNS = ("Equipment_Tag", "Equipment Tag", "Equipment Name", "Tag No.", "Tag Name", "Tag", "Equipment ID", "equipment_no")
+DOCUMENT_ID, RECORD_ID = ("DOC", 20), ("REC", 16)
 
-    ``position`` counts a chunk's entries that have one; record_id is made from file, type, chunk and position, document_id from file and type.
-    ``equipment_tag`` is the first of the columns ``tags`` with a value; missing-value words are none. ``entities`` are ``name: value`` with bars
-    between, in the order of the map.
-    """
+
+def _id(kind: tuple[str, int], *parts: Column) -> Column:
+    stem = F.regexp_replace("file", r"(?<=.)\.[^.]*\z", "")
+    digest = F.substring(F.sha1(F.concat_ws("|", "file", "document_type", *parts)), 1, 12)
+    return F.upper(F.concat(F.lit(f"{kind[0]}-"), F.replace(F.substring(stem, 1, kind[1]), F.lit(" "), F.lit("_")), F.lit("-"), digest))
+
+
+def _records(rows: DataFrame, place: Column, tags: tuple[str, ...]) -> DataFrame:
     value = lambda k: F.trim(F.coalesce(F.try_element_at("values", F.lit(k)), F.lit("")))
-    entries = entries.withColumn("values", F.map_filter(F.transform_values("values", lambda k, v: F.trim(F.coalesce(v, F.lit("")))), lambda k, v: v != ""))
-    entries = entries.where(F.size("values") > 0)
-    tag = F.coalesce(*[F.when((value(k) != "") & ~F.lower(value(k)).isin("nan", "none"), value(k)) for k in tags], F.lit(""))
-    key = lambda *parts: F.md5(F.concat_ws("|", *parts))
-    entities = F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat(x["key"], F.lit(": "), x["value"])), " | ")
-    return entries.select("file", "document_type", "chunk", "position", "page_start", "page_end", tag.alias("equipment_tag"), entities.alias("entities"), key("file", "document_type").alias("document_id"), key("file", "document_type", F.concat(F.col("chunk").cast("string"), F.lit("."), F.col("position").cast("string"))).alias("record_id"))
+    said = lambda v: ~F.lower(F.trim(F.coalesce(v, F.lit("")))).isin("", "nan", "none")
+    tag = F.coalesce(*[F.when(said(value(k)), value(k)) for k in tags], F.lit(""))
+    told = F.filter(F.map_entries("values"), lambda x: said(x["value"]))
+    entities = F.array_join(F.transform(told, lambda x: F.concat(x["key"], F.lit(": "), F.trim(x["value"]))), " | ")
+    return rows.withColumns({"document_id": _id(DOCUMENT_ID), "record_id": _id(RECORD_ID, F.concat(F.lit("row"), place)), "equipment_tag": tag, "extracted_entities": entities})
+
+
+def record_rows(entries: DataFrame, tags: tuple[str, ...] = TAG_COLUMNS) -> DataFrame:
+    """Rows of what was read in chunks: ``entries`` (file, document_type, chunk, position, page_start, page_end, values map), one for each entry with a value.
+
+    ``position`` becomes the entry's place, from 0, among those of its chunk that have a value. document_id is made from file and type,
+    record_id from these, chunk and place; ``equipment_tag`` is the first of the columns ``tags`` that says one; ``extracted_entities`` are
+    ``name: value`` with bars between, in the order of the map; missing-value words are none. ``source_pages`` are the pages as text.
+    """
+    filled = entries.where(F.exists(F.map_values(F.coalesce("values", F.create_map().cast("map<string,string>"))), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""))
+    place = F.row_number().over(Window.partitionBy("file", "document_type", "chunk").orderBy("position")) - 1
+    rows = filled.withColumn("position", place)
+    out = _records(rows, F.concat(F.col("chunk").cast("string"), F.lit("."), F.col("position").cast("string")), tags)
+    return out.select("document_id", "record_id", "file", "document_type", "chunk", "position", "equipment_tag", "extracted_entities", "page_start", "page_end", pages_label("page_start", "page_end").alias("source_pages"))
+
+
+def tabular_rows(cells: DataFrame, wanted: list[str], tags: tuple[str, ...] = TAG_COLUMNS) -> DataFrame:
+    """Rows of tables: ``cells`` (file, document_type, sheet, ordinal, idx, values map), one for each row of a sheet, blank ones too.
+
+    Of the values those of the columns ``wanted`` are told, in that order; the tag may come from any column. record_id is made from the sheet
+    and the row's place in it (its place alone where there is no sheet); ``source_pages`` is the sheet's name, 40 letters at most.
+    """
+    sheet, idx = F.coalesce("sheet", F.lit("")), F.col("idx").cast("string")
+    place = F.when(sheet != "", F.concat(sheet, F.lit("!"), idx)).otherwise(idx)
+    own = F.transform(F.array(*map(F.lit, wanted)), lambda k: F.struct(k.alias("key"), F.try_element_at("values", k).alias("value")))
+    tagged = _records(cells, place, tags).withColumnRenamed("equipment_tag", "_tag").withColumn("values", F.map_from_entries(own))
+    out = _records(tagged, place, tags)
+    return out.select("document_id", "record_id", "file", "document_type", F.col("ordinal").alias("chunk"), F.col("_tag").alias("equipment_tag"), "extracted_entities", F.lit(0).alias("page_start"), F.lit(0).alias("page_end"), F.substring(sheet, 1, 40).alias("source_pages"))

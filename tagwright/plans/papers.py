@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagwright.functions import drawings, pages
-from tagwright.operators import entities, resume, sync
+from tagwright.operators import entities, intake, resume, sync
 from tagwright.plans.series import table
 from tagwright.plans.shapes import scratch
 from tagwright.sources import framed
@@ -96,15 +96,33 @@ SELECT file, n AS n_chunks, CASE WHEN file % 4 IN (0, 2) THEN '' WHEN has_2 = 1
 UNION ALL SELECT file, n, '1,3,99' FROM n WHERE file % 4 = 0 AND again = 0"""
 
 
+def _sheets(spark, d):
+    return table(spark, d, "part").selectExpr("concat(p_brand, ' list.v2.pdf') AS file", "'manual' AS document_type", "p_partkey AS chunk", "p_size AS position", "p_partkey % 4 AS page_start", "p_partkey % 4 + p_size % 2 AS page_end", "map('Tag', IF(p_partkey % 3 = 0, 'NaN', concat(' t', p_size)), 'Name', IF(p_partkey % 4 = 0, null, p_name), 'Tag No.', IF(p_partkey % 2 = 0, '  ', p_type)) AS values")
+
+
 def document_records(spark, d):
-    """Entries of parts' sheets as rows of records."""
-    p = table(spark, d, "part").selectExpr("p_brand AS file", "'manual' AS document_type", "p_partkey AS chunk", "p_size % 2 AS position", "1L AS page_start", "2L AS page_end", "map('Tag', IF(p_partkey % 3 = 0, 'NaN', concat(' t', p_size)), 'Name', IF(p_partkey % 4 = 0, null, p_name), 'Tag No.', IF(p_partkey % 2 = 0, '  ', p_type)) AS values")
-    p = p.union(p.where("chunk % 10 = 0").withColumns({"position": F.lit(7), "values": F.expr("map('Tag', ' ', 'Name', null)")}))
-    return resume.record_rows(p, ["Tag No.", "Tag"]).drop("page_start", "page_end")
+    """Entries of parts' sheets as rows of records; every tenth chunk has a blank entry before its own."""
+    p = _sheets(spark, d)
+    blank = p.where("chunk % 10 = 0").withColumns({"position": F.lit(-1), "values": F.expr("map('Tag', ' ', 'Name', null)")})
+    return resume.record_rows(p.union(blank)).withColumn("position", F.col("position").cast("long"))
+
+
+_STEM, _SHA = "upper(replace((p_brand || ' list.v2')[1:{n}], ' ', '_'))", "upper(sha1(p_brand || ' list.v2.pdf|manual{more}')[1:12])"
+_PARTS = """WITH p AS (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN 't' || p_size END AS tag, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 2 = 1 THEN p_type END AS no, p_partkey % 4 AS a, p_partkey % 4 + p_size % 2 AS b FROM part)
+"""
+DOCUMENT_RECORDS = _PARTS + f"""SELECT 'DOC-' || {_STEM.format(n=20)} || '-' || {_SHA.format(more='')} AS document_id, 'REC-' || {_STEM.format(n=16)} || '-' || {_SHA.format(more="|row' || p_partkey || '.0")} AS record_id, p_brand || ' list.v2.pdf' AS file, 'manual' AS document_type,
+ p_partkey AS chunk, 0 AS position, coalesce(no, tag, '') AS equipment_tag, concat_ws(' | ', 'Tag: ' || tag, 'Name: ' || name, 'Tag No.: ' || no) AS extracted_entities, a AS page_start, b AS page_end, CASE WHEN a <= 0 THEN '' WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END AS source_pages
+FROM p WHERE p_partkey % 3 = 0 OR tag IS NOT NULL OR name IS NOT NULL OR no IS NOT NULL"""
+
+
+def document_tables(spark, d):
+    """Rows of parts' tables as records, two columns of three told."""
+    p = _sheets(spark, d).selectExpr("file", "document_type", "IF(chunk % 5 = 0, null, concat('sheet ', chunk % 3)) AS sheet", "chunk % 3 AS ordinal", "chunk AS idx", "values")
+    return resume.tabular_rows(p, ["Name", "Tag", "None"])
 
 
-DOCUMENT_RECORDS = """WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'NaN' ELSE 't' || p_size END AS tag, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 2 = 1 THEN p_type END AS no, (p_size % 2)::INT AS position FROM part)
-SELECT p_brand AS file, 'manual' AS document_type, p_partkey AS chunk, position, coalesce(no, nullif(tag, 'NaN'), '') AS equipment_tag, concat_ws(' | ', 'Tag: ' || tag, 'Name: ' || name, 'Tag No.: ' || no) AS entities, md5(p_brand || '|manual') AS document_id, md5(p_brand || '|manual|' || p_partkey || '.' || position) AS record_id FROM p"""
+DOCUMENT_TABLES = _PARTS + f"""SELECT 'DOC-' || {_STEM.format(n=20)} || '-' || {_SHA.format(more='')} AS document_id, 'REC-' || {_STEM.format(n=16)} || '-' || {_SHA.format(more="|row' || CASE WHEN p_partkey % 5 > 0 THEN 'sheet ' || p_partkey % 3 || '!' ELSE '' END || p_partkey || '")} AS record_id, p_brand || ' list.v2.pdf' AS file, 'manual' AS document_type,
+ p_partkey % 3 AS chunk, coalesce(no, tag, '') AS equipment_tag, concat_ws(' | ', 'Name: ' || name, 'Tag: ' || tag) AS extracted_entities, 0 AS page_start, 0 AS page_end, CASE WHEN p_partkey % 5 > 0 THEN 'sheet ' || p_partkey % 3 ELSE '' END AS source_pages FROM p"""
 
 KEYS = {"equipment_pid": "pid_uid", "equipment_sap": "sap_uid", "timeseries_metadata": "ts_uid"}
 COLUMNS = {"equipment_pid": ["pid_uid", "normalized_asset", "area"], "equipment_sap": ["sap_uid", "pid_uid", "normalized_asset", "weight"], "timeseries_metadata": ["ts_uid", "unit"]}
@@ -236,6 +254,71 @@ def mapped_headers(spark, d):
     return rows.withColumns({k: F.lit(",".join(v)) for k, v in report.items()})
 
 
+FINDINGS = intake.Findings(
+    "esd",
+    {"finding_no": ["Finding No", "No."], "equipment_ref": ["Equipment Ref"], "severity": [], "detected_on": ["Detected"], "pieces": ["Count"], "note": ["Remarks"]},
+    kinds={"detected_on": "date", "pieces": "number"},
+    raw={"severity": "severity_raw"},
+    words={"severity": {"slight_release": "slight_release"}},
+    required=("finding_no",),
+    natural_key=("finding_no", "detected_on"),
+    equipment=("equipment_ref",),
+    texts=("note",),
+)
+
+
+def findings_rows(spark, d):
+    """Orders as findings of five files, to stored rows."""
+    o = table(spark, d, "orders").selectExpr(
+        "IF(o_orderkey % 10 = 0, ' ', concat(o_orderkey % 3000, IF(o_orderkey % 2 = 0, '.0', ''))) AS `FINDING-NO.`",
+        "IF(o_orderkey % 3 = 0, concat(' p-', o_custkey % 400), 'nan') AS `equipment ref`",
+        "IF(o_orderkey % 4 = 0, 'Slight  Release', ' Catastrophic ') AS Severity",
+        "IF(o_orderkey % 10 = 0, null, date_format(o_orderdate, 'yyyy-MM-dd')) AS Detected",
+        "concat('about ', o_orderkey % 50, ' pcs') AS Count",
+        "o_orderpriority AS Other",
+        "concat('f', o_orderkey % 5) AS source_file",
+        "o_orderkey AS seq",
+    )
+    known = table(spark, d, "customer").selectExpr("concat('P-', c_custkey) AS asset").where("asset like '%1'")
+    pid = table(spark, d, "customer").where("c_custkey % 4 = 0").selectExpr("concat('p', c_custkey) AS tag", "c_custkey AS seq")
+    rows, _ = intake.findings(o, FINDINGS, "pl 1", known, pid, "b7")
+    return rows.select("source_file", "source_record_id", "finding_no", "severity", "severity_raw", "pieces", F.date_format("detected_on", "yyyy-MM-dd").alias("detected_on"), "normalized_asset", "equipment_id", "equipment_uid", "asset_mapped", "confidence", "source_system", "plant_code_id", "upload_batch_id")
+
+
+FINDINGS_ROWS = """WITH o AS (SELECT o_orderkey AS k, 'f' || o_orderkey % 5 AS file, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE o_orderkey % 3000 || CASE WHEN o_orderkey % 2 = 0 THEN '.0' ELSE '' END END AS no, CASE WHEN o_orderkey % 10 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'P-' || o_custkey % 400 ELSE '' END AS asset, o_custkey % 400 AS c FROM orders),
+r AS (SELECT *, CASE WHEN k % 10 = 0 THEN 'row-' || k ELSE k % 3000 || '|' || day END AS own FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY file, own ORDER BY k) AS nth, asset <> '' AND c % 4 = 0 AND c IN (SELECT c_custkey FROM customer) AS drawn FROM r)
+SELECT file AS source_file, own || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS source_record_id, no AS finding_no, CASE WHEN k % 4 = 0 THEN 'slight_release' ELSE ' Catastrophic ' END AS severity, CASE WHEN k % 4 = 0 THEN 'Slight  Release' ELSE 'Catastrophic' END AS severity_raw, (k % 50)::DOUBLE AS pieces, day AS detected_on,
+ CASE WHEN drawn THEN 'p' || c ELSE asset END AS normalized_asset, CASE WHEN drawn THEN 'p' || c ELSE '' END AS equipment_id, CASE WHEN asset = '' THEN '' ELSE 'eq:' || sha1('PL 1|' || asset) END AS equipment_uid, asset LIKE '%1' AND c IN (SELECT c_custkey FROM customer) AS asset_mapped, CASE WHEN asset = '' THEN 0.0 ELSE 0.95 END::DOUBLE AS confidence, 'ESD' AS source_system, 'pl 1' AS plant_code_id, 'b7' AS upload_batch_id FROM n"""
+
+EXPORT = intake.Export(levels={"plant": 1, "unit": 3, "equipment": 4}, preference=("equipment", "unit"), confidence={"equipment": 1.0, "unit": 0.6})
+
+
+def _export(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN concat('S\\\\P1\\\\F\\\\U', p_size % 5, '\\\\EQ-', p_partkey % 90) WHEN 1 THEN concat('S\\\\P1\\\\\\\\F\\\\U', p_size % 5) WHEN 2 THEN 'S' ELSE null END AS Parent", "CASE p_partkey % 3 WHEN 0 THEN concat('srv.tag', p_partkey % 200, '.PV') WHEN 1 THEN concat('tag', p_partkey % 200) ELSE ' ' END AS AttributeConfigString", "IF(p_partkey % 6 = 2, '', p_name) AS Name", "IF(p_partkey % 7 = 0, 'Analysis', 'Parameter') AS ObjectType")
+
+
+def pi_tags(spark, d):
+    out = intake.pi_tags(_export(spark, d), EXPORT, 4, name="Name")
+    return out.select("p_partkey", "equipment_id", "pi_tag_id", "pi_state", F.substring_index("tag_name", "#", 1).alias("base"), F.contains("tag_name", F.lit("#")).alias("shared"), "hier_plant", "hier_unit", "hier_equipment", "asset_link_level", "asset_link_confidence")
+
+
+_EXPORT = """WITH e AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['S', 'P1', 'F', 'U' || p_size % 5, 'EQ-' || p_partkey % 90] WHEN 1 THEN ['S', 'P1', 'F', 'U' || p_size % 5] WHEN 2 THEN ['S'] ELSE [] END AS s,
+ CASE WHEN p_partkey % 3 < 2 THEN 'tag' || p_partkey % 200 END AS tag, CASE WHEN p_partkey % 3 = 0 THEN 'PV' END AS state, CASE WHEN p_partkey % 6 = 2 THEN '' ELSE p_name END AS name, p_partkey % 7 = 0 AS analysis FROM part)
+"""
+PI_TAGS = _EXPORT + """, b AS (SELECT *, CASE WHEN state IS NOT NULL THEN tag || '.' || state ELSE coalesce(tag, name) END AS base FROM e)
+SELECT p_partkey, CASE WHEN len(s) >= 4 THEN s[-1] END AS equipment_id, tag AS pi_tag_id, state AS pi_state, base, count(*) OVER (PARTITION BY base) > 1 AS shared, coalesce(s[2], '') AS hier_plant, coalesce(s[4], '') AS hier_unit, coalesce(s[5], '') AS hier_equipment, CASE WHEN len(s) = 5 THEN 'equipment' WHEN len(s) = 4 THEN 'unit' ELSE '' END AS asset_link_level, CASE WHEN len(s) = 5 THEN 1.0 WHEN len(s) = 4 THEN 0.6 ELSE 0.0 END::DOUBLE AS asset_link_confidence FROM b"""
+
+
+def protean_tags(spark, d):
+    out = intake.protean_tags(_export(spark, d).drop("AttributeConfigString"), EXPORT, 3, excluded=(" analysis",))
+    return out.select("p_partkey", "equipment_id", F.substring_index("tag_name", "#", 1).alias("base"), F.contains("tag_name", F.lit("#")).alias("shared"), "asset_link_level")
+
+
+PROTEAN_TAGS = _EXPORT + """, b AS (SELECT *, concat_ws('.', nullif(s[4], ''), nullif(name, '')) AS base FROM e WHERE NOT analysis AND (len(s) > 0 OR name <> ''))
+SELECT p_partkey, s[4] AS equipment_id, base, count(*) OVER (PARTITION BY base) > 1 AS shared, CASE WHEN len(s) = 5 THEN 'equipment' WHEN len(s) = 4 THEN 'unit' ELSE '' END AS asset_link_level FROM b"""
+
+
 QUERIES = {
     "page_chunks": (page_chunks, PAGE_CHUNKS),
     "drawing_components": (drawing_components, DRAWING_COMPONENTS),
@@ -243,6 +326,10 @@ QUERIES = {
     "resumed_rows": (resumed_rows, RESUMED),
     "resumed_ledger": (resumed_ledger, RESUMED_LEDGER),
     "document_records": (document_records, DOCUMENT_RECORDS),
+    "document_tables": (document_tables, DOCUMENT_TABLES),
+    "findings_rows": (findings_rows, FINDINGS_ROWS),
+    "pi_tags": (pi_tags, PI_TAGS),
+    "protean_tags": (protean_tags, PROTEAN_TAGS),
     "graph_table_edits": (graph_table_edits, GRAPH_TABLE_EDITS),
     "synced_table": (synced_table, SYNCED),
     "missing_links": (missing_links, MISSING_LINKS),
