@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.plans import access, assets, entities, graphs, identity, papers, plants, runs, series, shapes, stored
+from tagwright.plans import access, assets, entities, graphs, identity, papers, plants, quality, runs, series, shapes, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (series, assets, stored, identity, entities, access, runs, shapes, graphs, papers, plants)
+PARTS = (series, assets, stored, identity, entities, access, runs, shapes, graphs, papers, plants, quality)
 FLAGSHIP = "ts_quality_score"
 
 
