@@ -55,13 +55,17 @@ class LibraryChunks(Chunks):
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
+    def __missing__(self, chunk: str) -> bytes | None:
+        packed = self[chunk] = self.old.get(chunk)  # what ``prepare`` has not learnt depends on its neighbours
+        return packed
+
     def prepare(self, chunks: list[str]) -> None:
+        if len(self) + len(chunks) >= 2 * KEPT_WORDS:  # generations change here alone, never while a slice is looked up
+            self.old = dict(self)
+            self.clear()
         special = tuple(self.automaton.special)
         known, old = self.get, self.old.get
         new = [c for c in chunks if known(c) is None and old(c) is None and (c[:1].isalnum() or c and not WHITE.match(c) and not c.startswith(special))]
-        if len(self) + len(new) >= 2 * KEPT_WORDS:
-            self.old = dict(self)
-            self.clear()
         heads = [c.rstrip(PUNCTUATION) for c in new]
         heads = [h if len(h) < len(c) and h[-1:].isalpha() and "<|" not in c else c for c, h in zip(new, heads)]
         if len(self.heads) > 2 * KEPT_WORDS:
