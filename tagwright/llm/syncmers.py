@@ -3,12 +3,16 @@
 A document is a row of words. Every run of ``K`` words has K - S + 1 inner runs of ``S`` words; it is a *closed syncmer* if
 the inner run with the smallest hash stands at its left or right edge. Whether a run is chosen depends on its own words
 alone, never on what stands around it, so equal passages have equal anchors wherever they occur. The fingerprint is the
-``SIZE`` smallest distinct anchor hashes; two fingerprints' likeness estimates the Jaccard index of their anchors. Where a
-passage lies in two texts is told by ``aligned`` over all anchors and their positions.
+``SIZE`` smallest distinct anchor hashes in the order of their first places; two fingerprints are as alike as they have
+anchors in common that follow each other in the same order. Where a passage lies in two texts is told by ``aligned`` over
+all anchors and their positions.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +44,10 @@ def anchors(df: DataFrame, text: str = "text", out: str = "anchors") -> DataFram
 
 
 def sketch(df: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
-    """``df`` with ``out``: array<bigint> of the SIZE smallest distinct anchors as unsigned 32-bit hashes, ascending."""
+    """``df`` with ``out``: array<bigint> of the SIZE smallest distinct anchors as unsigned 32-bit hashes, by their first places."""
     folded = F.transform("_a", lambda a: a["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))
-    return anchors(df, text, "_a").withColumn(out, F.slice(F.array_distinct(F.sort_array(folded)), 1, SIZE)).drop("_a")
+    step = anchors(df, text, "_a").withColumn("_a", F.array_distinct(folded))
+    return step.withColumn(out, F.array_intersect("_a", F.slice(F.sort_array("_a"), 1, SIZE))).drop("_a")
 
 
 def as_hex(sketch: Column) -> Column:
@@ -50,10 +55,19 @@ def as_hex(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the union's SIZE smallest hashes that both sketches have, 0 to 1; two empty sketches are alike."""
+    """Share of the union's SIZE smallest hashes that both sketches have in one order, 0 to 1; two empty sketches are alike.
+
+    Of the common anchors the longest row counts that rises in both texts: passages that swapped places, and anchors that
+    meet by chance, are no likeness; words put in or left out between them are no harm.
+    """
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    places = F.transform(F.array_intersect(F.array_intersect(a, b), union), lambda h: F.array_position(b, h))
+
+    def place(ends: Column, x: Column) -> Column:  # the k-th is the smallest place at which a rising row of k anchors ends
+        return F.concat(F.filter(ends, lambda e: e < x), F.array(x), F.slice(F.filter(ends, lambda e: e > x), 2, SIZE))
+
+    rising = F.size(F.aggregate(places, F.array().cast("array<bigint>"), place))
+    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(rising / F.size(union))
 
 
 def aligned(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -73,24 +87,34 @@ def with_next(df: DataFrame, key: str, columns: list[str], prefix: str = "next_"
     """``df`` with ``columns`` of the row that follows in descending ``key``; after the last comes the first.
 
     Rows go to groups of about GROUP by a map of the key that rises evenly between KNOTS of its quantiles, so neither ids far
-    off nor ids in clusters put many rows into one group, and no task orders the whole table; a group's last row takes the
-    first row of the next group with any, found the same way over one row a group. Rows with equal keys follow each other in
-    no set order; null keys come last. A single row follows itself.
+    off nor ids in clusters put many rows into one group, and no task orders the whole table; a key that is several quantiles,
+    and null keys, which come last, are spread over groups by the hash of the first of ``columns``. A group's last row takes the first row
+    of the next group with any, found the same way over one row a group. Rows with equal keys follow each other by that
+    hash, then by the hash of all ``columns``, descending. A single row follows itself.
     """
-    spread = df.agg(F.count(key).alias("n"), F.percentile_approx(key, [k / KNOTS for k in range(KNOTS + 1)], 20_000).alias("q")).first()
-    n, knots = spread.n, sorted(set(spread.q or [0]))
-    at = F.array(*[F.lit(int(q)).cast("long") for q in knots])
-    place = F.size(F.filter(at, lambda q: q <= F.col(key).cast("long")))
-    low, high = F.get(at, place - 1), F.get(at, place)
+    spread = df.agg(F.count("*").alias("rows"), F.count(key).alias("n"), F.percentile_approx(key, [k / KNOTS for k in range(KNOTS + 1)], 20_000).alias("q")).first()
+    n, times = spread.n, Counter(spread.q or [0])
+    knots = sorted(times)
+    parts = [times[q] * n // KNOTS // GROUP if times[q] > 1 else 0 for q in knots]  # groups of a busy key of its own
+    longs = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values])
+    place = F.size(F.filter(longs(knots), lambda q: q <= F.col(key).cast("long")))
+    low, high = F.get(longs(knots), place - 1), F.get(longs(knots), place)
     share = F.when(high.isNotNull(), (F.col(key).cast("double") - low) / (high - low)).otherwise(0.0)
     per = max(1.0, n / GROUP / max(1, len(knots) - 1))
-    group = F.when(F.col(key).isNull(), F.lit(-1)).when(place == 0, F.lit(0)).otherwise(F.floor((place - 1 + F.least(share, F.lit(0.999999))) * per)).cast("long")
-    rows = df.withColumn("_group", group)
-    down = Window.partitionBy("_group").orderBy(F.col(key).desc_nulls_last())
+    even = F.floor((place - 1 + F.least(share, F.lit(0.999999))) * per)
+    part = lambda count: F.floor(F.least((F.col("_hash") / 2.0**64 + 0.5) * count, count - 1))
+    busy, through = F.get(longs(parts), place - 1), F.get(longs(accumulate(parts)), place - 1)
+    own = even + through + F.when((F.col(key) == low) & (busy > 0), part(busy) - busy).otherwise(0) if any(parts) else even
+    unknown = F.lit((spread.rows - n) // GROUP + 1)
+    without = part(unknown) - unknown if spread.rows > n else F.lit(-1)  # where it isn't needed, groups are told by the key alone
+    group = F.when(F.col(key).isNull(), without).when(place == 0, F.lit(0)).otherwise(own).cast("long")
+    hashed = df.withColumn("_hash", F.xxhash64(columns[0]))
+    rows = hashed.withColumn("_group", group)
+    down = Window.partitionBy("_group").orderBy(F.col(key).desc_nulls_last(), F.col("_hash").desc(), F.xxhash64(*columns).desc())
     taken = F.struct(*columns)
     rows = rows.withColumn("_next", F.lead(taken).over(down)).withColumn("_place", F.row_number().over(down))
     heads = rows.where("_place = 1").select("_group", taken.alias("_head"))
-    order = df.select(group.alias("_group")).distinct()
+    order = hashed.select(group.alias("_group")).distinct()
     above = _above(order).select("_group", "_above")
     heads = heads.join(above, "_group").select(F.col("_above").alias("_group"), "_head")
     out = rows.join(heads, "_group", "left").withColumn("_next", F.coalesce("_next", "_head"))

@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,12 +37,16 @@ def plain_sketch(text):
     w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in text.lower().split()]
     s = [chain(a, b) for a, b in zip(w, w[1:])]
     hashes = [chain(s[i], s[i + 2]) for i in range(len(w) - 3) if s[i + 1] >= min(s[i], s[i + 2])] if len(w) >= 4 else [chain(*w)] if w else []
-    return sorted({h & 0xFFFFFFFF for h in hashes})[:64]
+    least = set(sorted({h & 0xFFFFFFFF for h in hashes})[:64])
+    return list(dict.fromkeys(h & 0xFFFFFFFF for h in hashes if h & 0xFFFFFFFF in least))
 
 
 def plain_likeness(a, b):
     union = sorted(set(a) | set(b))[:64]
-    return sum(h in a and h in b for h in union) / len(union) if union else 1.0
+    places, best = [b.index(h) for h in a if h in b and h in union], []
+    for k, x in enumerate(places):  # longest rising row that ends at each place
+        best.append(1 + max([best[j] for j in range(k) if places[j] < x], default=0))
+    return max(best, default=0) / len(union) if union else 1.0
 
 
 def test_syncmers(spark):
@@ -80,6 +85,21 @@ def test_next_document_with_ids_far_off_in_clusters_and_null(spark):
     assert sorted(str(r.next_text) for r in syncmers.with_next(few, "doc_id", ["text"]).collect()) == ["a", "b", "b", "n"]
 
 
+def test_next_document_among_thousands_of_one_id_and_of_none(spark):
+    rows = [(k, f"k{k}") for k in range(2000)] + [(1200, f"again{k}") for k in range(1500)] + [(None, f"none{k}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    down = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+    got = {r.text: r.next_text for r in syncmers.with_next(df, "doc_id", ["text"]).collect()}
+    assert got == {a[1]: b[1] for a, b in zip(down, [*down[1:], down[0]])}
+
+
+def test_likeness_counts_anchors_in_one_order(spark):
+    rows = [([5, 1, 9, 7], [5, 1, 9, 7]), ([5, 1, 9, 7], [9, 7, 5, 1]), ([5, 1, 9, 7], [7, 9, 1, 5]), ([5, 1, 9], [5, 4, 1, 9]), ([], [3]), ([], [])]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "k int, a array<long>, b array<long>")
+    got = [r.x for r in df.select("k", syncmers.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("k").collect()]
+    assert got == [1.0, 0.5, 0.25, 0.75, 0.0, 1.0] and got == [plain_likeness(a, b) for a, b in rows]
+
+
 def plain_rule(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -372,3 +392,17 @@ def test_warc_salvage_inside_gzip_members():
     assert pages(stored) == list(range(10))
     for raw in (whole, inner, cut, bad_end, after, stored):
         assert sum(size for _, size, _, _, _ in warc.salvage(raw)) == len(raw)
+
+
+def test_generations_of_words_change_between_slices_alone(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT_WORDS", 40)
+    library = token_counts.Library(queries.vocabulary("byte_bpe_50k.json"))
+    chunks, rng, called = token_counts.LibraryChunks(library), random.Random(5), []
+    whole = library.encode_pieces
+    monkeypatch.setattr(library, "encode_pieces", lambda text: called.append(text) or whole(text))
+    for _ in range(12):
+        texts = [" ".join(f"w{rng.randrange(150)}{rng.choice(['', ',', '.', '  x'])}" for _ in range(30)) for _ in range(4)]
+        ids, n = chunks.encode(pa.array([*texts, None, "", " \n"]))
+        assert np.split(ids, np.cumsum(n)[:-1])[0].tolist() == library.encode_many(texts[:1])[0]
+        assert ids.tolist() == [i for e in library.encode_many([*texts, " \n"]) for i in e]
+    assert len(chunks) < 300 and len(called) < 40  # one call a slice and one a new ending, none a word
