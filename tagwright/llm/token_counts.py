@@ -162,5 +162,5 @@ def attribute(df: DataFrame, tokenizer_json: str, fields: list[str], keep: list[
 
     counted = df.select(*[F.col(f"`{c}`") for c in keep], count(F.array(*[F.col(f"`{f}`") for f in fields])).alias("n_crossing"))
     names = F.array(*[F.lit(f) for f in fields])
-    one = counted.select(*[F.col(f"`{c}`") for c in keep], F.explode("n_crossing").alias("n_crossing"))
+    one = counted.select(*[F.col(f"`{c}`") for c in keep], F.explode_outer("n_crossing").alias("n_crossing"))  # never empty; a plain explode would infer a filter and count twice
     return one.select(*[F.col(f"`{c}`") for c in keep], F.get(names, F.col("n_crossing.field")).alias("field"), *[f"n_crossing.{c}" for c in OUTPUT[1:]])
