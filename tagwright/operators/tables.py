@@ -138,7 +138,7 @@ def stable_keys(df: DataFrame, base: str, out: str = "stable_key") -> DataFrame:
     """The base where it is unique, else the base and a digest of all the row's values, so that equal rows keep one key."""
     values = F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), text(c)) for c in sorted(df.columns)])
     n = df.groupBy(F.col(base).alias("_base")).agg(F.count("*").alias("_n"))
-    digest = F.concat(F.col(base), F.lit("#"), F.substring(F.sha2(values, 256), 1, 8))
+    digest = F.concat(F.col(base), F.lit("#"), F.substring(F.sha2(values, 256), 1, 32))  # 128 bits: 32 met among the rows of one base
     return df.join(n, F.col(base).eqNullSafe(F.col("_base")), "left").withColumn(out, F.when(F.col("_n") > 1, digest).otherwise(F.col(base))).drop("_base", "_n")
 
 

@@ -76,6 +76,8 @@ def test_merges(spark):
 def test_stable_keys(spark):
     df = spark.createDataFrame([("A", 1, "x"), ("B", 2, "y"), ("C", 3, "p"), ("C", 4, "q"), ("D", 5, "z"), ("D", 5, "z")], "base string, v int, w string")
     assert t.stable_keys(df, "base").select("stable_key").distinct().count() == 5
+    alike = spark.createDataFrame([("C", 2847), ("C", 50983)], "base string, v int")  # digests begin with the same 32 bits
+    assert t.stable_keys(alike, "base").select("stable_key").distinct().count() == 2
 
 
 def test_series(spark):
