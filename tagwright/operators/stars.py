@@ -18,7 +18,7 @@ from tagwright.operators.joins import join_key, lookup
 
 @dataclass(frozen=True)
 class Step:
-    """A table to join from the left on columns ``on``; ``rows``: ``all`` matches, the ``first``, their ``sum``, or ``one`` (more fail the query)."""
+    """A table to join from the left on columns ``on``; ``rows``: ``all`` matches, the ``first`` (ties by the other columns), their ``sum``, or ``one`` (more fail the query)."""
 
     table: str
     on: tuple[str, ...]
@@ -85,7 +85,7 @@ def star(base: DataFrame, tables: dict[str, DataFrame], steps: tuple[Step, ...],
             right = keyed.withColumnRenamed(ORDER, f"_o{k}")
             order.append(f"_o{k}")
         elif step.rows == "first":
-            right = keyed.groupBy(*own).agg(F.min_by(F.struct(*others), ORDER).alias("_row")).select(*own, "_row.*") if others else keyed.select(*own).distinct()
+            right = t.keep_first(keyed, list(own), [ORDER]).drop(ORDER) if others else keyed.select(*own).distinct()
         elif step.rows == "sum":
             right = t.collapse(keyed, list(own), _numeric(keyed, own, additive), ORDER).drop(ORDER)
         else:

@@ -14,12 +14,12 @@ def sap_tables(spark, d):
     return {
         "AUFK": t("orders", "string(o_orderkey) AS AUFNR", "string(o_custkey) AS EQUNR", "o_orderstatus AS STATUS", "o_orderkey AS seq"),
         "AFKO": t("orders", "concat(o_orderkey, '.0') AS AUFNR", "concat('k', o_orderkey) AS AUFPL", "o_orderpriority AS STATUS", "o_orderkey AS seq"),
-        "AFVC": t("lineitem", "string(l_orderkey) AS AUFNR", "string(l_partkey) AS AUFPL", "string(l_linenumber) AS VORNR", "string(l_suppkey) AS ARBID", "(l_orderkey * 100 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq"),
+        "AFVC": t("lineitem", "string(l_orderkey) AS AUFNR", "string(l_partkey) AS AUFPL", "string(l_linenumber) AS VORNR", "string(l_suppkey) AS ARBID", "l_partkey * 1000000000 + l_suppkey AS seq"),
         "AFVV": t("part", "string(p_partkey) AS AUFPL", "'1' AS VORNR", "p_size AS DAUNO_MIN", "p_partkey AS seq"),
         "QMEL": t("events", "string(event_id % 5000) AS AUFNR", "string(event_id % 777) AS QMNUM", "event_id AS seq"),
         "QMSM": t("events", "string(event_id % 900) AS QMNUM", "event_type AS MNCOD", "-event_id AS seq"),
-        "JEST": t("lineitem", "concat('OR', l_orderkey) AS OBJNR", "l_linestatus AS STAT", "l_linenumber * 1000000 + l_partkey AS seq"),
-        "COEP": t("lineitem", "string(l_orderkey) AS AUFNR", "int(l_quantity) AS WTGBTR", "l_linenumber * 1000000 + l_partkey AS seq"),
+        "JEST": t("lineitem", "concat('OR', l_orderkey) AS OBJNR", "l_linestatus AS STAT", "l_linenumber * 1000000000000 + l_partkey AS seq"),
+        "COEP": t("lineitem", "string(l_orderkey) AS AUFNR", "int(l_quantity) AS WTGBTR", "l_linenumber * 1000000000000 + l_partkey AS seq"),
         "EQUI": t("customer", "string(c_custkey) AS EQUNR", "string(c_nationkey) AS TPLNR", "c_mktsegment AS STATUS", "c_custkey AS seq"),
         "IFLOT": t("nation", "string(n_nationkey) AS TPLNR", "n_name AS PLTXT", "n_nationkey AS seq"),
         "STXH": t("customer", "IF(c_custkey % 2 = 0, 'AUFK', 'QMEL') AS TDOBJECT", "string(c_custkey) AS TDNAME", "c_name AS TDID", "c_custkey AS seq"),

@@ -126,3 +126,11 @@ def test_missing_tables_and_columns_are_left_out(spark, sap):
     assert stars.work_orders({k: v.where("false") for k, v in tables.items()}).count() == 0
     with pytest.raises(Exception, match="keys repeat"):
         stars.locations({**tables, "IFLOT": tables["IFLOT"].union(tables["IFLOT"])}).collect()
+
+
+@pytest.mark.parametrize("rows", [[("1", "b", 5), ("1", "a", 5)], [("1", "a", 5), ("1", "b", 5)]])
+def test_ties_do_not_depend_on_the_order_of_rows(spark, rows):
+    base = spark.createDataFrame([("1", 0)], "AUFNR string, seq int")
+    other = spark.createDataFrame(rows, "AUFNR string, note string, seq int").coalesce(1)
+    got = stars.star(base, {"X": other}, (stars.Step("X", ("AUFNR",), "first"),), ["AUFNR"])
+    assert [r.note for r in got.collect()] == ["a"]
