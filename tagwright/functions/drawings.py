@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tagwright.functions.pages import stripped
-from tagwright.functions.text import col
+from tagwright.functions.text import col, let
 
 # Section names, words of table headers, arrows, placeholders of a number, and the letters in a label that say what kind of component it is.
 COMPONENTS, CONNECTIONS = "components", "connections"
@@ -36,13 +36,11 @@ def drawing_number(c: Column | str) -> Column:
 
 def section(lines: Column, begin: str, end: str | None) -> Column:
     """The lines after the first that names the section, up to the first after it that names the next; marks and case don't count."""
-    plain = F.transform(lines, lambda x: F.lower(F.regexp_replace(x, r"[*|-]", "")))
-    at = F.array_position(F.transform(plain, lambda x: F.contains(x, F.lit(begin))), F.lit(True)).cast("int")
-    rest = F.slice(lines, at + 1, F.size(lines))
-    if end is not None:
-        stop = F.array_position(F.transform(F.slice(plain, at + 1, F.size(lines)), lambda x: F.contains(x, F.lit(end))), F.lit(True)).cast("int")
-        rest = F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest)
-    return F.when(at > 0, rest).otherwise(F.array().cast("array<string>"))
+    plain = lambda x: F.lower(F.regexp_replace(x, r"[*|-]", ""))
+    place = lambda xs, name: F.array_position(F.transform(xs, lambda x: F.contains(plain(x), F.lit(name))), F.lit(True)).cast("int")
+    until = lambda rest: rest if end is None else let(place(rest, end), lambda stop: F.when(stop > 0, F.slice(rest, 1, stop - 1)).otherwise(rest))
+    after = lambda xs, at: F.when(at > 0, let(F.slice(xs, at + 1, F.size(xs)), until)).otherwise(F.array().cast("array<string>"))
+    return let(lines, lambda xs: let(place(xs, begin), lambda at: after(xs, at)))
 
 
 def table_rows(lines: Column) -> Column:
@@ -59,7 +57,9 @@ def _labelled(text: Column) -> Column:
     items = F.from_json(F.regexp_extract(text, r"(?s)(\[\s*\{.*?\}\s*\])", 1), LABELLED)
 
     def component(x: Column) -> Column:
-        label = F.replace(stripped(x["label"]), F.lit("\n"), F.lit(" / "))
+        return let(F.replace(stripped(x["label"]), F.lit("\n"), F.lit(" / ")), lambda label: named(x, label))
+
+    def named(x: Column, label: Column) -> Column:
         kind = F.lit(None).cast("string")
         for name, codes in reversed(KINDS):
             kind = F.when(F.upper(label).rlike("|".join(codes)), name).otherwise(kind)
@@ -76,12 +76,15 @@ def components(c: Column | str) -> Column:
     rows = table_rows(section(lines_of(text), COMPONENTS, CONNECTIONS))
     cell = lambda r, k: F.coalesce(F.get(r, F.lit(k)), F.lit(""))
     found = F.transform(rows, lambda r: F.struct(cell(r, 0).alias("tag"), cell(r, 1).alias("type"), cell(r, 2).alias("description"), cell(r, 3).alias("bbox")))
-    return F.when(F.size(found) > 0, found).otherwise(_labelled(text))
+    return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(_labelled(text)))
 
 
 def connections(c: Column | str) -> Column:
     """array<struct<source,target>> of the table of connections, else of the lines with an arrow; null text gives none."""
-    lines = lines_of(c)
+    return let(lines_of(c), _connections)
+
+
+def _connections(lines: Column) -> Column:
     pair = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
     rows = F.transform(F.filter(table_rows(section(lines, CONNECTIONS, None)), lambda r: F.size(r) >= 2), lambda r: pair(F.get(r, F.lit(0)), F.get(r, F.lit(1))))
 
@@ -94,4 +97,4 @@ def connections(c: Column | str) -> Column:
         return out
 
     arrows = F.filter(F.transform(F.transform(lines, stripped), arrow), lambda p: (p["source"] != "") & (p["target"] != ""))
-    return F.when(F.size(rows) > 0, rows).otherwise(arrows)
+    return let(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(arrows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagwright.functions.text import col
+from tagwright.functions.text import col, let
 
 AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 SPAN = "struct<first:int,last:int,whole:boolean>"
@@ -30,7 +30,10 @@ def packed(pages: Column | str, limit: int, overlap: int) -> Column:
 
     The fold over pages carries numbers only: where chunks begin and end. Texts are put together once, from these.
     """
-    pages = F.transform(F.coalesce(col(pages), F.array().cast("array<string>")), stripped)
+    return let(F.transform(F.coalesce(col(pages), F.array().cast("array<string>")), stripped), lambda p: _packed(p, limit, overlap))
+
+
+def _packed(pages: Column, limit: int, overlap: int) -> Column:
     sizes = F.transform(pages, lambda p, k: F.struct((k + 1).alias("no"), F.length(p).alias("n")))
     span = lambda first, last, whole: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), whole.alias("whole"))
     state = lambda spans, first, n: F.struct(spans.alias("spans"), first.cast("int").alias("first"), n.cast("int").alias("n"))
@@ -50,7 +53,7 @@ def packed(pages: Column | str, limit: int, overlap: int) -> Column:
 
     def texts(s: Column) -> Column:
         own = F.array_join(F.filter(F.slice(pages, s["first"], s["last"] - s["first"] + 1), lambda p: p != ""), "\n")
-        parts = F.when(s["whole"], F.array(own)).otherwise(pieces(own, limit, overlap))
+        parts = F.when(s["whole"], F.array(own)).otherwise(let(own, lambda t: pieces(t, limit, overlap)))
         return F.transform(parts, lambda t: F.struct(t.alias("text"), s["first"].alias("page_start"), s["last"].alias("page_end")))
 
     return F.flatten(F.transform(spans, texts))

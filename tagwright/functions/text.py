@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,3 +99,8 @@ def chunks(c: Column | str, size: int, overlap: int) -> Column:
     t = F.coalesce(col(c), F.lit(""))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - overlap), F.lit(size - overlap))
     return F.transform(starts, lambda s: F.substring(t, s, F.lit(size)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: as a lambda's variable it is not written out, and done again, wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

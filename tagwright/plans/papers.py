@@ -15,7 +15,8 @@ LIMIT, OVERLAP = 300, 50
 
 def page_chunks(spark, d):
     """Documents whose lines are pages, packed."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(pages.packed(F.split("text", "\n"), LIMIT, OVERLAP)).alias("chunk", "c"))
+    # an inner explode infers a filter on its array and works it out again for it
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode_outer(pages.packed(F.split("text", "\n"), LIMIT, OVERLAP)).alias("chunk", "c")).where("chunk is not null")
     return docs.select("doc_id", F.col("chunk").cast("long").alias("chunk"), pages.pages_label("c.page_start", "c.page_end").alias("pages"), F.md5("c.text").alias("digest"))
 
 
@@ -40,16 +41,17 @@ def drawing_texts(spark, d):
     cut = F.concat(F.lit("see AB-12"), k, F.lit("\n* Components *\nTag | Type\nP-"), k, F.lit("|Pump|"), name)
     json = F.concat(F.lit('noise [{"box_2d": [1,2, '), k, F.lit('], "label": "FV-'), k, F.lit('"}, {"label": " "},\n {"point": "here", "label": "a\\nb "}] end\nA'), k, F.lit(" -> B"), k, F.lit("..\n- C → D → E"))
     arrows = F.concat(F.lit("• X"), k, F.lit("→Y\n→ nothing\n * Z -> W"), k, F.lit(". "))
-    return table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, whole).when(F.col("p_partkey") % 5 == 1, cut).when(F.col("p_partkey") % 5 == 2, json).when(F.col("p_partkey") % 5 == 3, arrows).alias("text"))
+    parts = table(spark, d, "part").select("p_partkey", "p_name").repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes that make much work: one file must not be one task
+    return parts.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, whole).when(F.col("p_partkey") % 5 == 1, cut).when(F.col("p_partkey") % 5 == 2, json).when(F.col("p_partkey") % 5 == 3, arrows).alias("text"))
 
 
 def drawing_components(spark, d):
-    rows = drawing_texts(spark, d).select("p_partkey", drawings.drawing_number("text").alias("drawing"), F.posexplode(drawings.components("text")).alias("place", "c"))
+    rows = drawing_texts(spark, d).select("p_partkey", drawings.drawing_number("text").alias("drawing"), F.posexplode_outer(drawings.components("text")).alias("place", "c")).where("place is not null")
     return rows.select("p_partkey", "drawing", F.col("place").cast("long").alias("place"), "c.*")
 
 
 def drawing_connections(spark, d):
-    rows = drawing_texts(spark, d).select("p_partkey", F.posexplode(drawings.connections("text")).alias("place", "c"))
+    rows = drawing_texts(spark, d).select("p_partkey", F.posexplode_outer(drawings.connections("text")).alias("place", "c")).where("place is not null")
     return rows.select("p_partkey", F.col("place").cast("long").alias("place"), "c.*")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tagwright.functions import drawings, pages
 from tagwright.operators import resume, sync
+from tagwright.plans import catalog
+from tests.conftest import SMALL
 
 
 def plain_packed(texts, limit, overlap):
@@ -177,3 +179,10 @@ def test_paths_by_their_ends(spark):
         return next((p for name in (tag, other) for p in paths if p.endswith("." + name)), None)
 
     assert {x.tag: x.path for x in got.collect()} == {t: plain(t) for t in tags}
+
+
+def test_pages_and_lines_are_read_once(spark):
+    plan = lambda name: catalog.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("page_chunks").count("split(") == 1
+    assert plan("drawing_components").count("split(") == plan("drawing_connections").count("split(") == 2  # lines and cells
+    assert catalog.queries()["drawing_components"](spark, SMALL).rdd.getNumPartitions() > 1
