@@ -67,35 +67,63 @@ def _ids(df: DataFrame, entity: Entity, side: str) -> DataFrame:
     return rows.groupBy(*names).agg(F.max_by(f"{side}_ref", ORDER).alias(f"{side}_ref"))
 
 
-def _related(d: Definition, df: DataFrame, entities: dict[str, Entity], tables: dict[str, DataFrame]) -> DataFrame | None:
+def _column(d: Definition, df: DataFrame, e: Entity, k: str) -> str | None:
+    """The source's column of an entity's key."""
+    column = k if k in df.columns else e.columns.get(k, {}).get(d.source)
+    return column if column in df.columns else None
+
+
+def _keyed(d: Definition, df: DataFrame, columns: dict[str, str | None]) -> bool:
+    """Whether what makes one relationship are just the keys of its ends, as texts or whole numbers, and its record id is made from these."""
+    kinds = dict(df.dtypes)
+    plain = all(kinds.get(c) in ("string", "bigint", "int", "smallint", "tinyint") for c in columns.values())
+    return plain and {*columns.values()} == {*d.distinct} and "source_record_id" not in df.columns
+
+
+def _told_apart(df: DataFrame, names: tuple[str, ...]) -> bool:
+    """Whether no text holds the bar that joins them: then different keys have different record ids."""
+    texts = [c for c, kind in df.dtypes if c in names and kind == "string"]
+    return not texts or df.where(reduce(lambda a, b: a | b, [F.contains(F.col(c), F.lit("|")) for c in texts])).isEmpty()
+
+
+def _related(d: Definition, df: DataFrame, entities: dict[str, Entity], tables: dict[str, DataFrame]) -> tuple[DataFrame, bool] | None:
+    """The relationships of one definition, and whether no two of them can be alike."""
     parent, child = entities[d.parent], entities[d.child]
     if any(c not in tables[n].columns for n, e in ((d.parent, parent), (d.child, child)) for c in (*e.keys, e.uid)):
         return None
+    columns = {f"_{side}{i}": _column(d, df, e, k) for side, e in (("parent", parent), ("child", child)) for i, k in enumerate(e.keys)}
     one = [c for c in d.distinct if c in df.columns]
-    df = df.select(*[F.trim(c).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
-    df = t.keep_first(df, one, [ORDER]) if one else df
-
-    def key(e: Entity, k: str) -> Column:
-        column = k if k in df.columns else e.columns.get(k, {}).get(d.source)
-        return clean(column) if column in df.columns else F.lit("")
-
-    ends = {f"_{side}{i}": key(e, k) for side, e in (("parent", parent), ("child", child)) for i, k in enumerate(e.keys)}
-    rows = df.withColumns(ends)
-    plant = clean("plant_code_id") if "plant_code_id" in df.columns else F.col("_parent0")
-    own = F.nullif(clean("source_record_id"), F.lit("")) if "source_record_id" in df.columns else F.lit(None).cast("string")
-    said = [clean(c) if c in df.columns else F.lit("") for c in d.distinct] or [plant, F.lit(d.name), *map(F.col, ends)]
-    made = F.concat(F.lit(f"{d.source}_{d.name}:"), F.sha1(F.concat_ws("|", *said)))
+    used = {*one, *columns.values(), "plant_code_id", "source_system", "source_record_id", "confidence", ORDER}
+    df = df.select(*[F.trim(c).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes if c in used])
+    ends = {n: clean(c) if c else F.lit("") for n, c in columns.items()}
+    keyed = _keyed(d, df, columns)
+    apart = keyed and _told_apart(df, d.distinct)
+    if keyed:
+        # rows meet their parents where their first one is found: both want the rows of a parent in one place
+        parents = [n for n in ends if n.startswith("_parent")]
+        rest = [c for c in df.columns if c not in one]
+        rows = df.select(*[e.alias(n) for n, e in ends.items()], *rest).where(reduce(lambda a, b: a & b, [F.col(n) != "" for n in ends]))
+        rows = t.keep_first(rows.repartition(*parents), list(ends), [ORDER])
+        said = [F.col(next(n for n, c in columns.items() if c == x)) for x in d.distinct]
+    else:
+        rows = (t.keep_first(df, one, [ORDER]) if one else df).withColumns(ends)
+        said = [clean(c) if c in df.columns else F.lit("") for c in d.distinct]
+    plant = clean("plant_code_id") if "plant_code_id" in rows.columns else F.col("_parent0")
+    own = F.nullif(clean("source_record_id"), F.lit("")) if "source_record_id" in rows.columns else F.lit(None).cast("string")
+    said = said or [plant, F.lit(d.name), *map(F.col, ends)]
+    made = F.concat(F.lit(f"{d.source}_{d.name}:"), F.sha1("_said"))
     rows = rows.select(
         *ends,
         plant.alias("plant_code_id"),
-        (clean("source_system") if "source_system" in df.columns else F.lit("SAP")).alias("source_system"),
-        F.coalesce(own, made).alias("source_record_id"),
-        (F.col("confidence").cast("double") if "confidence" in df.columns else F.lit(0.8)).alias("confidence"),
+        (clean("source_system") if "source_system" in rows.columns else F.lit("SAP")).alias("source_system"),
+        own.alias("_own"),
+        F.when(own.isNull(), F.concat_ws("|", *said)).alias("_said"),  # its digest is longer and comes after the joins
+        (F.col("confidence").cast("double") if "confidence" in rows.columns else F.lit(0.8)).alias("confidence"),
     ).where("plant_code_id <> ''")
     for side, e, name in (("parent", parent, d.parent), ("child", child, d.child)):
         rows = rows.join(_ids(tables[name], e, side), [f"_{side}{i}" for i in range(len(e.keys))])
     uid = F.concat(F.lit("rel:"), F.sha1(F.concat_ws("|", "plant_code_id", F.lit(d.rel_type), "parent_ref", "child_ref")))
-    return rows.select(uid.alias("relationship_uid"), "plant_code_id", "parent_ref", "child_ref", F.lit(d.rel_type).alias("relationship_type"), "source_system", "source_record_id", "confidence")
+    return rows.select(uid.alias("relationship_uid"), "plant_code_id", "parent_ref", "child_ref", F.lit(d.rel_type).alias("relationship_type"), "source_system", F.coalesce("_own", made).alias("source_record_id"), "confidence"), apart
 
 
 def relationships(sources: dict[str, DataFrame], entities: dict[str, Entity], tables: dict[str, DataFrame], definitions: tuple[Definition, ...] = DEFINITIONS) -> DataFrame | None:
@@ -104,11 +132,17 @@ def relationships(sources: dict[str, DataFrame], entities: dict[str, Entity], ta
     Each definition reads its ``sources`` table (with ``seq``), keeps the first row of what makes one relationship, and looks both ends up
     among the entities' ``tables``; rows with a blank key, an unknown end or no plant give nothing. Without a column of its own a row is
     of system SAP, of confidence 0.8, and its record id is made from what makes it one. Definitions whose source, entities or key columns
-    are missing are left out; with none left there is no table (None).
+    are missing are left out; with none left there is no table (None). Rows of different types are never alike; rows of one type are made
+    distinct but where their keys alone tell them apart.
     """
-    parts = [_related(d, sources[d.source], entities, tables) for d in definitions if d.source in sources and d.parent in entities and d.child in entities and d.parent in tables and d.child in tables]
-    parts = [p for p in parts if p is not None]
-    return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+    by_type: dict[str, list[tuple[DataFrame, bool]]] = {}
+    for d in definitions:
+        if d.source in sources and d.parent in entities and d.child in entities and d.parent in tables and d.child in tables:
+            part = _related(d, sources[d.source], entities, tables)
+            if part is not None:
+                by_type.setdefault(d.rel_type, []).append(part)
+    parts = [same[0][0] if len(same) == 1 and same[0][1] else reduce(DataFrame.unionByName, [p for p, _ in same]).distinct() for same in by_type.values()]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def unresolved(tables: dict[str, DataFrame], keys: tuple[tuple[str, str, str, str], ...], most: float = 50.0) -> DataFrame:

@@ -156,3 +156,17 @@ def test_foreign_keys_at_once(spark):
     tables = {"a": spark.createDataFrame([("1", "x"), ("2 ", None), ("nan", "y"), ("3", "z")], "k string, m string"), "b": spark.createDataFrame([("1",), ("2",)], "k string")}
     got = {(x.column, x.parent): (x.referring, x.unresolved, x.unresolved_pct, x.status) for x in relations.unresolved(tables, (("a", "k", "b", "k"), ("a", "m", "b", "k"), ("a", "q", "b", "k"), ("a", "k", "c", "k"))).collect()}
     assert got == {("k", "b"): (3, 1, 33.33, "PASS"), ("m", "b"): (3, 3, 100.0, "WARN"), ("q", "b"): (0, 0, 0.0, "SKIPPED"), ("k", "c"): (0, 0, 0.0, "SKIPPED")}
+
+
+def test_rows_told_apart_by_their_keys_are_not_made_distinct(spark):
+    def related(orders):
+        po = spark.createDataFrame([(k, "1", v, "P", n) for n, (k, v) in enumerate(orders)], "po_number string, po_item string, vendor_code string, plant_code_id string, seq int")
+        tables = {
+            "purchase_order": spark.createDataFrame([("a", "1", "A", 0), ("a|1", "1", "A", 1)], "po_number string, po_item string, uid string, seq int"),
+            "vendor": spark.createDataFrame([("v", "V", 0), ("1|v", "V", 1)], "vendor_code string, uid string, seq int"),
+        }
+        return relations.relationships({"sap_po": po}, {"purchase_order": relations.Entity(("po_number", "po_item"), "uid"), "vendor": relations.Entity(("vendor_code",), "uid")}, tables)
+
+    plain = related([("a", "v"), (" a", "v"), ("a", "w")])
+    assert "Aggregate [relationship_uid" not in plain._jdf.queryExecution().optimizedPlan().toString() and plain.count() == 1
+    assert related([("a", "1|v"), ("a|1", "v")]).count() == 1  # a|1|1|v twice, between the same ends
