@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagwright.functions.coerce import number
 from tagwright.functions.text import text
 
 
@@ -31,6 +32,22 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], suffix: str = "_r
     return left.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def collapsed_lookup(left: DataFrame, right: DataFrame, keys: list[str], additive: list[str], order: str) -> DataFrame:
+    """What ``tables.collapse`` makes of a ``lookup``, without the rows that this fans out: both sides are brought to one row a key before they meet.
+
+    ``additive`` and ``order`` are columns of the right side, which has none of the left one's but ``keys``. A sum counts once for each
+    left row of its key; of left columns the least value is the first, since all of a key's left rows meet the same right rows.
+    """
+    kinds, others = dict(right.dtypes), [c for c in right.columns if c not in (*keys, *additive)]
+    value = lambda c: number(c) if kinds[c] == "string" else F.col(c)
+    first = lambda c: F.min(c) if c == order else F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c)))
+    lines = right.groupBy(*[join_key(k).alias(k) for k in keys]).agg(*[F.sum(value(c)).alias(c) for c in additive], *[first(c).alias(c) for c in others])
+    own = [c for c in left.columns if c not in keys]
+    one = left.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.min(c).alias(c) for c in own])
+    met = lookup(one, lines, keys)
+    return met.select(*keys, *[(F.col(c) * F.col("_rows")).alias(c) for c in additive], *own, *others)
+
+
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
     """Most frequent value of each key, the smallest on ties. Counts are combined before rows move."""
     n = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))

@@ -37,8 +37,9 @@ def first_non_blank(spark, d):
 
 
 def fanout_collapse(spark, d):
-    joined = joins.lookup(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_linenumber"), ["k"])
-    return t.collapse(joined, ["k"], ["l_quantity"], "l_linenumber").withColumn("l_quantity", F.round("l_quantity", 2))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_linenumber")
+    return joins.collapsed_lookup(orders, lines, ["k"], ["l_quantity"], "l_linenumber").withColumn("l_quantity", F.round("l_quantity", 2))
 
 
 def workorder_star(spark, d):

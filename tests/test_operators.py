@@ -6,8 +6,10 @@ from tagwright.functions import text as x
 from tagwright.operators import gates, graph, joins, merge
 from tagwright.operators import tables as t
 from tagwright.operators import timeseries as ts
+from tagwright.plans import catalog
 from tagwright.sources import tables as src
 from tagwright.streaming import live
+from tests.conftest import SMALL
 
 
 def rows(df):
@@ -125,3 +127,12 @@ def test_stream_drops_repeats(spark, tmp_path):
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_lookup_is_collapsed_before_it_fans_out(spark):
+    left = spark.createDataFrame([("1", "b", None), ("1", "a", "z"), ("2", "c", "y"), ("3", None, "x"), (None, "n", "n")], "k string, s string, p string")
+    right = spark.createDataFrame([("1.0", "5", 2, None), ("1", "1,000", 1, "w"), ("2", None, None, "v"), ("9", "7", 0, "u")], "k string, q string, n int, note string")
+    got = joins.collapsed_lookup(left, right, ["k"], ["q"], "n")
+    assert rows(got) == rows(t.collapse(joins.lookup(left, right, ["k"]), ["k"], ["q"], "n").select(*got.columns))
+    plan = catalog.queries()["fanout_collapse"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]  # no aggregate over what the join makes
