@@ -128,6 +128,7 @@ WIDE_BYTES = 32
 LEAST = 2  # shared positional bytes of a pair; 99.3 % of pairs at exactly 0.8 have as many, about 7 on average (simulated)
 PARTS = ("f0", "f1", "f2", "f3")
 BLOCK = 1024  # names of a posting that one task compares with the rest of it
+FEW = 8  # names of a posting whose pairs are fewer than four times its rows: these are formed as they are
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ANCHORS = np.random.default_rng(5).integers(1, 1 << 63, WIDE_BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # a hash function for each position
 
@@ -166,23 +167,51 @@ def hamming(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
     return pairs.join(named("a"), "a").join(named("b"), "b").where(differ <= most).select("a", "b")
 
 
+def open_postings(posts: DataFrame, of_component: DataFrame) -> DataFrame:
+    """key, name, component, size of the postings (key, name) that hold several components: those of one have no pair left to find."""
+    rows = posts.join(of_component, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("component"))
+    several = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("key", "size")
+    return rows.join(several, "key")
+
+
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """name, n, rare of ``sets`` (name, hashes): the set's size, and its rarest hashes, as many as a set that alike may lack and one more.
+
+    All sets are in one order, by how many of them have a hash and by the hash. Two sets of n and m hashes that have c in
+    common both have one of these among their first n - c + 1 and m - c + 1.
+    """
+    each = sets.select("name", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    common = each.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = each.join(common, "hash", "left").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "hash"))).alias("_all"))
+    kept = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
+    return ranked.select("name", "n", F.transform(F.slice("_all", F.lit(1), kept), lambda x: x["hash"]).alias("rare"))
+
+
 def tallied_pairs(posts: DataFrame, of_component: DataFrame, distinct: DataFrame, most: int, least: int = LEAST) -> DataFrame:
     """Pairs (a < b) of names in different components, within ``most`` differing bits, that meet in at least ``least`` postings
-    of ``posts`` (key, name); ``distinct`` has the fingerprints (name, *PARTS).
+    of ``posts`` (key, name); ``distinct`` has the fingerprints (name, *PARTS)."""
+    return meeting_pairs(open_postings(posts, of_component), distinct, most, least)
+
 
-    Postings of one component have no such pair and go first. A posting of n names is dealt over n / BLOCK blocks: the left
-    rows are split among these, the right rows go to all, so no task holds the n * n / 2 meetings of one posting; of a pair
-    no more than its count leaves a task.
+def meeting_pairs(rows: DataFrame, distinct: DataFrame, most: int, least: int = LEAST, rare: DataFrame | None = None, similarity: float = 0.8) -> DataFrame:
+    """The pairs of ``tallied_pairs`` in ``rows`` (see ``open_postings``), as far as they may be alike.
+
+    ``rare`` (see ``rarest``) may know some of the names: pairs of these meet only if their sets can be alike by
+    ``similarity``. In a large group of copies whose differences are their own hardly any can, so that the pairs do not grow
+    with its square. A posting of n names is dealt over n / BLOCK blocks: the left rows are split among these, the right rows
+    go to all, so no task holds the n * n / 2 meetings of one posting; of a pair no more than its count leaves a task.
     """
-    rows = posts.join(of_component, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("component"))
-    several = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("key", "size")
-    rows = rows.join(several, "key").join(distinct.select("name", *PARTS), "name").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component", *PARTS)])
+    rows = rows.join(distinct.select("name", *PARTS), "name").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rows = rows.join(rare, "name", "left") if rare is not None else rows.withColumns({"n": F.lit(None).cast("int"), "rare": F.lit(None).cast("array<long>")})
+    side = lambda df, x: df.select("key", "block", *[F.col(c).alias(f"{x}_{c}") for c in ("name", "component", *PARTS, "n", "rare")])
     differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in PARTS), F.lit(0))
     left = side(rows.withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks"))), "a")
     right = side(rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))), "b").withColumnsRenamed({"key": "b_key", "block": "b_block"})
     on = (F.col("key") == F.col("b_key")) & (F.col("block") == F.col("b_block")) & (F.col("a_name") < F.col("b_name")) & (F.col("a_component") != F.col("b_component"))
-    met = left.join(right, on & (differ <= most)).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
+    in_common = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    firsts = lambda x: F.slice(f"{x}_rare", F.lit(1), F.greatest(F.col(f"{x}_n") - in_common + 1, F.lit(0)).cast("int"))
+    may = F.col("a_rare").isNull() | F.col("b_rare").isNull() | F.arrays_overlap(firsts("a"), firsts("b"))
+    met = left.join(right, on & (differ <= most) & may).groupBy(F.col("a_name").alias("a"), F.col("b_name").alias("b")).agg(F.count("*").alias("n"))
     return met.where(F.col("n") >= least).select("a", "b")
 
 
@@ -196,15 +225,15 @@ def name_filter(names: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: names) whose texts in ``df`` (doc_id, text) have shingle sets of at least that Jaccard index.
+def sets_of(needed: DataFrame, df: DataFrame, words: int) -> DataFrame | None:
+    """name, hashes: the shingle sets of the texts in ``df`` (doc_id, text) that ``needed`` (name) names; None if it names none.
 
     A bit filter of bounded size, which lets all needed names and few others pass, keeps other texts' sets from moving.
     """
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "needed")
+    needed = staged(needed.select("name").distinct(), "needed")
     n = needed.count()
     if not n:
-        return pairs
+        return None
     bits = min(27, max(15, (32 * n).bit_length()))
     wanted = df.sparkSession.sparkContext.broadcast(name_filter(needed, bits))
 
@@ -216,7 +245,14 @@ def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in named], pa.int64()), pa.array([x for _, x in named], pa.list_(pa.int64()))], ["name", "hashes"])
 
     sets = df.select("text").mapInArrow(sets_in, "name long, hashes array<long>").join(needed, "name", "left_semi")
-    sets = staged(sets.groupBy("name").agg(F.any_value("hashes").alias("hashes")), "sets")
+    return staged(sets.groupBy("name").agg(F.any_value("hashes").alias("hashes")), "sets")
+
+
+def alike(pairs: DataFrame, df: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: names) whose texts in ``df`` (doc_id, text) have shingle sets of at least that Jaccard index."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("name")), df, words)
+    if sets is None:
+        return pairs
     named = lambda x: sets.select(F.col("name").alias(x), F.col("hashes").alias(f"{x}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     found = pairs.join(named("a"), "a").join(named("b"), "b").withColumn("both", both)
@@ -267,7 +303,10 @@ def classes_of_texts(df: DataFrame, words: int = 5, similarity: float = 0.8) ->
     first = staged(hamming(met, distinct, most), "pairs")
     linked_first = staged(alike(first, df, words, similarity), "links")
     so_far = connected_components(linked_first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    second = staged(tallied_pairs(posts, so_far, distinct, most).join(first, ["a", "b"], "left_anti"), "pairs")
+    still = staged(open_postings(posts, so_far), "open")
+    in_many = sets_of(still.where(F.col("size") > FEW), df, words)
+    rare = None if in_many is None else staged(rarest(in_many, similarity), "rare")
+    second = staged(meeting_pairs(still, distinct, most, LEAST, rare, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
     linked_second = staged(alike(second, df, words, similarity), "links")
     linked = connected_components(linked_first.union(linked_second).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     members = linked.join(distinct, linked.node == distinct.name).select("name", "component", "least")

@@ -120,6 +120,52 @@ def test_all_pairs_of_a_posting_meet(spark, monkeypatch):
     assert len(classes) == len(rows) and sum(classes[a] == classes[b] for a, b in true) >= 0.95 * len(true)
 
 
+def test_copies_with_changes_of_their_own_form_no_square(spark, monkeypatch):
+    """Copies of one text that all lie below 0.8, pair by pair, are near misses in every posting; the alike ones among them still meet."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template, rows = [word() for _ in range(150)], []
+    for k in range(200):
+        text = list(template)
+        for at in r.sample(range(4, 146, 5), 4):
+            text[at] = word()
+        rows.append((2 * k, " ".join(text)))
+        if k % 10 == 0:
+            text[r.randrange(150)] = word()
+            rows.append((2 * k + 1, " ".join(text)))
+    alike, verified = simhash.alike, []
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    classes = {x.doc_id: x.class_id for x in simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    true = [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if jaccard(s, t) >= 0.8]
+    assert len(true) >= 20 and all(classes[a] == classes[b] for a, b in true)
+    assert len(set(classes.values())) == len(rows) - len(true)
+    assert verified[1] <= len(rows)
+
+
+def test_sets_that_may_be_alike_share_a_rare_hash(spark):
+    """Of sets of all sizes no pair at 0.8 or more is left out, in the order of rarity that the sets themselves give."""
+    r = random.Random(14)
+    pool, sets = list(range(60)), {}
+    for k in range(80):
+        sets[k] = set(r.sample(pool, r.randint(1, 40)))
+        for j in range(1, 4):
+            sets[1000 * j + k] = {x for x in sets[k] if r.random() > 0.06} | {r.choice(pool)}
+    rare = simhash.rarest(spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "name long, hashes array<long>"), 0.8)
+    rows = spark.createDataFrame([(key, k, k, len(sets)) for k in sets for key in (1, 2)], "key long, name long, component long, size long")
+    flat = spark.createDataFrame([(k, 0, 0, 0, 0) for k in sets], "name long, f0 long, f1 long, f2 long, f3 long")
+    got = {(x.a, x.b) for x in simhash.meeting_pairs(rows, flat, 256, 2, rare, 0.8).collect()}
+    true = {tuple(sorted(p)) for p in itertools.combinations(sets, 2) if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    assert len(true) > 100 and true <= got
+    assert len(got) < len(sets) * (len(sets) - 1) / 4
+    some = rare.where("name < 1000")
+    assert {(a, b) for a in sets for b in sets if a < b and b >= 1000} <= {(x.a, x.b) for x in simhash.meeting_pairs(rows, flat, 256, 2, some, 0.8).collect()}
+
+
 def test_classes_link_only_what_is_alike(spark):
     """Pairs at 0.7 and texts that share a repeated line stay apart; sets that are alike by 0.8 meet."""
     r = random.Random(12)
