@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagwright.llm.bpe import byte_letters
 from tagwright.llm.shared import in_a_row, pieces, shared_dir, staged
 
 PRECISION = 20
@@ -40,11 +42,14 @@ HEAD = struct.Struct("<4sIQIIIII")  # magic, lanes, ids, documents, checkpoints,
 KEPT_HEADS = 600_000
 TOGETHER = 2000  # heads that the library sees at a time
 MARK = "\x01"
+# one piece to the vocabulary, however it is normalised: no letter here is composed, taken apart or changed but for its case
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+")
 BLOCKS = "part int, block int, part_offset long, n_docs long, n_ids long, payload binary"
 BLOCK_NAMES = ["part", "block", "part_offset", "n_docs", "n_ids", "payload"]
 BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
 PIECE_BYTES = 8 << 20  # of text whose words are looked up together
+BYTE_LEVEL = {b: c for c, b in byte_letters().items()}  # of a byte's number the letter that the vocabulary has for it
 
 
 class LibraryChunks:
@@ -52,7 +57,8 @@ class LibraryChunks:
 
     The vocabulary drops white space and never joins words across it, or a word and ASCII punctuation other than an
     apostrophe: a text's ids are its chunks' in turn, a chunk's those of its head and of the punctuation at its end. So the
-    library sees each new head once, in lower case (as its normaliser has it), many at a time between marks of one token.
+    library sees each new head once, in lower case (as its normaliser has it). A head of Latin letters is one piece, which its
+    model takes as it is; others it sees many at a time between marks of one token.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -66,12 +72,27 @@ class LibraryChunks:
         self.kind = id_type(tokenizer_json)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.tokenizer.model
+        self.latin = all(self._direct([c]) == [np.array(self._ids(c), self.kind).tobytes()] for c in (*filter(LATIN.match, map(chr, range(0x180))), "aZ", "Éñ"))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _direct(self, heads: list[str]) -> list[bytes]:
+        """Packed ids of heads of Latin letters."""
+        of_word, ids, ends = self.model.tokenize, [], [0]
+        for h in map(str.lower, heads):
+            ids += [t.id for t in of_word(h if h.isascii() else h.encode().decode("latin-1").translate(BYTE_LEVEL))]
+            ends.append(len(ids))
+        packed, size = np.array(ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+        return [packed[size * a : size * b] for a, b in zip(ends, ends[1:])]
+
     def _learn(self, heads: list[str]) -> None:
         plain, heads_of, size = [], self.heads, np.dtype(self.kind).itemsize
+        if self.latin:
+            one_piece = list(filter(LATIN.fullmatch, heads))
+            heads_of.update(zip(one_piece, self._direct(one_piece)))
+            heads = [h for h in heads if h not in heads_of]
         for h in heads:
             if self.mark is None or MARK in h or "<|" in h:
                 heads_of[h] = np.array(self._ids(h), self.kind).tobytes()

@@ -73,3 +73,15 @@ def test_odd_texts(spark):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rans.round_trip(df, queries.vocabulary("word_bpe_49k.json"), 1).selectExpr("*", "crc32(ids) ids_crc32").collect()}
     assert got == expected(rows, tokenizer)
     assert rans.round_trip(df.where("false"), queries.vocabulary("word_bpe_49k.json"), 1).count() == 0
+
+
+def test_latin_words_go_to_the_model_alone():
+    """A word of Latin letters is one piece: the library's whole way, of which the new words were most of the cost, is not taken."""
+    library, chunks, r = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), rans.LibraryChunks(queries.vocabulary("word_bpe_49k.json")), random.Random(7)
+    letters = [c for c in map(chr, range(0x180)) if c.isalpha() and c not in "ªµºİ"]
+    words = [*letters, *("".join(r.choice(letters) for _ in range(r.randint(2, 14))) for _ in range(3000))]
+    chunks.encode(pa.array(["x."]), 1)  # the full stop is no word
+    chunks._ids = None
+    got = chunks.encode(pa.array([" ".join(words), *(w + ". " + w for w in words)]), 1).to_pylist()
+    for t, x in zip([" ".join(words), *(w + ". " + w for w in words)], got, strict=True):
+        assert np.frombuffer(x, chunks.kind).tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], repr(t)
