@@ -198,6 +198,12 @@ class Chunks(dict):
             self[chunk] = packed
         return packed
 
+    def forget(self) -> None:
+        """At a task's end: a worker that waits, or that other stages use, holds the compiled merges alone."""
+        self.clear()
+        self.old = {}
+        self.automaton._live.clear()
+
     def prepare(self, chunks: list[str]) -> None:
         """Called with all chunks that are looked up next; an encoder that is better at many words at once learns them here."""
 
@@ -260,6 +266,11 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "t
     return df.withColumn(ids, tokens(F.col(f"`{text}`")))
 
 
+def texts_of(spell: list[bytes], lists: pa.Array) -> pa.Array:
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+    return pa.array((emit(spell, flat[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
+
+
 def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text whose tokens are ``ids``: the arcs' labels in turn, bytes that are no UTF-8 as U+FFFD. Null ids: empty."""
     model = df.sparkSession.sparkContext.broadcast(tokenizer_json)
@@ -271,7 +282,22 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str
         spell = _labels[model.value]
         for batch in batches:
             for lists in pieces(batch):
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-                yield pa.array((emit(spell, flat[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
+                yield texts_of(spell, lists)
 
     return df.withColumn(text, texts(F.col(f"`{ids}`")))
+
+
+def encode_and_decode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(df))``, both by one worker: a task that calls them in turn has two, each with tables of its own."""
+    model = df.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        chunks = compiled(model.value)
+        for texts in batches:
+            for piece in pieces(texts):
+                lists = token_lists(chunks, piece)
+                yield pa.StructArray.from_arrays([lists, texts_of(chunks.automaton.spell, lists)], ["ids", "decoded"])
+        chunks.forget()
+
+    return df.withColumn("_coded", coded(F.col(f"`{text}`"))).withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")

@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def pieces(values: pa.Array, most_bytes: int = 4 << 20) -> Iterator[pa.Array]:
     """The rows of a column of texts or lists in turn, in slices of about so many bytes, so that a worker holds the results of one slice."""
@@ -46,6 +48,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB from here on in this session, unless it has a size of its own.
+
+    Spark's 64 MB are held several times over by each task, on both sides of a Python worker, and what the allocators of
+    either side once took they keep for the stages that follow.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(4 << 20))
+
+
 def within(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a hint to broadcast it if it has at most so many rows; otherwise as it is, for a join that shuffles."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -1,13 +1,14 @@
 """The five stages of the corpus pipeline, each against a plain version, on a small table with odd rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 import public_tokenizers
-from tagwright.llm import decontaminate, quality, simhash, toxicity
-from tagwright.llm.shared import staged
+from tagwright.llm import bpe, decontaminate, quality, simhash, toxicity
+from tagwright.llm.shared import ARROW_BYTES, small_batches, staged
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -90,3 +91,34 @@ def test_empty_documents_pass_all_stages(spark, docs):
     none = docs.where("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, SMALL).count() == 0
+
+
+def test_a_task_of_the_bpe_stage_has_one_worker(spark, docs):
+    out = pipeline.token_ids(spark, docs, SMALL)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    words = pipeline.vocabulary("byte_bpe_50k.json")
+    apart = bpe.decode(bpe.encode(docs.select("doc_id", "text"), words), words)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(out.select("doc_id", "token_ids", "text")) == rows(apart.select("doc_id", "token_ids", "decoded"))
+    clash = docs.select("doc_id", F.lit("x").alias("token_ids"), F.lit(1).alias("decoded"), "text")
+    assert rows(bpe.encode_and_decode(clash, words).select("doc_id", "token_ids", "decoded")) == rows(apart.select("doc_id", "token_ids", "decoded"))
+
+
+def test_stages_send_small_batches(spark, docs):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    large = spark.range(60, numPartitions=1).select(F.repeat(F.lit("0123456789"), 50_000).alias("text"))
+    before = spark.conf.get(ARROW_BYTES, None)
+    try:
+        spark.conf.unset(ARROW_BYTES)
+        pipeline.token_ids(spark, docs, SMALL)
+        found = [r.n for r in large.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 30_000_000 and max(found) < 6_000_000
+        assert all(pipeline.in_small_batches(stage.__wrapped__).__code__ is stage.__code__ for _, stage in pipeline.STAGES)
+        spark.conf.set(ARROW_BYTES, "1m")
+        small_batches(spark)
+        assert spark.conf.get(ARROW_BYTES) == "1m"
+    finally:
+        spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
