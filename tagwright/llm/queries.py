@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = vocabulary("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, words), words)
+    out = bpe.encode_and_decode(docs, words)
     return out.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
