@@ -89,7 +89,8 @@ def near_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
     ``bits`` differing bits leave at least 8 - bits of the 8 positional bytes equal. The index posts a fingerprint once
     under every choice of so many positions, with the bytes there: a posting holds those that reach the minimum tally
     together, and a pair in several postings is taken from the first. Postings stay short: two distinct fingerprints in
-    one agree in 8 - bits bytes.
+    one agree in 8 - bits bytes. Spark takes the exploded index to be as small as the fingerprints and would send it to the
+    driver for a broadcast: the hint keeps it among the executors.
     """
     if not 1 <= bits <= 3:
         raise ValueError("1 to 3 bits")
@@ -103,7 +104,7 @@ def near_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
     # the first choice that skips all differing positions
     first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(signed)])
     on = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    found = a.join(b, on & (F.bit_count(diff) <= bits) & (first == F.col("a.choice")) & (shared_bytes(F.col("a.fp"), F.col("b.fp")) >= least))
+    found = a.join(b.hint("merge"), on & (F.bit_count(diff) <= bits) & (first == F.col("a.choice")) & (shared_bytes(F.col("a.fp"), F.col("b.fp")) >= least))
     return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 

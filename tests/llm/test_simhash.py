@@ -56,6 +56,13 @@ def test_planted_links(spark):
         assert got == sorted((signed[a], signed[b]) for a in fps for b in fps if signed[a] < signed[b] and (a ^ b).bit_count() <= bits)
 
 
+def test_the_exploded_index_is_not_broadcast(spark):
+    """Spark sizes it as the fingerprints before the explode, far under the limit for a broadcast."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_odd_rows(spark):
     rows = [(3, None), (2, ""), (9, " \t"), (5, "One"), (6, "one"), (7, "a b"), (8, "é x y z"), (None, "one"), (5, "One")]
     df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, fp string")
