@@ -1,7 +1,8 @@
 """Stars of tables around a base table, as lists of steps: work orders, locations, task lists, materials.
 
 Steps never multiply rows but where the result has a row for each match: other tables are brought to one row a key before
-they are joined, so a key with many lines costs one aggregate, not a product.
+they are joined, so a key with many lines costs one aggregate, not a product. What meets the base only by the base's own
+columns is joined before rows multiply, and the rows of a table that cannot be first are gone before they meet others.
 """
 
 from __future__ import annotations
@@ -65,34 +66,109 @@ def _side(step: Step, df: DataFrame, additive: list[str] | None) -> DataFrame:
     return df
 
 
+@dataclass
+class _Met:
+    """A step as it will be joined: the cleaned keys ``own`` of ``right``, and ``named``: its other columns with their names in the result."""
+
+    rows: str
+    own: tuple[str, ...]
+    right: DataFrame
+    named: dict[str, str]
+    numbers: list[str]
+
+
+def _planned(base: DataFrame, tables: dict[str, DataFrame], steps: tuple[Step, ...], on: dict[str, list[str]], additive: list[str] | None) -> tuple[list[_Met], list[str]]:
+    """The steps that have their tables and columns, and the columns of the result in the steps' order."""
+    met, names = [], [c for c in base.columns if c != ORDER]
+    for step in steps:
+        own = tuple(on.get(step.table, step.on))
+        right = tables.get(step.table)
+        right = right if right is None else _side(step, right, additive)
+        if right is None or any(c not in right.columns or c not in names for c in own):
+            continue
+        keyed = right.select(*[join_key(c).alias(c) for c in own], *[c for c in right.columns if c not in own])
+        named = {c: c + step.suffix if c in names else c for c in keyed.columns if c not in (*own, ORDER)}
+        met.append(_Met(step.rows, own, keyed, named, _numeric(keyed, own, additive)))
+        names += named.values()
+    return met, names
+
+
+def _needed(met: list[_Met], keys: list[str]) -> set[str]:
+    """Columns of the result that say which rows it has: ``keys``, what tables with all their rows meet by, and what these come from."""
+    out = set(keys)
+    for m in reversed(met):
+        if m.rows == "all" or out & set(m.named.values()):
+            out |= set(m.own)
+    return out
+
+
+def _in_turn(met: list[_Met]) -> list[int]:
+    """The order of joins that moves least: by the base's other keys first, then by the key of the first table with all its rows, then those tables, then what depends on them."""
+    main = next((m.own for m in met if m.rows == "all"), None)
+    asked, place, stage = {c for m in met for c in m.own}, {}, []
+    for m in met:
+        after = max((place.get(c, 0) for c in m.own), default=0)
+        if m.rows == "all" or after > 2:
+            k = 4 if after > 2 else 3
+        elif m.own == main:
+            k = 1 if asked & set(m.named.values()) else 2
+        else:
+            k = after
+        place |= dict.fromkeys(m.named.values(), k)
+        stage.append(k)
+    return sorted(range(len(met)), key=lambda k: stage[k])
+
+
+def _one_a_key(m: _Met) -> DataFrame:
+    """The step's table with one row for each of its keys."""
+    own = list(m.own)
+    if m.rows == "first":
+        return t.keep_first(m.right, own, [ORDER])
+    if m.rows == "sum":
+        return t.collapse(m.right, own, m.numbers, ORDER)
+    one = m.right.groupBy(*own).agg(F.count("*").alias("_n"), F.any_value(F.struct(*m.named)).alias("_row"))
+    return one.withColumn("_row", F.when(F.col("_n") > 1, F.raise_error(F.lit(f"keys repeat: {own}"))).otherwise(F.col("_row"))).select(*own, "_row.*")
+
+
 def star(base: DataFrame, tables: dict[str, DataFrame], steps: tuple[Step, ...], keys: list[str], on: dict[str, list[str]] | None = None, additive: list[str] | None = None) -> DataFrame:
     """``base`` with the tables of ``steps``, one row for each of ``keys``: the first by the tables' ``seq`` columns, which go.
 
     A step is left out where its table is not there or where its columns are not on both sides; ``on`` gives other columns for a table. Columns
     that both sides have stay with the step's suffix. Keys are compared as text without ``.0``. ``sum`` adds numbers (or the
     columns ``additive``, texts with separators too) and takes the first value of other columns.
+
+    Of rows of one table that meet the same rows of all others, only the first can be first in the result: they leave by
+    ``keep_first`` before they are joined. Where this makes the result's rows one for each of ``keys``, nothing is left to
+    leave at the end, and no wide row moves for it.
     """
-    out, order = base.withColumnRenamed(ORDER, "_o"), ["_o"]
-    for k, step in enumerate(steps):
-        own = tuple((on or {}).get(step.table, step.on))
-        right = tables.get(step.table)
-        right = right if right is None else _side(step, right, additive)
-        if right is None or any(c not in right.columns or c not in out.columns for c in own):
-            continue
-        keyed = right.select(*[join_key(c).alias(c) for c in own], *[c for c in right.columns if c not in own])
-        others = [c for c in keyed.columns if c not in (*own, ORDER)]
-        if step.rows == "all":
-            right = keyed.withColumnRenamed(ORDER, f"_o{k}")
-            order.append(f"_o{k}")
-        elif step.rows == "first":
-            right = t.keep_first(keyed, list(own), [ORDER]).drop(ORDER) if others else keyed.select(*own).distinct()
-        elif step.rows == "sum":
-            right = t.collapse(keyed, list(own), _numeric(keyed, own, additive), ORDER).drop(ORDER)
+    met, names = _planned(base, tables, steps, on or {}, additive)
+    out, order, keys = base.withColumnRenamed(ORDER, "_o"), ["_o"], [c for c in keys if c in names]
+    needed, sure = _needed(met, keys), False
+    if keys and any(m.rows == "all" for m in met):
+        own = [c for c in base.columns if c in needed]
+        sure = set(own) <= set(keys) and not any(kind in ("float", "double") for c, kind in base.dtypes if c in own)  # 0 and -0 are one key, but two texts
+        out = t.keep_first(out, own, order)
+    for k in _in_turn(met):
+        m, place = met[k], []
+        if m.rows == "all":
+            right, place = m.right, [F.col(ORDER).alias(f"_o{k}")]
+            if keys:
+                told = [c for c, name in m.named.items() if name in needed]
+                sure = sure and {m.named[c] for c in told} <= set(keys)
+                # in the partitions of the join that follows
+                right = t.keep_first(right.repartition(*m.own) if told else right, [*m.own, *told], [ORDER])
+        elif m.named:
+            right = _one_a_key(m)
+        elif m.rows == "one" and not keys:
+            right = m.right
         else:
-            right = keyed.drop(ORDER)
-        out = lookup(out, right, list(own), step.suffix, many_to_one=step.rows == "one" and bool(others))
-    keys = [c for c in keys if c in out.columns]
-    return t.keep_first(out, keys, order).drop(*order) if keys else out.drop(*order)
+            continue
+        order += [f"_o{k}"] if place else []
+        named = right.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(m.own)], *[F.col(c).alias(name) for c, name in m.named.items()], *place)
+        out = out.join(named, [join_key(c) == F.col(f"_k{i}") for i, c in enumerate(m.own)], "left").drop(*[f"_k{i}" for i in range(len(m.own))])
+    if sure or not keys:
+        return out.select(*names)
+    return t.keep_first(out.select(*names, *sorted(order, key=lambda c: (len(c), c))), keys, sorted(order, key=lambda c: (len(c), c))).select(*names)
 
 
 def work_orders(tables: dict[str, DataFrame], **options) -> DataFrame:

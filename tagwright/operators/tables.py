@@ -50,17 +50,21 @@ def conform(df: DataFrame, schema: dict[str, str], keep_extra: bool = False) ->
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the largest ``order`` of each key; other columns decide ties. Null keys are a key."""
-    return _extreme(df, keys, order, F.max_by)
+    return _extreme(df, keys, order, F.max, F.max_by)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return _extreme(df, keys, order, F.min_by)
+    return _extreme(df, keys, order, F.min, F.min_by)
 
 
-def _extreme(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+def _extreme(df: DataFrame, keys: list[str], order: list[str], pick, pick_by) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    place = F.struct(*order, *[c for c in rest if c not in order and not df.schema[c].dataType.typeName() == "map"])
-    return df.groupBy(*keys).agg(pick(F.struct(*rest), place).alias("_row")).select(*keys, "_row.*").select(*df.columns)
+    maps = [c for c in rest if df.schema[c].dataType.typeName() == "map"]
+    first = [c for c in order if c in rest]
+    place = F.struct(*first, *[c for c in rest if c not in first and c not in maps])
+    # the place holds the whole row, so it moves once; maps have no order and go beside it
+    row = pick_by(F.struct(*rest), place) if maps or not rest else pick(place)
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def last_non_blank(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
