@@ -295,7 +295,7 @@ def classes_of_texts(df: DataFrame, words: int = 5, similarity: float = 0.8) ->
     distinct = staged(rows.groupBy("name").agg(first_row.alias("least"), F.any_value(F.struct(*PARTS, "keys")).alias("w")).select("name", "least", "w.*"), "distinct")
     posts = distinct.select("name", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posts = staged(posts.join(shared, "key").select("key", "name", "n"), "postings")
+    posts = staged(posts.join(shared.hint("merge"), "key").select("key", "name", "n"), "postings")  # sized as before the explode, see near_pairs
     # a text that others were made from meets more texts than these meet each other: the one with the most meetings stands for a posting
     meetings = posts.groupBy("name").agg(F.sum("n").alias("meetings"))
     hubs = posts.join(meetings, "name").groupBy("key").agg(F.max(F.struct("meetings", "name")).alias("hub")).select("key", F.col("hub.name").alias("hub"))

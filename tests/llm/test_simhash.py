@@ -63,6 +63,18 @@ def test_the_exploded_index_is_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_the_postings_of_texts_are_not_broadcast(spark, monkeypatch):
+    plans, staged = {}, simhash.staged
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(simhash, "staged", seen)
+    simhash.classes_of_texts(spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(4)], "doc_id long, text string"))
+    assert "SortMergeJoin" in plans["postings"] and "Broadcast" not in plans["postings"]
+
+
 def test_odd_rows(spark):
     rows = [(3, None), (2, ""), (9, " \t"), (5, "One"), (6, "one"), (7, "a b"), (8, "é x y z"), (None, "one"), (5, "One")]
     df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, fp string")
